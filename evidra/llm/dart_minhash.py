@@ -10,7 +10,8 @@ coordinates are thrown again with twice the rank.
 
 ``BANDS`` bands of ``ROWS`` coordinates make buckets. In a bucket each document is paired with the least id (never with
 all), pairs are checked exactly on their sets of shingles, and links make components. Where a bucket still has several
-components, its documents outside the least id's component are compared by signature, in blocks of bounded size, with
+components, another of its documents is paired with those of other components, for ``ROUNDS`` rounds; what is open then
+is compared by signature, in blocks of bounded size, each document outside the first hub's component with
 all of the bucket, so that no link is lost that a bucket could give. Texts alike but for case and punctuation
 are one class from the start, and only one of them goes on.
 
@@ -43,8 +44,12 @@ K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 #: Documents compared by signature in one group, of either side of a pair of blocks.
 BLOCK = 512
-#: Signature agreement from which a pair is checked exactly: 7 standard deviations below 0.8.
-MAYBE = 0.56
+#: Signature agreement from which a pair is checked exactly: 4 standard deviations below 0.8.
+MAYBE = 0.66
+#: Rounds in which each open bucket gets another hub, before what is left is compared in blocks.
+ROUNDS = 3
+#: Ids of documents whose texts are looked up are broadcast up to this count, and joined by shuffle beyond it.
+BROADCAST_IDS = 1_000_000
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _SCALE = 1.0 / 2**53
@@ -192,52 +197,101 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a minor and another row of one block pair, in different components, with signatures that may mean a link."""
+    """Links between minors and other rows of one block pair; of the links that join the same components one is given."""
     minor = pdf[pdf["side"] == 0]
     other = pdf[pdf["side"] == 1]
-    if minor.empty or other.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    m, o = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, K) for x in (minor, other))
-    mc, oc, md, od = minor["comp"].to_numpy(), other["comp"].to_numpy(), minor["doc"].to_numpy(), other["doc"].to_numpy()
-    a, b = [], []
-    for i in range(len(m)):
-        hit = np.flatnonzero(((o == m[i]).sum(1) >= MAYBE * K) & (oc != mc[i]))
-        a.append(np.minimum(md[i], od[hit]))
-        b.append(np.maximum(md[i], od[hit]))
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-
-def _left_over(band_rows: DataFrame, buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs inside buckets that hold several components."""
-    members = (
-        band_rows.join(buckets.where("n > 2"), "band")
-        .join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left")
-        .select("band", "n", "hub", "doc", F.coalesce("comp", "doc").alias("comp"))
+    out: list[tuple[int, int]] = []
+    if len(minor) and len(other):
+        m, o = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, K) for x in (minor, other))
+        mc, oc, md, od = minor["comp"].to_numpy(), other["comp"].to_numpy(), minor["doc"].to_numpy(), other["doc"].to_numpy()
+        mt, ot = minor["text"].to_numpy(), other["text"].to_numpy()
+        threshold, sets, up = float(pdf["threshold"].iloc[0]), {}, {}
+
+        def root(c: int) -> int:
+            while (d := up.get(c, c)) != c:
+                c = d
+            return c
+
+        def shingles(doc: int, text: str) -> np.ndarray:
+            if doc not in sets:
+                sets[doc] = _elements(*textkit.utf8(pa.array([text])))[0]
+            return sets[doc]
+
+        for i in range(len(m)):
+            for j in np.flatnonzero(((o == m[i]).sum(1) >= MAYBE * K) & (oc != mc[i])):
+                if root(mc[i]) == root(oc[j]):
+                    continue
+                x, y = shingles(md[i], mt[i]), shingles(od[j], ot[j])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                    out.append((min(md[i], od[j]), max(md[i], od[j])))
+                    up[root(mc[i])] = root(oc[j])
+    return pd.DataFrame({"a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
+
+
+def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree enough for a link."""
+    joined = pairs.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(
+        sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b"
     )
-    open_ = (
-        members.groupBy("band")
-        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.when(F.col("doc") == F.col("hub"), F.col("comp"))).alias("hub_comp"))
-        .where("x <> y")
-        .select("band", "hub_comp")
-    )
-    inside = stage(members.join(open_, "band").join(sigs, "doc"), "open-buckets")
-    minors = inside.where("comp <> hub_comp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, K) for c in ("sa", "sb"))
+            ok = pa.array((x == y).sum(1) >= MAYBE * K)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents; their ids (8 bytes each) are broadcast up to BROADCAST_IDS."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+
+
+def _members(band_rows: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of buckets that are not done, with their components and the component of the bucket's first hub.
+
+    A bucket is done when it has one component, or when all of its documents outside the first hub's component have been hubs.
+    """
+    joined = band_rows.join(buckets.where(F.col("n") > F.size("hubs")), "band").join(
+        comps.select(F.col("node").alias("doc"), "comp"), "doc", "left"
+    ).select("band", "hubs", "doc", F.coalesce("comp", "doc").alias("comp"))
+    first = joined.where(F.col("doc") == F.get("hubs", F.lit(0))).select("band", F.col("comp").alias("main"))
+    return joined.join(first, "band")
+
+
+def _next_hubs(members: DataFrame) -> DataFrame:
+    """(band, hub, hub_comp): in each open bucket the least id outside the first hub's component that has not been a hub."""
+    left = members.where((F.col("comp") != F.col("main")) & ~F.array_contains("hubs", F.col("doc")))
+    return left.groupBy("band").agg(F.min(F.struct("doc", "comp")).alias("h")).select("band", F.col("h.doc").alias("hub"), F.col("h.comp").alias("hub_comp"))
+
+
+def _left_over(members: DataFrame, hubs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links inside the buckets that are open after the rounds of hubs."""
+    inside = stage(members.join(hubs.select("band"), "band", "left_semi").drop("hubs"), "open-buckets")
+    docs = _needed(texts, inside.select("doc").distinct()).dropDuplicates(["doc"]).join(sigs, "doc")
+    whole = inside.join(docs, "doc")
+    minor = F.col("comp") != F.col("main")
     blocks = inside.groupBy("band").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_all"),
-        F.ceil(F.count_if(F.col("comp") != F.col("hub_comp")) / BLOCK).cast("int").alias("n_minor"),
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if(minor) / BLOCK).cast("int").alias("n_minor")
     )
     spread = F.xxhash64("doc")
+    columns = ["band", "i", "j", "side", "doc", "comp", "sig", "text", "threshold"]
+    placed = whole.join(blocks, "band").withColumn("threshold", F.lit(threshold))
     left = (
-        minors.join(blocks, "band")
+        placed.where(minor)
         .withColumn("i", F.pmod(spread, F.col("n_minor")).cast("int"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
-        .select("band", "i", "j", F.lit(0).alias("side"), "doc", "comp", "sig")
+        .withColumn("side", F.lit(0))
+        .select(*columns)
     )
     right = (
-        inside.join(blocks, "band")
-        .withColumn("j", F.pmod(spread, F.col("n_all")).cast("int"))
+        placed.withColumn("j", F.pmod(spread, F.col("n_all")).cast("int"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_minor") - 1)))
-        .select("band", "i", "j", F.lit(1).alias("side"), "doc", "comp", "sig")
+        .withColumn("side", F.lit(1))
+        .select(*columns)
     )
     return left.unionByName(right).groupBy("band", "i", "j").applyInPandas(_compare, "a long, b long").distinct()
 
@@ -247,18 +301,42 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     signed = stage(sign(docs, id_col, text), "dart-signatures")
     contents = stage(signed.where("doc is not null").groupBy("content").agg(F.min("doc").alias("rep")), "contents")
     reps = signed.join(contents.select(F.col("rep").alias("doc"), "content"), ["doc", "content"], "left_semi").where("bands is not null")
-    band_rows = reps.select("doc", F.explode("bands").alias("band"))
-    buckets = stage(band_rows.groupBy("band").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    band_rows = reps.select("doc", F.explode("bands").alias("band")).distinct()
+    buckets = stage(
+        band_rows.groupBy("band").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", F.array("hub").alias("hubs")),
+        "buckets",
+    )
     in_buckets = stage(band_rows.join(buckets.select("band"), "band", "left_semi"), "bucket-rows")
-    pairs = in_buckets.join(buckets, "band").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    rep_texts = _rep_texts(docs, contents, id_col, text)
-    links = stage(_verify(pairs, rep_texts, threshold), "links")
-    comps = components(links)
-    sigs = reps.select("doc", "sig")
-    more = _verify(_left_over(in_buckets, buckets, comps, sigs), rep_texts, threshold)
-    more = stage(more, "more-links")
-    if not more.isEmpty():
-        comps = components(links.union(more))
+    sigs = reps.select("doc", "sig").dropDuplicates(["doc"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sure = stage(_likely(pairs, sigs), "pairs")
+        ids = sure.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        return stage(_verify(sure, _needed(texts, ids), threshold), "links")
+
+    hub = F.get("hubs", F.lit(0))
+    pairs = in_buckets.join(buckets, "band").where(F.col("doc") != hub).select(hub.alias("a"), F.col("doc").alias("b")).distinct()
+    comps = stage(components(linked(pairs)), "components")
+    for _ in range(ROUNDS):
+        members = _members(in_buckets, buckets, comps)
+        hubs = stage(_next_hubs(members), "hubs")
+        if hubs.isEmpty():
+            break
+        meet = members.join(hubs, "band").where(F.col("comp") != F.col("hub_comp"))
+        more = linked(meet.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct())
+        buckets = stage(
+            buckets.join(hubs.select("band", "hub"), "band").select("band", "n", F.concat("hubs", F.array("hub")).alias("hubs")), "buckets"
+        )
+        if not more.isEmpty():
+            comps = stage(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
+    else:
+        members = _members(in_buckets, buckets, comps)
+        hubs = stage(_next_hubs(members), "hubs")
+        if not hubs.isEmpty():
+            more = stage(_left_over(members, hubs, sigs, texts, threshold), "more-links")
+            if not more.isEmpty():
+                comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = contents.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(
         "content", F.coalesce("comp", "rep").alias("class_id")
     )
@@ -267,11 +345,6 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     )
 
 
-def _rep_texts(docs: DataFrame, contents: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Texts by id. A doc_id with several texts gives several rows; a pair then holds if one of them does."""
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-
-
 def deduplicate(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that with the least doc_id; rows with a null doc_id all stay."""
     named = classes(docs, threshold, id_col, text)
