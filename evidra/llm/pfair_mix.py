@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 MAX_SOURCES = 4096
 #: Rows of a source are numbered in buckets of about this many.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 NULL_KEY, REST_KEY = "\x00null", "\x00rest"
 
 _KEY, _HASH, _TIE, _BUCKET = "__mx_key", "__mx_hash", "__mx_tie", "__mx_bucket"
