@@ -1,11 +1,589 @@
-"""Driver queries and their SQL."""
+"""Driver queries over the synthetic tables, and for each the SQL that gives the same rows.
+
+A chunk is a row of ``documents``, its version and guideline the ``source``, its node id the ``doc_id``; vectors are joined on
+``vec_id = doc_id``; ``events`` stands for the audit log; orders and their lines for recognised tables and cells. Every ranked result has its rank,
+all ties are broken, and doubles are rounded before they are ranked.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import nodes as N
+from ..functions import text as T
+from ..operators import constraints, diff, markdown, retrieval, tables, terminology
+from ..streaming import audit
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+ASKED = "the ering onthe whand the"
+PROBE = 7
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _nodes(spark: SparkSession, sf_dir: str, version: str = "all") -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("node_id"), (F.col("source") if version == "source" else F.lit(version)).alias("version_id"), "text")
+
+
+def _ranked(df: DataFrame, by: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "node_id")
+    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query vector: one row of the embeddings."""
+    return list(_read(spark, sf_dir, "embeddings").where(F.col("vec_id") == PROBE).select("embedding").first()[0])
+
+
+# Pieces of SQL that several oracles share.
+_TOKENS = r"regexp_extract_all(text, '[A-Za-z0-9]+(?:[./+_-][A-Za-z0-9]+)*')"
+
+
+def _bm25_sql(version: str) -> str:
+    return rf"""
+bag AS (SELECT doc_id AS node_id, {version} AS version_id, list_transform({_TOKENS}, lambda t: lower(t)) AS ts FROM documents),
+doc AS (SELECT node_id, version_id, len(ts) AS dl, ts FROM bag WHERE len(ts) > 0),
+st AS (SELECT version_id, count(*) AS n, avg(dl) AS avgdl FROM doc GROUP BY version_id),
+ask AS (SELECT * FROM (VALUES ('the', 2), ('ering', 1), ('onthe', 1), ('whand', 1)) q(term, times)),
+tf AS (SELECT d.node_id, d.version_id, d.dl, a.term, a.times, len(list_filter(d.ts, lambda x: x = a.term)) AS tf FROM doc d, ask a),
+df AS (SELECT version_id, term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY version_id, term),
+bm AS (
+  SELECT t.version_id, t.node_id,
+    round(sum(t.times * ln(1 + (s.n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * t.tf / (t.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * t.dl / s.avgdl))), 6) AS score
+  FROM tf t JOIN st s USING (version_id) JOIN df f USING (version_id, term) WHERE t.tf > 0 GROUP BY t.version_id, t.node_id)
+"""
+
+
+@query(f"""WITH {_bm25_sql("'all'")} SELECT CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INTEGER) AS rank, node_id, score
+FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, node_id) <= 20""")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = retrieval.bm25_scores(_nodes(spark, sf_dir), terminology.tokenize(ASKED)).withColumn("score", F.round("score", 6))
+    return _ranked(scores, ["version_id"], 20).select("rank", "node_id", "score")
+
+
+@query(f"""WITH {_bm25_sql("source")} SELECT version_id, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score
+FROM bm QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY version_id ORDER BY score DESC, node_id)""")
+def bm25_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = retrieval.bm25_scores(_nodes(spark, sf_dir, "source"), terminology.tokenize(ASKED)).withColumn("score", F.round("score", 6))
+    return _ranked(scores, ["version_id"], 3).select("version_id", "rank", "node_id", "score")
+
+
+@query(f"""WITH {_bm25_sql("source")} SELECT version_id, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score
+FROM bm QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY version_id ORDER BY score DESC, node_id)""")
+def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from postings and statistics, as a stored index gives it."""
+    postings, stats = retrieval.build_inverted_index(_nodes(spark, sf_dir, "source"))
+    asked = spark.range(1).select(F.lit(1).alias("query_id"), F.explode(F.array(*map(F.lit, terminology.tokenize(ASKED)))).alias("token"))
+    scores = retrieval.bm25_batch(postings, stats, asked, 1_000_000).drop("rank").withColumn("score", F.round("score", 6))
+    return _ranked(scores, ["version_id"], 5).select("version_id", "rank", "node_id", "score")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, unnest(list_transform({_TOKENS}, lambda t: lower(t))) AS token FROM documents)
+SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY token""")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bags = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    per_doc = bags.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("token").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
+@query("""WITH g AS (
+  SELECT unnest(list_transform(range(1, length(text) - n + 2), lambda i: substring(text, i, n))) AS gram, n
+  FROM benchmark, (VALUES (2), (3)) s(n) WHERE length(text) >= n)
+SELECT gram, count(*) AS n FROM g GROUP BY gram""")
+def character_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    grams = _read(spark, sf_dir, "benchmark").select(F.explode(F.concat(T.ngrams(text, 2), T.ngrams(text, 3))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COSINE = f"""
+q AS (SELECT list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings WHERE vec_id = {PROBE}),
+e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
+vs AS (SELECT e.vec_id AS node_id, e.label, round(list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v)) / sqrt(list_dot_product(q.v, q.v)), 6) AS score FROM e, q)
+"""
+
+
+@query(f"WITH {_COSINE} SELECT CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score FROM vs QUALIFY row_number() OVER w <= 20 WINDOW w AS (ORDER BY score DESC, node_id)")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.lit("all").alias("version_id"), "embedding")
+    scored = e.select("version_id", "node_id", F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
+    return _ranked(scored, ["version_id"], 20).select("rank", "node_id", "score")
+
+
+@query(f"WITH {_COSINE} SELECT label, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score FROM vs QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY label ORDER BY score DESC, node_id)")
+def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    scored = e.select("label", F.col("vec_id").alias("node_id"), F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
+    return _ranked(scored, ["label"], 3).select("label", "rank", "node_id", "score")
+
+
+_RRF = f"""
+bmr AS (SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM bm QUALIFY rank <= 50),
+vr AS (SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM vs QUALIFY rank <= 50),
+fused AS (SELECT node_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM bmr UNION ALL SELECT * FROM vr) GROUP BY node_id)
+"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = retrieval.bm25_scores(_nodes(spark, sf_dir), terminology.tokenize(ASKED)).withColumn("score", F.round("score", 6))
+    e = _read(spark, sf_dir, "embeddings")
+    near = e.select(F.lit("all").alias("version_id"), F.col("vec_id").alias("node_id"), F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
+    rankings = [_ranked(x, ["version_id"], 50).select("version_id", "node_id", "rank") for x in (scores, near)]
+    return retrieval.rrf(rankings).withColumn("score", F.round("score", 8))
+
+
+@query(f"""WITH {_bm25_sql("'all'")}, {_COSINE}, {_RRF}
+SELECT CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INTEGER) AS rank, node_id, score FROM fused""")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(_fused(spark, sf_dir), ["version_id"], 100).select("rank", "node_id", "score")
+
+
+@query(f"""WITH {_bm25_sql("'all'")}, r AS (
+  SELECT b.node_id, d.source AS guideline_id, b.score,
+    row_number() OVER (PARTITION BY d.source ORDER BY b.score DESC, b.node_id) AS own FROM bm b JOIN documents d ON d.doc_id = b.node_id),
+p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN own = 1 THEN 0 ELSE 1 END, CASE WHEN own = 1 THEN guideline_id END, score DESC, node_id) AS position FROM r)
+SELECT CAST(position AS INTEGER) AS position, node_id, guideline_id, score FROM p WHERE position <= 25""")
+def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = retrieval.bm25_scores(_nodes(spark, sf_dir), terminology.tokenize(ASKED)).withColumn("score", F.round("score", 6))
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("source").alias("guideline_id"))
+    names = sorted(r[0] for r in docs.select("guideline_id").distinct().collect())
+    return retrieval.with_coverage(scores.join(docs, "node_id"), names, 25).select("position", "node_id", "guideline_id", "score")
+
+
+@query(f"""WITH {_bm25_sql("source")}, {_COSINE},
+br AS (SELECT b.version_id, b.node_id, row_number() OVER (PARTITION BY b.version_id ORDER BY b.score DESC, b.node_id) AS rank FROM bm b JOIN embeddings e ON e.vec_id = b.node_id QUALIFY rank <= 10),
+vr AS (SELECT d.source AS version_id, v.node_id, row_number() OVER (PARTITION BY d.source ORDER BY v.score DESC, v.node_id) AS rank FROM vs v JOIN documents d ON d.doc_id = v.node_id QUALIFY rank <= 10),
+fused AS (SELECT version_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM br UNION ALL SELECT * FROM vr) GROUP BY version_id, node_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY score DESC, node_id) AS own FROM fused),
+p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN own = 1 THEN 0 ELSE 1 END, CASE WHEN own = 1 THEN version_id END, score DESC, node_id) AS position FROM r)
+SELECT CAST(position AS INTEGER) AS position, p.node_id, version_id AS guideline_id, score, d.lang AS language, sha256(d.text) AS text_sha256
+FROM p JOIN documents d ON d.doc_id = p.node_id WHERE position <= 25""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole retrieval plan: both rankings of each version, fusion, coverage, evidence."""
+    docs = _nodes(spark, sf_dir, "source")
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    near = docs.join(e, "node_id").select("version_id", "node_id", F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
+    words = retrieval.bm25_scores(docs, terminology.tokenize(ASKED)).join(e.select("node_id"), "node_id", "left_semi").withColumn("score", F.round("score", 6))
+    fused = retrieval.rrf([_ranked(x, ["version_id"], 10) for x in (near, words)]).withColumn("score", F.round("score", 8))
+    names = sorted(r[0] for r in docs.select("version_id").distinct().collect())
+    final = retrieval.with_coverage(fused.withColumn("guideline_id", F.col("version_id")), names, 25)
+    text = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("language"), F.sha2("text", 256).alias("text_sha256"))
+    return final.join(text, "node_id").select("position", "node_id", "guideline_id", "score", "language", "text_sha256")
+
+
+@query(r"""SELECT doc_id FROM documents WHERE
+  (regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])une([^a-z0-9]|$)'))
+  AND (regexp_matches(lower(text), '(^|[^a-z0-9])ering([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])est([^a-z0-9]|$)'))""")
+def concept_and_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").where(T.matches_concepts(F.col("text"), [["the", "une"], ["ering", "est"]])).select("doc_id")
+
+
+_PAGED = """SELECT doc_id, text, source,
+  CASE doc_id % 7 WHEN 0 THEN 'table' WHEN 1 THEN 'table_row' ELSE 'paragraph' END AS block_type,
+  CASE doc_id % 11 WHEN 0 THEN 'Front Matter' WHEN 1 THEN 'Principles' ELSE 'Chapter ' || (doc_id % 5) END AS section_path,
+  CASE doc_id % 13 WHEN 0 THEN 'legal' WHEN 1 THEN 'front_matter' ELSE NULL END AS retrieval_role,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 9 END AS page_start,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 9 + doc_id % 2 END AS page_end,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Part ' || (doc_id % 4) END AS parent_h1,
+  CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'html' END AS source_kind FROM documents"""
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with made-up places on pages."""
+    d = F.col("doc_id")
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", "text", "source",
+        F.when(d % 7 == 0, "table").when(d % 7 == 1, "table_row").otherwise("paragraph").alias("block_type"),
+        F.when(d % 11 == 0, "Front Matter").when(d % 11 == 1, "Principles").otherwise(F.concat(F.lit("Chapter "), (d % 5).cast("string"))).alias("section_path"),
+        F.when(d % 13 == 0, "legal").when(d % 13 == 1, "front_matter").alias("retrieval_role"),
+        F.when(d % 3 != 0, d % 9).alias("page_start"),
+        F.when(d % 4 != 0, d % 9 + d % 2).alias("page_end"),
+        F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("Part "), (d % 4).cast("string"))).alias("parent_h1"),
+        F.when(d % 2 == 0, "pdf").otherwise("html").alias("source_kind"),
+    )
+
+
+_INDEXABLE = r"""CASE
+  WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN false
+  WHEN regexp_full_match(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[\d\s./:;,_-]+') THEN false
+  WHEN block_type IN ('table', 'table_row', 'algorithm') THEN true
+  WHEN lower(section_path) LIKE '%front matter%' OR lower(section_path) LIKE '%cip%' THEN false
+  WHEN retrieval_role IN ('cover', 'toc', 'credits', 'copyright', 'legal', 'metadata') THEN false
+  WHEN retrieval_role = 'front_matter' AND NOT (length(text) >= 350 AND regexp_matches(lower(text), 'therapy|treatment|recurrent|metastatic|breast cancer')) THEN false
+  WHEN page_start <= 1 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 350 AND regexp_matches(lower(text), 'guideline|nccn|csco|caca|breast cancer') THEN false
+  WHEN page_start <= 5 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 700 AND regexp_matches(lower(text), 'isbn|publisher') THEN false
+  ELSE true END"""
+
+
+def _flag() -> F.Column:
+    return N.indexable(*(F.col(c) for c in ("text", "block_type", "section_path", "retrieval_role", "page_start")))
+
+
+@query(f"WITH p AS ({_PAGED}) SELECT doc_id, {_INDEXABLE} AS indexable FROM p")
+def indexable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paged(spark, sf_dir).select("doc_id", _flag().alias("indexable"))
+
+
+@query(f"WITH p AS ({_PAGED}) SELECT source AS version_id, count(*) AS total, count(*) FILTER (WHERE {_INDEXABLE}) AS indexable, count(*) FILTER (WHERE NOT {_INDEXABLE}) AS excluded FROM p GROUP BY source")
+def indexable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.reports import indexable_counts as counts
+
+    return counts(_paged(spark, sf_dir).withColumnRenamed("source", "version_id"))
+
+
+@query(f"""WITH p AS ({_PAGED}) SELECT doc_id, CASE
+  WHEN source_kind = 'pdf' AND page_start IS NOT NULL THEN
+    CASE WHEN coalesce(page_end, page_start) = page_start THEN 'PDF 页序号 ' || (page_start + 1) ELSE 'PDF 页序号 ' || (page_start + 1) || '–' || (page_end + 1) END
+  ELSE concat_ws(' > ', nullif(parent_h1, ''), section_path) END AS locator FROM p""")
+def citation_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paged(spark, sf_dir).select("doc_id", N.locator(*(F.col(c) for c in ("source_kind", "page_start", "page_end", "parent_h1", "section_path"))).alias("locator"))
+
+
+_VERSIONS = r"""
+a AS (SELECT doc_id::VARCHAR AS chunk_id, 'v1:' || doc_id AS id, text FROM documents WHERE doc_id % 10 <> 3),
+b AS (SELECT doc_id::VARCHAR AS chunk_id, 'v2:' || doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN text || ' revised' WHEN doc_id % 4 = 1 THEN '  ' || replace(text, ' ', '  ') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7),
+an AS (SELECT chunk_id, id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS sha FROM a),
+bn AS (SELECT chunk_id, id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS sha FROM b),
+d AS (SELECT coalesce(an.chunk_id, bn.chunk_id) AS chunk_id, an.id AS prior_raw_chunk_id, bn.id AS current_raw_chunk_id,
+  CASE WHEN an.id IS NULL THEN 'added' WHEN bn.id IS NULL THEN 'removed' WHEN an.sha = bn.sha THEN 'unchanged' ELSE 'modified' END AS change_type
+  FROM an FULL OUTER JOIN bn ON an.chunk_id = bn.chunk_id)
+"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    d, text = F.col("doc_id"), F.col("text")
+    edited = F.when(d % 4 == 0, F.concat(text, F.lit(" revised"))).when(d % 4 == 1, F.concat(F.lit("  "), F.replace(text, F.lit(" "), F.lit("  ")))).otherwise(text)
+    prior = docs.where(d % 10 != 3).select(d.cast("string").alias("chunk_id"), F.concat(F.lit("v1:"), d.cast("string")).alias("id"), "text")
+    current = docs.where(d % 10 != 7).select(d.cast("string").alias("chunk_id"), F.concat(F.lit("v2:"), d.cast("string")).alias("id"), edited.alias("text"))
+    return diff.compare(prior, current, "v1", "v2", T.collapse_ascii(F.col("text")))
+
+
+@query(f"WITH {_VERSIONS} SELECT sha256('v1' || chr(0) || 'v2' || chr(0) || chunk_id) AS id, chunk_id, prior_raw_chunk_id, current_raw_chunk_id, change_type FROM d")
+def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir).select("id", "chunk_id", "prior_raw_chunk_id", "current_raw_chunk_id", "change_type")
+
+
+@query(f"WITH {_VERSIONS} SELECT 'v1' AS prior_version_id, 'v2' AS current_version_id, change_type, count(*) AS n FROM d GROUP BY change_type")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.summary(_compared(spark, sf_dir))
+
+
+@query("""SELECT source || ':v1:' || doc_id || ':0' AS node_id, source || ':' || doc_id AS raw_chunk_id, 0 AS fragment_ordinal, 0 AS char_start,
+  CAST(length(text) AS INTEGER) AS char_end, sha256(text) AS content_sha256 FROM documents""")
+def chunk_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    chunks = docs.select(
+        F.col("source").alias("guideline_id"), F.lit("v1").alias("version_id"), F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("raw_chunk_id"),
+        F.col("doc_id").cast("string").alias("chunk_id"), "text",
+    )
+    return N.build_nodes(chunks).select("node_id", "raw_chunk_id", "fragment_ordinal", "char_start", "char_end", "content_sha256")
+
+
+@query("""SELECT doc_id, '{"block_type":"paragraph","doc_id":' || doc_id || ',"page_end":null,"source":"' || source || '"}' AS metadata FROM documents""")
+def node_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a record has stay even where they are null; those it doesn't have are left out."""
+    present = F.array(F.lit("block_type"), F.lit("page_end"), F.lit("doc_id"))
+    fields = {"block_type": F.lit("paragraph"), "page_end": F.lit(None).cast("long"), "page_start": F.lit(1), "doc_id": F.col("doc_id"), "source": F.col("source")}
+    return _read(spark, sf_dir, "documents").select("doc_id", N.metadata_json(fields, present).alias("metadata"))
+
+
+@query("""SELECT source, sha256(string_agg(text || chr(0), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source""")
+def text_digest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").groupBy("source").agg(T.text_digest(F.col("doc_id"), F.col("text")).alias("digest"))
+
+
+@query("""SELECT source AS path, count(*) AS record_count, count(DISTINCT doc_id) = count(doc_id) AS ids_unique, count(*) FILTER (WHERE lang IS NULL) AS missing_lang,
+  sum(length(text))::BIGINT AS chars FROM documents GROUP BY source""")
+def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.groupBy(F.col("source").alias("path")).agg(
+        F.count(F.lit(1)).alias("record_count"), (F.count_distinct("doc_id") == F.count("doc_id")).alias("ids_unique"),
+        F.count_if(F.col("lang").isNull()).alias("missing_lang"), F.sum(F.char_length("text")).alias("chars"),
+    )
+
+
+@query("SELECT user_id, event_type, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def lifecycle_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
+    return _read(spark, sf_dir, "events").withColumn("latest", latest).where("latest").select("user_id", "event_type", "ts", "event_id")
+
+
+@query("""SELECT event_type AS action, count(*) AS n, count(DISTINCT user_id) AS entities, min(event_id) AS first_id, max(event_id) AS last_id,
+  count(DISTINCT json_extract_string(props, '$.k')) AS payload_values FROM events GROUP BY event_type""")
+def audit_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("entities"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
+        F.count_distinct(F.get_json_object("props", "$.k")).alias("payload_values"),
+    )
+
+
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
+def audit_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("action"))
+    return audit.activity(events).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT source AS guideline_id, count(*) AS n_versions, min(doc_id) AS first_version, string_agg(doc_id::VARCHAR, ',' ORDER BY n_chars, doc_id) AS versions
+FROM documents GROUP BY source""")
+def guideline_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = _read(spark, sf_dir, "documents").groupBy(F.col("source").alias("guideline_id")).agg(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))).alias("v"))
+    return nested.select(
+        "guideline_id", F.size("v").cast("long").alias("n_versions"), F.array_min(F.transform("v", lambda x: x["doc_id"])).alias("first_version"),
+        F.array_join(F.transform("v", lambda x: x["doc_id"].cast("string")), ",").alias("versions"),
+    )
+
+
+_GAP = r"[ \t\x{2003}\x{a0}]+"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' t u m o r' WHEN 1 THEN ' H E R 2 m g / k g' WHEN 2 THEN ' c a n c' ELSE '' END AS t FROM documents),
+n AS (SELECT doc_id,
+  len(regexp_extract_all(t, 't{_GAP}u{_GAP}m{_GAP}o{_GAP}r')) AS tumor, len(regexp_extract_all(t, 'H{_GAP}E{_GAP}R{_GAP}2')) AS her2,
+  regexp_replace(regexp_replace(regexp_replace(t, 't{_GAP}u{_GAP}m{_GAP}o{_GAP}r', 'tumor', 'g'), 'H{_GAP}E{_GAP}R{_GAP}2', 'HER2', 'g'), 'm{_GAP}g{_GAP}/{_GAP}k{_GAP}g', 'mg/kg', 'g') AS t FROM s)
+SELECT doc_id, sha256(t) AS text_sha256, tumor, her2 FROM n""")
+def spacing_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    tail = F.when(d % 4 == 0, " t u m o r").when(d % 4 == 1, " H E R 2 m g / k g").when(d % 4 == 2, " c a n c").otherwise("")
+    text, counts = T.normalize_spacing(F.concat(F.col("text"), tail))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha256"), counts["split_tumor"].cast("long").alias("tumor"), counts["split_her2"].cast("long").alias("her2"))
+
+
+_PAIRS = [("HER2", "人表皮生长因子受体2"), ("ADC", "抗体药物偶联物"), ("ADC", "表观扩散系数"), ("therapy", "治疗"), ("Therapy", "治疗"), ("risk", "风险"), ("docetaxel", "多西他赛")]
+_PAIR_SQL = "p(english, chinese) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS) + ")"
+
+
+def _pairs(spark: SparkSession) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(a).alias("english"), F.lit(b).alias("chinese")) for a, b in _PAIRS))
+    return spark.range(1).select(F.explode(rows).alias("p")).select("p.*")
+
+
+@query(f"""WITH {_PAIR_SQL}, b AS (SELECT DISTINCT english AS term, chinese AS alias FROM p UNION SELECT DISTINCT chinese, english FROM p)
+SELECT term, string_agg(alias, '|' ORDER BY lower(alias), alias) AS aliases FROM b GROUP BY term""")
+def glossary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terminology.group_aliases(_pairs(spark)).select("term", F.array_join("aliases", "|").alias("aliases"))
+
+
+_CHUNKS = [
+    ("c1", "使用多西他赛（docetaxel）与曲妥珠单抗（trastuzumab，H）。"), ("c2", "剂量（mmol/L）高危；Docetaxel（多西他赛）"), ("c3", "抗体药物偶联物（ADC）与表观扩散系数（ADC）"),
+    ("c4", "建议采用化疗（chemotherapy）"),
+]
+_REVIEWED = [("docetaxel", "多西他赛"), ("ADC", "抗体药物偶联物"), ("ADC", "表观扩散系数")]
+
+
+@query("""SELECT * FROM (VALUES
+  ('c1', 'docetaxel', '使用多西他赛', 'unreviewed_candidate'), ('c1', 'trastuzumab', '与曲妥珠单抗', 'unreviewed_candidate'), ('c1', 'H', '与曲妥珠单抗', 'invalid_term_shape'),
+  ('c2', 'mmol/L', '剂量', 'measurement_or_threshold'), ('c2', 'Docetaxel', '多西他赛', NULL), ('c3', 'ADC', '抗体药物偶联物', 'ambiguous_alias'),
+  ('c3', 'ADC', '与表观扩散系数', 'unreviewed_candidate'), ('c4', 'chemotherapy', '建议采用化疗', 'sentence_fragment')
+) t(chunk_id, english, chinese, reason)""".replace("'ambiguous_alias'", "NULL"))
+def glossary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(a).alias("chunk_id"), F.lit(b).alias("text")) for a, b in _CHUNKS))
+    known = F.array(*(F.struct(F.lit(a).alias("english"), F.lit(b).alias("chinese")) for a, b in _REVIEWED))
+    chunks = spark.range(1).select(F.explode(rows).alias("c")).select("c.*")
+    return terminology.judge(terminology.candidates(chunks), spark.range(1).select(F.explode(known).alias("k")).select("k.*"))
+
+
+@query(f"WITH {_PAIR_SQL} SELECT lower(english) AS english, count(DISTINCT chinese) AS targets FROM p GROUP BY 1 HAVING count(DISTINCT chinese) > 1")
+def ambiguous_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark).groupBy(F.lower("english").alias("english")).agg(F.count_distinct("chinese").alias("targets")).where("targets > 1")
+
+
+@query("SELECT 'non-reciprocal' AS error, '风险' AS term, 'risk' AS alias UNION ALL SELECT 'non-reciprocal', 'peril', '风险' UNION ALL SELECT 'language-shape', 'peril', 'risk' UNION ALL SELECT 'non-reciprocal', 'peril', 'risk'")
+def glossary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.array(F.struct(F.lit("风险").alias("term"), F.array(F.lit("risk")).alias("aliases")), F.struct(F.lit("peril").alias("term"), F.array(F.lit("风险"), F.lit("risk")).alias("aliases")))
+    glossary = spark.range(1).select(F.explode(rows).alias("g")).select("g.*")
+    trusted = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(e).alias("english"), F.lit("风险").alias("chinese")) for e in ("risk", "peril")))).alias("t")).select("t.*")
+    return terminology.audit(glossary, trusted)
+
+
+_CELLS = """cells AS (
+  SELECT l_orderkey AS table_id, 0 AS r, c, h AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES (0, 'Part'), (1, 'Quantity'), (2, 'Flag'), (3, 'Flag')) v(c, h)
+  UNION ALL
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), c,
+    CASE c WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN CAST(l_quantity AS BIGINT)::VARCHAR WHEN 2 THEN l_returnflag ELSE l_linestatus END
+  FROM lineitem, (VALUES (0), (1), (2), (3)) v(c))"""
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table for each order: a header of four columns, two of the same name, and a row for each line."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("a"), F.col("l_quantity").cast("long").cast("string").alias("b"), F.col("l_returnflag").alias("c"), F.col("l_linestatus").alias("d")))).alias("lines")
+    )
+
+    def cell(r: object, c: int, text: F.Column) -> F.Column:
+        r = r if isinstance(r, F.Column) else F.lit(r)
+        return F.struct(r.alias("RowTl"), F.lit(c).alias("ColTl"), (r + 1).alias("RowBr"), F.lit(c + 1).alias("ColBr"), text.alias("Text"), F.lit(99.0).alias("Confidence"))
+
+    head = F.array(*(cell(0, c, F.lit(h)) for c, h in enumerate(("Part", "Quantity", "Flag", "Flag"))))
+    body = F.flatten(F.transform("lines", lambda x, i: F.array(*(cell(i + 1, c, x[f]) for c, f in enumerate("abcd")))))
+    return lines.select("table_id", F.concat(head, body).alias("Cells"))
+
+
+@query(f"WITH {_CELLS} SELECT table_id, CAST(r AS INTEGER) AS r, c, text FROM cells")
+def grid_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.grid_cells(_tables(spark, sf_dir)).select("table_id", "r", "c", F.col("Text").alias("text"))
+
+
+@query(f"""WITH {_CELLS}, g AS (SELECT table_id, r, string_agg(CASE c WHEN 0 THEN 'Part' WHEN 1 THEN 'Quantity' WHEN 2 THEN 'Flag' ELSE 'Flag（第4列）' END || '=' || text, '；' ORDER BY c) AS body FROM cells WHERE r > 0 GROUP BY table_id, r)
+SELECT table_id, CAST(r AS INTEGER) AS r, '表格：T' || table_id || chr(10) || '第' || (r + 1) || '行：' || body AS text FROM g
+UNION ALL SELECT DISTINCT table_id, 0, '表格：T' || table_id || chr(10) || '表头：第1列=Part；第2列=Quantity；第3列=Flag；第4列=Flag' FROM cells""")
+def grid_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return t.select("table_id", F.posexplode(tables.row_texts(F.col("Cells"), F.concat(F.lit("T"), F.col("table_id").cast("string")))).alias("r", "text"))
+
+
+@query("SELECT l_orderkey AS table_id, CASE WHEN l_orderkey % 5 = 0 THEN 'table cells overlap' END AS error, CAST(count(*) + 1 AS INTEGER) AS n_rows, 4 AS n_columns FROM lineitem GROUP BY l_orderkey")
+def grid_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    cells = F.when(F.col("table_id") % 5 == 0, F.concat(F.col("Cells"), F.slice("Cells", 1, 1))).otherwise(F.col("Cells"))
+    return t.select("table_id", tables.grid_error(cells).alias("error"), tables.rows_of(F.col("Cells")).alias("n_rows"), tables.columns_of(F.col("Cells")).alias("n_columns"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), k AS (SELECT 'table' AS block_type, 0 AS i UNION ALL SELECT 'table_row', 1)
+SELECT block_type, CAST(sum(CASE WHEN i = 0 THEN 1 ELSE n + 1 END) AS BIGINT) AS n FROM t, k GROUP BY block_type""")
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir).select(
+        F.lit("doc").alias("doc_id"), F.lit("Doc").alias("doc_title"), (F.col("table_id") % 100).cast("int").alias("page_index"), F.lit(None).cast("string").alias("page_code"), F.lit("S").alias("section_path"),
+        F.col("table_id").cast("int").alias("table_index"), F.lit("T").alias("table_title"), F.lit("p.png").alias("source_image"), "Cells",
+    )
+    return tables.block_counts(tables.table_records(t))
+
+
+_BOXES = """b AS (SELECT s_nationkey AS page, s_suppkey AS box_id, ((s_suppkey * 137) % 900)::DOUBLE AS x0, ((s_suppkey * 71) % 700)::DOUBLE AS y0, (((s_suppkey * 137) % 900) + 120)::DOUBLE AS x1, (((s_suppkey * 71) % 700) + 80)::DOUBLE AS y1 FROM supplier),
+t AS (SELECT s_nationkey AS page, s_suppkey AS table_id, x + (s_suppkey % 9) * 6 AS x0, y + (s_suppkey % 5) * 4 AS y0, x + (s_suppkey % 9) * 6 + 110 AS x1, y + (s_suppkey % 5) * 4 + 70 AS y1
+  FROM (SELECT *, ((s_suppkey * 137) % 900)::DOUBLE AS x, ((s_suppkey * 71) % 700)::DOUBLE AS y FROM supplier))"""
+
+
+def _box(x: F.Column, y: F.Column, w: float, h: float) -> F.Column:
+    return F.struct(x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
+
+
+@query(f"""WITH {_BOXES}, s AS (
+  SELECT t.page, table_id, box_id, greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0))
+    / least((b.x1 - b.x0) * (b.y1 - b.y0), (t.x1 - t.x0) * (t.y1 - t.y0)) AS ratio FROM t JOIN b ON t.page = b.page),
+m AS (SELECT page, table_id, max(ratio) AS best FROM s GROUP BY ALL),
+w AS (SELECT s.page, s.table_id, count(*) AS n, min(box_id) AS box_id, any_value(best) AS best FROM s JOIN m USING (page, table_id) WHERE abs(ratio - best) <= 1e-9 GROUP BY ALL)
+SELECT page, table_id, CASE WHEN best >= 0.7 AND n = 1 THEN box_id END AS box_id, CASE WHEN best >= 0.7 THEN round(best, 9) END AS ratio,
+  CASE WHEN best < 0.7 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM w""")
+def geometry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    x, y = ((k * 137) % 900).cast("double"), ((k * 71) % 700).cast("double")
+    boxes = s.select(F.col("s_nationkey").alias("page"), k.alias("box_id"), _box(x, y, 120, 80).alias("box"))
+    found = s.select(F.col("s_nationkey").alias("page"), k.alias("table_id"), _box(x + (k % 9) * 6, y + (k % 5) * 4, 110, 70).alias("rect"))
+    return tables.match_boxes(boxes, found).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(f"""WITH {_BOXES}, n AS (SELECT page, table_id, y0, y1, row_number() OVER (PARTITION BY page ORDER BY y0, table_id) AS table_index FROM t),
+s AS (SELECT n.page, table_id, table_index, box_id AS image_id, greatest(0, least(b.y1, n.y1) - greatest(b.y0, n.y0)) / least(b.y1 - b.y0, n.y1 - n.y0) AS ratio, b.y0 AS top FROM n JOIN b ON n.page = b.page)
+SELECT page, table_id, CAST(table_index AS INTEGER) AS table_index, image_id, round(ratio, 9) AS ratio, ratio >= 0.8 AS matched FROM s
+QUALIFY row_number() OVER (PARTITION BY page, table_id ORDER BY ratio DESC, top, image_id) = 1""")
+def image_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    y = ((k * 71) % 700).cast("double")
+    images = s.select(F.col("s_nationkey").alias("page"), k.alias("image_id"), y.alias("top"), (y + 80).alias("bottom"))
+    t0 = y + (k % 5) * 4
+    found = s.select(F.col("s_nationkey").alias("page"), k.alias("table_id"), t0.alias("top"), (t0 + 70).alias("bottom"))
+    return tables.match_images(images, found).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("""WITH a AS (SELECT item_id, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) || list_filter(string_split(t, ','), lambda v: false)) AS g
+  FROM (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM benchmark)),
+d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM documents))
+SELECT item_id, round(len(list_intersect(d.g, a.g))::DOUBLE / len(a.g), 9) AS containment FROM a JOIN d ON d.doc_id = a.item_id""".replace("\\\\", "\\"))
+def token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace(F.lower("text"), r"\s+", "")
+    a = _read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.ngrams(bare, 2)).alias("a"))
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.ngrams(bare, 2).alias("d"))
+    return a.join(d, "item_id").select("item_id", F.round(T.containment(F.col("d"), F.col("a")), 9).alias("containment"))
+
+
+@query("""WITH base AS (SELECT source AS doc, doc_id AS ord, doc_id // 40 AS page, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'table_row' ELSE 'paragraph' END AS block FROM documents),
+f AS (SELECT doc, page, min(ord) AS at FROM base WHERE block = 'table' GROUP BY ALL),
+u AS (SELECT doc, ord AS k, 0 AS t, 'd' || ord AS chunk_id, block FROM base WHERE block = 'paragraph'
+  UNION ALL SELECT doc, at, t, 'g' || page || '_' || t, 'table' FROM f, (VALUES (1), (2)) v(t))
+SELECT doc AS doc_id, CAST(row_number() OVER (PARTITION BY doc ORDER BY k, t) AS INTEGER) AS ord, chunk_id, block AS block_type FROM u""")
+def table_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's new tables at the place of its first old one; the old ones go, all else keeps its order."""
+    d = F.col("doc_id")
+    base = _read(spark, sf_dir, "documents").select(
+        F.col("source").alias("doc_id"), d.alias("ord"), F.floor(d / 40).alias("page_start"), F.concat(F.lit("d"), d.cast("string")).alias("chunk_id"),
+        F.when(d % 3 == 0, "table").when(d % 3 == 1, "table_row").otherwise("paragraph").alias("block_type"),
+    )
+    pages = base.where("block_type = 'table'").select("doc_id", "page_start").distinct()
+    new = pages.withColumn("table_index", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        "doc_id", "page_start", F.format_string("g%d_%d", "page_start", "table_index").alias("chunk_id"), F.lit("table").alias("block_type"), "table_index", F.lit(None).cast("int").alias("table_row_index")
+    )
+    return tables.rebuild(base, new).select("doc_id", "ord", "chunk_id", "block_type")
+
+
+@query("""SELECT 'label key' AS rule, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1)) AS n
+UNION ALL SELECT 'label document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
+UNION ALL SELECT 'line quantity', (SELECT count(*) FROM lineitem WHERE NOT l_quantity > 1)""")
+def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, docs = _read(spark, sf_dir, "labels"), _read(spark, sf_dir, "documents")
+    parts = {
+        "label key": constraints.duplicates(labels, "doc_id"),
+        "label document": constraints.orphans(labels, "doc_id", docs, "doc_id"),
+        "line quantity": constraints.failing(_read(spark, sf_dir, "lineitem"), F.col("l_quantity") > 1),
+    }
+    out = None
+    for rule, df in parts.items():
+        one = df.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query()
+def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = T.normalize_text(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(form, 256).alias("normalized_sha256"), F.char_length(form).alias("n_chars"))
+
+
+@query()
+def long_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_long(F.col("text"))).alias("piece", "text"))
+    return pieces.select("doc_id", "piece", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def markdown_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of Markdown sources, one source for each value of ``source``."""
+    docs = _read(spark, sf_dir, "documents")
+    pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), (F.col("doc_id") + 1).cast("int").alias("page"), F.concat(F.lit("# Head\n\n"), F.col("text")).alias("body"))
+    none = spark.range(0).select(F.lit("").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("image_id"), F.lit(0).alias("table_index"))
+    return markdown.convert(pages, none, "md").select("doc_id", "seq", "chunk_id", "page", "kind", "section_path", F.char_length("text").alias("n_chars"))
