@@ -24,6 +24,7 @@ empty results. Other columns of the input are not stored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,18 +40,28 @@ from pyspark.sql.window import Window
 #: Ids in the rolling window; mean ids between cuts; most ids in a chunk.
 WINDOW, MEAN, MOST = 16, 1024, 8192
 #: Words kept with their ids by each Python worker.
-MEMO_WORDS = 700_000
-SLICE_BYTES = 1 << 20
+MEMO_WORDS = 900_000
+SLICE_BYTES = 3 << 20
 #: Documents of one recipe range, about.
 RANGE_ROWS = 50_000
-_ODD = b"\x1c\x1d\x1e\x1f"
+#: Letters and then ASCII punctuation other than apostrophes, which are two token runs.
+_TAILED = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+_TAILED_ANY = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _plain(word: str) -> bool:
+    """Letters of the Latin blocks, which all parties know as letters in both cases."""
+    return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
 
 
 class WordEncoder:
     """The library's ids for whole texts, by way of each distinct word's ids.
 
-    White space separates all tokens of this tokenizer, so a text's ids are those of its words. Words not
-    seen before are encoded by the library, many in one call, with a digit (always one token) between them.
+    White space separates all tokens of this tokenizer and it lower-cases, so a text's ids are those of its lower-cased
+    words, and a word of letters with punctuation behind it is a token run of each. Words not seen before are encoded by the
+    library, many in one call; each run of letters or punctuation ends in a token marked as a word end, which tells the words' ids apart.
+    A text with a special token's opening, or with white space that the library and bytes.split() see differently, goes to
+    the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,64 +71,87 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        vocabulary = self.lib.get_vocab()
+        self.dtype = "<u2" if max(vocabulary.values()) < 65536 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
-        (self.between,) = self._raw("0")
-        probe = "One two, (three) don't naïve\n\tx9y  ü0 it's"
-        self.by_word = self._raw(probe) == [i for w in probe.split() for i in self._raw(w)]
+        probe = "One two, (three) DON'T naïve\n\tx9y  ü0 It's end... A,b"
+        parts = self._add([w for w in set(probe.encode().lower().split())])
+        ids = b"".join(parts[w] for w in probe.encode().lower().split())
+        self.by_word = self._raw(probe) == np.frombuffer(ids, self.dtype).tolist()
 
     def _raw(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
     def _add(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words that the memo does not have."""
         out: dict[bytes, bytes] = {}
-        plain = [w for w in words if b"0" not in w and w.isascii()]
-        for w, e in zip(rest := [w for w in words if b"0" in w or not w.isascii()], self.lib.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        if plain:
-            groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-            for group, e in zip(groups, self.lib.encode_batch_fast([b" 0 ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.flatnonzero(ids == self.between)
-                raw, a = ids.tobytes(), 0
-                if len(cuts) != len(group) - 1:
-                    for w in group:
-                        out[w] = np.array(self._raw(w.decode()), "<u4").tobytes()
-                    continue
-                for w, b in zip(group, [*cuts.tolist(), len(ids)], strict=True):
-                    out[w] = raw[4 * a : 4 * b]
-                    a = b + 1
-        return out
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian 32-bit integers."""
-        cut = [t.split() for t in texts]  # ASCII white space; other white space stays inside a word, where the library drops it
-        missing = {w for c in cut for w in c if w not in self.memo}
-        memo = self.memo
-        if missing:
-            new = self._add(list(missing))
-            if len(memo) + len(new) <= MEMO_WORDS:
-                memo |= new
-            else:
-                memo = _Both(new, memo)
-        get = memo.__getitem__
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if not self.by_word or t.translate(None, _ODD) != t:
-                out.append(np.array(self._raw(t.decode()), "<u4").tobytes() + end)
+        memo, joined, single = self.memo, [], set()
+        for w in words:
+            if w.isalpha():
+                single.add(w)
+            elif w.isascii() and (m := _TAILED.fullmatch(w)):
+                joined.append((w, *m.groups()))
+            elif (m := _TAILED_ANY.fullmatch(w.decode())) and _plain(m[1]):
+                if m[2]:
+                    joined.append((w, m[1].encode(), m[2].encode()))
+                else:
+                    single.add(w)
             else:
-                out.append(b"".join(map(get, c)) + end)
+                out[w] = self._bytes(self._raw(w.decode()))
+        for _, head, tail in joined:
+            if head not in memo:
+                single.add(head)
+            if tail not in memo:
+                single.add(tail)
+        units = list(single)
+        groups = [units[i : i + 512] for i in range(0, len(units), 512)]
+        encoded = self.lib.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(group) or cut[-1] != len(ids):
+                out.update((w, self._bytes(self._raw(w.decode()))) for w in group)
+                continue
+            raw, at = ids.tobytes(), (ids.itemsize * np.append(0, cut)).tolist()
+            out.update(zip(group, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
+        for w, head, tail in joined:
+            out[w] = (out.get(head) or memo[head]) + (out.get(tail) or memo[tail])
         return out
 
-
-class _Both(dict):
-    """A dict that looks further in another."""
-
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key: bytes) -> bytes:
-        return self.second[key]
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (a string array without nulls), each with the end id behind it, and where each text's ids end."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        memo = self.memo
+        new = self._add([w for w in names if w and w not in memo])
+        new[b""] = b""
+        parts = [memo[w] if w in memo else new[w] for w in names]
+        if len(memo) + len(new) <= MEMO_WORDS:
+            memo |= new
+        # Words become runs of ids by indexing: where each word's ids lie, then a running place for each id.
+        width = np.dtype(self.dtype).itemsize
+        flat = np.append(np.frombuffer(b"".join(parts), self.dtype), np.array([end], self.dtype))
+        sizes = np.append(np.fromiter(map(len, parts), np.int64, len(parts)) // width, 1)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        of_text = np.diff(words.offsets.to_numpy())
+        index = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(of_text), len(names))
+        n = sizes[index]
+        place = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[index] - place[:-1], n) + np.arange(place[-1])].astype("<u4")
+        ends = place[np.cumsum(of_text + 1)]
+        odd = pc.match_substring_regex(texts, "<\\||[\\x1c-\\x1f]").to_numpy(zero_copy_only=False)
+        if odd.any() or not self.by_word:
+            streams = np.split(ids, ends[:-1])
+            for i in range(len(streams)) if not self.by_word else np.flatnonzero(odd):
+                streams[i] = np.array([*self._raw(texts[int(i)].as_py()), end], "<u4")
+            ids, ends = np.concatenate(streams), np.cumsum(list(map(len, streams)))
+        return ids, ends
 
 
 @lru_cache(maxsize=2)
@@ -127,21 +162,29 @@ def word_encoder(path: str) -> WordEncoder:
 _GEAR = np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream: where the hash of the last WINDOW ids is small, and after MOST ids."""
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream (``bounds``: where the streams lie in ``ids``), counted from its start: where
+    the hash of the last WINDOW ids is small, and after MOST ids."""
     n = len(ids)
-    found = np.zeros(0, np.int64)
-    if n > WINDOW:
-        v = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint64)
-        h = np.zeros(n - WINDOW + 1, np.uint64)
-        for k in range(WINDOW):  # the window's newest id is shifted least, as in a gear hash
-            h += v[WINDOW - 1 - k : n - k] << np.uint64(k)
-        found = np.flatnonzero(h * np.uint64(0x9E3779B97F4A7C15) < np.uint64(2**64 // MEAN)) + WINDOW
-        found = found[found < n]
-    bounds = np.concatenate([[0], found, [n]])
-    if (np.diff(bounds) > MOST).any():
-        bounds = np.unique(np.concatenate([np.append(np.arange(a, b, MOST), b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))
-    return bounds[1:]
+    v = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint64)
+    h = v.copy()
+    for k in range(1, min(WINDOW, n)):  # the window's newest id is shifted least, as in a gear hash
+        h[k:] += v[:-k] << np.uint64(k)
+    found = np.flatnonzero(h * np.uint64(0x9E3779B97F4A7C15) < np.uint64(2**64 // MEAN)) + 1
+    stream = np.searchsorted(bounds, found, side="right") - 1
+    inside = stream < len(bounds) - 1
+    found, stream = found[inside], stream[inside]
+    found = found[found - bounds[stream] >= WINDOW]  # a window lies in one stream
+    out = []
+    for a, b, c in zip(bounds[:-1].tolist(), bounds[1:].tolist(), np.split(found, np.searchsorted(found, bounds[1:-1])), strict=True):
+        last, ends = a, []
+        for e in [*c.tolist(), b]:
+            if e <= a or e == last:
+                continue
+            ends += [*range(last + MOST, e, MOST), e]
+            last = e
+        out.append([e - a for e in ends])
+    return out
 
 
 def address(chunk: bytes) -> bytes:
@@ -163,20 +206,21 @@ def _encode(docs: DataFrame, path: str, id_col: str, text: str, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        enc = word_encoder(path)
         task, row = TaskContext.get().partitionId(), 0
         given: set[bytes] = set()
         for batch in batches:
-            column, at = batch.column(text), 0
+            column, at = pc.fill_null(batch.column(text), ""), 0
+            where = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
             while at < batch.num_rows:
-                texts, size = [], 0
-                while at + len(texts) < batch.num_rows and size < SLICE_BYTES:
-                    texts.append((column[at + len(texts)].as_py() or "").encode())
-                    size += len(texts[-1])
+                n = max(1, int(np.searchsorted(where, where[at] + SLICE_BYTES)) - at)
+                n = min(n, batch.num_rows - at)
                 keys, counts, lists, roots, fresh, bodies = [], [], [], [], [], []
-                for ids in enc.encode(texts, end):
-                    ends = (4 * cuts(np.frombuffer(ids, "<u4"))).tolist()
-                    chunks = [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+                whole, stops = enc.encode(column.slice(at, n), end_id)
+                bounds = np.concatenate([[0], stops])
+                for a, b, ends in zip(bounds[:-1], bounds[1:], cuts(whole, bounds), strict=True):
+                    ids = whole[a:b].tobytes()
+                    chunks = [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
                     names = [address(c) for c in chunks]
                     for name, c in zip(names, chunks, strict=True):
                         if name not in given:
@@ -189,7 +233,7 @@ def _encode(docs: DataFrame, path: str, id_col: str, text: str, end_id: int) ->
                     counts.append(len(ids) // 4)
                     lists.append(names)
                     roots.append(merkle(names))
-                n, m = len(texts), len(fresh)
+                m = len(fresh)
                 ids = batch.column(id_col).slice(at, n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -274,47 +318,34 @@ def verify_manifest(spark: SparkSession, store: str) -> bool:
     return spark.read.parquet(f"{store}/manifest").exceptAll(_manifest(spark, store)).isEmpty()
 
 
-def _crc_shift(crc: int, zeros: int) -> int:
-    """The CRC register after ``zeros`` zero bytes, by squaring the one-bit matrix over GF(2)."""
-    for k in range(zeros.bit_length()):
-        if zeros >> k & 1:
-            crc = _apply(_zero_matrix(k), crc)
-    return crc
-
-
-def _apply(matrix: tuple[int, ...], v: int) -> int:
-    out, k = 0, 0
-    while v:
-        if v & 1:
-            out ^= matrix[k]
-        v >>= 1
-        k += 1
-    return out
-
-
 @lru_cache(maxsize=64)
-def _zero_matrix(k: int) -> tuple[int, ...]:
-    """What 2**k zero bytes do to each bit of the register."""
-    if k == 0:
-        m = tuple([0xEDB88320, *(1 << i for i in range(31))])
-        for _ in range(3):
-            m = tuple(_apply(m, v) for v in m)
-        return m
-    m = _zero_matrix(k - 1)
-    return tuple(_apply(m, v) for v in m)
+def _zeros(k: int) -> np.ndarray:
+    """What 2**k zero bytes do to a CRC-32 register, as tables for each of its four bytes (linear over GF(2))."""
+    if k:
+        return _after(_zeros(k - 1), _zeros(k - 1))
+    bits = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        bits = np.where(bits & 1, (bits >> np.uint32(1)) ^ np.uint32(0xEDB88320), bits >> np.uint32(1))
+    low = np.arange(256, dtype=np.uint32)
+    return np.stack([bits, low, low << np.uint32(8), low << np.uint32(16)])
 
 
-@lru_cache(maxsize=20_000)
-def _shift_matrix(size: int) -> tuple[int, ...]:
-    return tuple(_crc_shift(1 << i, size) for i in range(32))
+def _after(table: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
 
 
-def crc_join(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of a concatenation, from each part's CRC-32 and size in bytes."""
-    crc = 0
-    for part, size in parts:
-        crc = _apply(_shift_matrix(size), crc) ^ part
-    return crc
+def crc_join(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """CRC-32 of concatenations, from the CRC-32 and the size in bytes of their parts (``firsts``: each one's first part).
+
+    The sum of a concatenation is the exclusive or of the sums of its parts, each moved on by the bytes that follow it.
+    """
+    total = np.cumsum(sizes)
+    last = np.append(firsts[1:], len(sizes)) - 1
+    behind = np.repeat(total[last], np.diff(np.append(firsts, len(sizes)))) - total
+    out = crcs.astype(np.uint32)
+    for k in range(int(behind.max(initial=0)).bit_length()):
+        out = np.where(behind >> k & 1, _after(_zeros(k), out), out)
+    return np.bitwise_xor.reduceat(out, firsts) if len(firsts) else out
 
 
 def _checked(batch: pa.RecordBatch) -> list[bytes]:
@@ -354,13 +385,18 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for doc, n, root, ps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "parts")), strict=True):
-                _complete([p["address"] for p in ps], [p["crc"] for p in ps], root, doc)
-                if sum(p["size"] for p in ps) != 4 * n:
-                    raise ValueError(f"document {doc}: its chunks do not have its number of ids")
-                crcs.append(crc_join([(p["crc"], p["size"]) for p in ps]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            lists = batch.column("parts")
+            flat = lists.flatten()
+            firsts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+            names, found = flat.field("address").to_pylist(), flat.field("crc").to_pylist()
+            docs, counts = (batch.column(c).to_pylist() for c in ("doc_id", "n_tokens"))
+            for i, root in enumerate(batch.column("root").to_pylist()):
+                _complete(names[firsts[i] : firsts[i + 1]], found[firsts[i] : firsts[i + 1]], root, docs[i])
+            sizes = flat.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
+            if (np.add.reduceat(sizes, firsts[:-1]) != 4 * np.array(counts, np.int64)).any():
+                raise ValueError("a document's chunks do not have its number of ids")
+            crcs = crc_join(np.array(found, np.int64), sizes, firsts[:-1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
     return parts.mapInArrow(join, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
