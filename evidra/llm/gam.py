@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         .limit(MAX_ROWS)
     )
     # At most MAX_ROWS pairs of an id and a label are broadcast.
-    rows = docs.select(id_col, text).join(F.broadcast(sample), id_col).select(text, "__y").limit(2 * MAX_ROWS)
+    rows = docs.select(id_col, text).join(F.broadcast(sample), id_col).select(id_col, text, "__y").dropDuplicates([id_col]).select(text, "__y")
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
