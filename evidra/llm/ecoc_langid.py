@@ -29,7 +29,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from . import textkit
 
 #: Bound of the fitting sample for each language, and of all of it.
-ROWS_PER_LANGUAGE, MAX_ROWS = 1500, 12_000
+ROWS_PER_LANGUAGE, MAX_ROWS = 1000, 8_000
 TRIGRAM_BITS = 12
 WIDTH = (1 << TRIGRAM_BITS) + 256
 AMBIGUOUS_BELOW = 0.6
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     keep = F.lit(False)
     for name, n in counts.items():
         keep = keep | ((F.col(lang) == name) & (place < math.ceil(1e6 * min(1.0, each / n))))
-    rows = usable.where(keep).select(id_col, text, lang).limit(2 * MAX_ROWS)
+    rows = usable.where(keep).select(id_col, text, lang).dropDuplicates([id_col])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
