@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -42,12 +43,21 @@ MAX_CHUNK_CHARS = 900
 UNICODE_SPACE = r"(?U)[\s\x1c-\x1f\x85]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it inside array functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ngrams(run: Column, n: int) -> Column:
     """All overlapping substrings of n code points."""
-    size = F.char_length(run)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(run, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def cut(signs: Column) -> Column:
+        count = F.size(signs) - (n - 1)
+        some = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(*(F.get(signs, i + k) for k in range(n))))
+        return F.when(count >= 1, some).otherwise(F.array().cast("array<string>"))
+
+    # The text as an array of signs first: substring() would walk from the start for each place.
+    return let(F.filter(F.split(run, ""), lambda c: c != ""), cut)
 
 
 def tokens(text: Column) -> Column:
@@ -190,9 +200,9 @@ def split_long(s: pd.Series) -> pd.Series:
 
 def match_tokens(text: Column) -> Column:
     """Tokens for matching contexts: bigrams of the text without white space, and its parts between commas, lower-cased."""
-    bare = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    parts = F.filter(F.split(bare, "[，、]"), lambda v: v != "")
-    return F.array_union(ngrams(bare, 2), parts)
+    return let(
+        F.regexp_replace(F.lower(text), r"(?U)\s+", ""), lambda bare: F.array_union(ngrams(bare, 2), F.filter(F.split(bare, "[，、]"), lambda v: v != ""))
+    )
 
 
 def containment(a: Column, b: Column) -> Column:

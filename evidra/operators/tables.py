@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import inline_text
+from ..functions.text import inline_text, let
 
 # Words of row texts and thresholds that decide matches.
 TITLE, HEADER, ROW = "表格：", "\n表头：", "\n第"
@@ -72,56 +72,65 @@ def _label(first: Column, last: Column) -> Column:
     )
 
 
-def column_labels(cells: Column, paged: bool = False) -> Column:
-    """array<string>: labels of the columns by the first row. A repeated label gets its column's name: each of them in the
-    ``paged`` form, else all but the first, and columns of a spanning cell always."""
-    top = F.get(occupancy(cells), F.lit(0))
+def _bases(top: Column, paged: bool) -> Column:
+    """Texts of the first row's places; a place without text has its column's name."""
 
     def base(x: Column, i: Column) -> Column:
         text = F.when(x.isNull(), "").otherwise(inline_text(x["Text"], not paged))
-        empty = (x.isNull() | (x["Text"] == "")) if paged else text == ""
-        return F.when(empty, _label(i + 1, i + 1)).otherwise(text)
+        if paged:
+            return F.when(x.isNull() | (x["Text"] == ""), _label(i + 1, i + 1)).otherwise(text)
+        return F.coalesce(F.nullif(text, F.lit("")), _label(i + 1, i + 1))
+
+    return F.transform(top, base)
 
-    bases = F.transform(top, base)
 
+def _labels(top: Column, bases: Column, paged: bool) -> Column:
     def label(x: Column, i: Column) -> Column:
         own = F.get(bases, i)
         named = F.concat(own, F.lit("（"), _label(i + 1, i + 1), F.lit("）"))
         if paged:
             return F.when(F.size(F.filter(bases, lambda b: b == own)) > 1, named).otherwise(own)
-        before = F.size(F.filter(F.slice(bases, 1, i), lambda b: b == own)) > 0
         spans = x.isNotNull() & (x["ColBr"] - x["ColTl"] > 1)
-        return F.when(spans | before, named).otherwise(own)
+        return F.when(spans | (F.array_position(bases, own) <= i), named).otherwise(own)
 
     return F.transform(top, label)
 
 
+def column_labels(cells: Column, paged: bool = False) -> Column:
+    """array<string>: labels of the columns by the first row. A repeated label gets its column's name: each of them in the
+    ``paged`` form, else all but the first, and columns of a spanning cell always."""
+    return let(F.get(occupancy(cells), F.lit(0)), lambda top: let(_bases(top, paged), lambda bases: _labels(top, bases, paged)))
+
+
 def row_texts(cells: Column, title: Column, paged: bool = False) -> Column:
     """array<string>: a text for each row, the first naming the columns and the rest with a label before each value."""
-    grid = occupancy(cells)
-    top = F.get(grid, F.lit(0))
-    labels = column_labels(cells, paged)
-    starts = F.transform(top, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    if paged:
-        shown = F.filter(starts, lambda s: s["x"].isNull() | (s["x"]["ColTl"] == s["i"]))
-    else:
-        shown = F.filter(starts, lambda s: s["x"].isNotNull() & (s["x"]["ColTl"] == s["i"]))
-    heads = F.transform(
-        shown,
-        lambda s: F.when(s["x"].isNull(), F.concat(_label(s["i"] + 1, s["i"] + 1), F.lit("="))).otherwise(
-            F.concat(_label(s["x"]["ColTl"] + 1, s["x"]["ColBr"]), F.lit("="), inline_text(s["x"]["Text"], not paged))
-        ),
-    )
-    first = F.concat(F.lit(TITLE), title, F.lit(HEADER), F.array_join(heads, "；"))
 
-    def line(places: Column, r: Column) -> Column:
-        values = F.transform(
-            places,
-            lambda x, i: F.concat(F.get(labels, i), F.lit("="), F.when(x.isNull(), "").otherwise(inline_text(x["Text"], not paged))),
+    def texts(grid: Column, top: Column, labels: Column) -> Column:
+        starts = F.transform(top, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        first = lambda s: s["x"]["ColTl"] == s["i"]
+        shown = F.filter(starts, (lambda s: s["x"].isNull() | first(s)) if paged else (lambda s: s["x"].isNotNull() & first(s)))
+        heads = F.transform(
+            shown,
+            lambda s: F.when(s["x"].isNull(), F.concat(_label(s["i"] + 1, s["i"] + 1), F.lit("="))).otherwise(
+                F.concat(_label(s["x"]["ColTl"] + 1, s["x"]["ColBr"]), F.lit("="), inline_text(s["x"]["Text"], not paged))
+            ),
         )
-        return F.when(r == 0, first).otherwise(F.concat(F.lit(TITLE), title, F.lit(ROW), (r + 1).cast("string"), F.lit("行："), F.array_join(values, "；")))
+        head = F.concat(F.lit(TITLE), title, F.lit(HEADER), F.array_join(heads, "；"))
 
-    return F.transform(grid, line)
+        def line(places: Column, r: Column) -> Column:
+            values = F.transform(
+                places, lambda x, i: F.concat(F.get(labels, i), F.lit("="), F.when(x.isNull(), "").otherwise(inline_text(x["Text"], not paged)))
+            )
+            return F.when(r == 0, head).otherwise(F.concat(F.lit(TITLE), title, F.lit(ROW), (r + 1).cast("string"), F.lit("行："), F.array_join(values, "；")))
+
+        return F.transform(grid, line)
+
+    return let(
+        occupancy(cells),
+        lambda grid: let(
+            F.get(grid, F.lit(0)), lambda top: let(_bases(top, paged), lambda bases: let(_labels(top, bases, paged), lambda labels: texts(grid, top, labels)))
+        ),
+    )
 
 
 def render_html(cells: Column) -> Column:

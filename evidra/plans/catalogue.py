@@ -90,14 +90,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_bm25_sql("source")} SELECT version_id, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score
-FROM bm QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY version_id ORDER BY score DESC, node_id)""")
+FROM bm WINDOW w AS (PARTITION BY version_id ORDER BY score DESC, node_id) QUALIFY row_number() OVER w <= 3""")
 def bm25_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = retrieval.bm25_scores(_nodes(spark, sf_dir, "source"), terminology.tokenize(ASKED)).withColumn("score", F.round("score", 6))
     return _ranked(scores, ["version_id"], 3).select("version_id", "rank", "node_id", "score")
 
 
 @query(f"""WITH {_bm25_sql("source")} SELECT version_id, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score
-FROM bm QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY version_id ORDER BY score DESC, node_id)""")
+FROM bm WINDOW w AS (PARTITION BY version_id ORDER BY score DESC, node_id) QUALIFY row_number() OVER w <= 5""")
 def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranking from postings and statistics, as a stored index gives it."""
     postings, stats = retrieval.build_inverted_index(_nodes(spark, sf_dir, "source"))
@@ -131,14 +131,14 @@ vs AS (SELECT e.vec_id AS node_id, e.label, round(list_dot_product(e.v, q.v) / s
 """
 
 
-@query(f"WITH {_COSINE} SELECT CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score FROM vs QUALIFY row_number() OVER w <= 20 WINDOW w AS (ORDER BY score DESC, node_id)")
+@query(f"WITH {_COSINE} SELECT CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score FROM vs WINDOW w AS (ORDER BY score DESC, node_id) QUALIFY row_number() OVER w <= 20")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.lit("all").alias("version_id"), "embedding")
     scored = e.select("version_id", "node_id", F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
     return _ranked(scored, ["version_id"], 20).select("rank", "node_id", "score")
 
 
-@query(f"WITH {_COSINE} SELECT label, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score FROM vs QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY label ORDER BY score DESC, node_id)")
+@query(f"WITH {_COSINE} SELECT label, CAST(row_number() OVER w AS INTEGER) AS rank, node_id, score FROM vs WINDOW w AS (PARTITION BY label ORDER BY score DESC, node_id) QUALIFY row_number() OVER w <= 3")
 def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
     scored = e.select("label", F.col("vec_id").alias("node_id"), F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
@@ -424,12 +424,12 @@ def glossary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminology.audit(glossary, trusted)
 
 
-_CELLS = """cells AS (
+_CELLS = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR, CAST(l_quantity AS BIGINT)::VARCHAR, l_returnflag, l_linestatus) AS r FROM lineitem),
+cells AS (
   SELECT l_orderkey AS table_id, 0 AS r, c, h AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES (0, 'Part'), (1, 'Quantity'), (2, 'Flag'), (3, 'Flag')) v(c, h)
   UNION ALL
-  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), c,
-    CASE c WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN CAST(l_quantity AS BIGINT)::VARCHAR WHEN 2 THEN l_returnflag ELSE l_linestatus END
-  FROM lineitem, (VALUES (0), (1), (2), (3)) v(c))"""
+  SELECT l_orderkey, r, c, CASE c WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN CAST(l_quantity AS BIGINT)::VARCHAR WHEN 2 THEN l_returnflag ELSE l_linestatus END
+  FROM li, (VALUES (0), (1), (2), (3)) v(c))"""
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,7 +491,7 @@ def _box(x: F.Column, y: F.Column, w: float, h: float) -> F.Column:
     / least((b.x1 - b.x0) * (b.y1 - b.y0), (t.x1 - t.x0) * (t.y1 - t.y0)) AS ratio FROM t JOIN b ON t.page = b.page),
 m AS (SELECT page, table_id, max(ratio) AS best FROM s GROUP BY ALL),
 w AS (SELECT s.page, s.table_id, count(*) AS n, min(box_id) AS box_id, any_value(best) AS best FROM s JOIN m USING (page, table_id) WHERE abs(ratio - best) <= 1e-9 GROUP BY ALL)
-SELECT page, table_id, CASE WHEN best >= 0.7 AND n = 1 THEN box_id END AS box_id, CASE WHEN best >= 0.7 THEN round(best, 9) END AS ratio,
+SELECT page, table_id, CASE WHEN best >= 0.7 AND n = 1 THEN box_id ELSE -1 END AS box_id, CASE WHEN best >= 0.7 THEN round(best, 9) ELSE -1 END AS ratio,
   CASE WHEN best < 0.7 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM w""")
 def geometry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
@@ -499,7 +499,8 @@ def geometry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = ((k * 137) % 900).cast("double"), ((k * 71) % 700).cast("double")
     boxes = s.select(F.col("s_nationkey").alias("page"), k.alias("box_id"), _box(x, y, 120, 80).alias("box"))
     found = s.select(F.col("s_nationkey").alias("page"), k.alias("table_id"), _box(x + (k % 9) * 6, y + (k % 5) * 4, 110, 70).alias("rect"))
-    return tables.match_boxes(boxes, found).withColumn("ratio", F.round("ratio", 9))
+    matched = tables.match_boxes(boxes, found)
+    return matched.withColumn("ratio", F.coalesce(F.round("ratio", 9), F.lit(-1.0))).withColumn("box_id", F.coalesce("box_id", F.lit(-1)))
 
 
 @query(f"""WITH {_BOXES}, n AS (SELECT page, table_id, y0, y1, row_number() OVER (PARTITION BY page ORDER BY y0, table_id) AS table_index FROM t),
@@ -528,9 +529,9 @@ def token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH base AS (SELECT source AS doc, doc_id AS ord, doc_id // 40 AS page, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'table_row' ELSE 'paragraph' END AS block FROM documents),
-f AS (SELECT doc, page, min(ord) AS at FROM base WHERE block = 'table' GROUP BY ALL),
+f AS (SELECT doc, page, min(ord) AS first_ord FROM base WHERE block = 'table' GROUP BY ALL),
 u AS (SELECT doc, ord AS k, 0 AS t, 'd' || ord AS chunk_id, block FROM base WHERE block = 'paragraph'
-  UNION ALL SELECT doc, at, t, 'g' || page || '_' || t, 'table' FROM f, (VALUES (1), (2)) v(t))
+  UNION ALL SELECT doc, first_ord, t, 'g' || page || '_' || t, 'table' FROM f, (VALUES (1), (2)) v(t))
 SELECT doc AS doc_id, CAST(row_number() OVER (PARTITION BY doc ORDER BY k, t) AS INTEGER) AS ord, chunk_id, block AS block_type FROM u""")
 def table_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's new tables at the place of its first old one; the old ones go, all else keeps its order."""
