@@ -9,7 +9,7 @@ r and s), and is left when that is below the worst kth score among the queries o
 give each query a first kth score; block pairs are pruned by their roots before any block is moved, and in a
 block pair the traversal takes the most promising node pair first.
 
-All arithmetic is on integers (held exactly in doubles; in Python integers where they would not fit). Ties go to the smaller vec_id.
+All arithmetic is on integers, held exactly in doubles; a block pair with products beyond that is scanned with Python integers. Ties go to the smaller vec_id.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as rows with a null
 id do. A query meets only vectors of its own dimension; a vector of dimension 0 scores 0. Rows with the same vec_id count
@@ -87,11 +87,11 @@ class CoverTree:
 def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, vector, score) of each query's k best in x, if they reach its ``q_least``."""
     k *= int(np.unique(x_ids, return_counts=True)[1].max()) if len(x_ids) else 1  # rows of one id take one place later
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < _EXACT
+    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) >= _EXACT:
+        return _scan(q, q_ids, x, x_ids, k)
     a, b = CoverTree(q), CoverTree(x)
     q, q_ids = q[a.order], q_ids[a.order]
     x, x_ids = x[b.order], x_ids[b.order]
-    whole = None if exact else (q.astype(object), x.astype(object))
     best = np.full((len(q), k), -np.inf)
     who = np.full((len(q), k), np.iinfo(np.int64).max)
     worst = q_least[a.order].astype(np.float64)
@@ -120,7 +120,7 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.nda
         s, e = b.run[j]
         for s in range(s, e, 4096):  # a leaf of equal points can be long
             t = min(e, s + 4096)
-            score = q[lo:hi] @ x[s:t].T if exact else np.array(whole[0][lo:hi] @ whole[1][s:t].T, np.float64)
+            score = q[lo:hi] @ x[s:t].T
             score[q_ids[lo:hi, None] == x_ids[None, s:t]] = -np.inf
             hit = np.flatnonzero(score.max(1, initial=-np.inf) >= worst[lo:hi])
             if not len(hit):
@@ -132,11 +132,16 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.nda
             best[rows] = np.take_along_axis(value, top, 1)
             who[rows] = np.take_along_axis(name, top, 1)
             worst[rows] = np.maximum(worst[rows], best[rows, k - 1])
-    out = []
-    at = {int(v): n for n, v in enumerate(x_ids)} if not exact else {}
-    for r, p in zip(*np.nonzero(np.isfinite(best)), strict=True):
-        v = int(best[r, p]) if exact else max(-(2**63), min(2**63 - 1, int(whole[0][r] @ whole[1][at[int(who[r, p])]])))
-        out.append((int(q_ids[r]), int(who[r, p]), v))
+    return [(int(q_ids[r]), int(who[r, p]), int(best[r, p])) for r, p in zip(*np.nonzero(np.isfinite(best)), strict=True)]
+
+
+def _scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The same by Python integers, for a block pair whose products doubles can't hold; scores are held to 64 bits."""
+    rows, out = [list(map(int, v)) for v in x], []
+    for name, v in zip(q_ids, q, strict=True):
+        ints = list(map(int, v))
+        scores = [(-sum(map(int.__mul__, ints, r)), int(i)) for r, i in zip(rows, x_ids, strict=True) if i != name]
+        out += [(int(name), i, max(-(2**63), min(2**63 - 1, -s))) for s, i in heapq.nsmallest(k, scores)]
     return out
 
 

@@ -79,7 +79,9 @@ def _plan(spark: SparkSession, counts: dict[str, int], weights: dict[str, float]
             for k, n in sorted(counts.items())
         ]
     schema = "array<struct<key:string,period:int,offsets:array<int>,bits:int>>"
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("p")).select("p.*")
+    return spark.range(1).select(
+        F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("p")
+    ).select(*(F.col(f"p.{c}").alias(f"__mx_plan_{c}") for c in ("key", "period", "offsets", "bits")))
 
 
 def mix_sources(
@@ -119,21 +121,21 @@ def mix_sources(
         key.alias(_KEY),
         F.xxhash64(F.col(id_col).cast("string"), F.lit("order")).alias(_HASH),
         F.xxhash64(F.col(text)).alias(_TIE),
-    ).join(F.broadcast(plan), F.col(_KEY) == F.col("key"))
+    ).join(F.broadcast(plan), F.col(_KEY) == F.col("__mx_plan_key"))
     bucketed = hashed.withColumn(
-        _BUCKET, F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({_HASH}, 64 - bits)"))
+        _BUCKET, F.when(F.col("__mx_plan_bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({_HASH}, 64 - __mx_plan_bits)"))
     )
     before = (
         bucketed.groupBy(_KEY, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)))
-        .select(_KEY, _BUCKET, F.coalesce("before", F.lit(0)).alias("before"))
+        .agg(F.count(F.lit(1)).alias("__mx_n"))
+        .withColumn("__mx_before", F.sum("__mx_n").over(Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)))
+        .select(_KEY, _BUCKET, F.coalesce("__mx_before", F.lit(0)).alias("__mx_before"))
     )
-    numbered = bucketed.withColumn("nr", F.row_number().over(Window.partitionBy(_KEY, _BUCKET).orderBy(_HASH, _TIE)))
-    at = F.col("before") + F.col("nr") - 1
+    numbered = bucketed.withColumn("__mx_nr", F.row_number().over(Window.partitionBy(_KEY, _BUCKET).orderBy(_HASH, _TIE)))
+    at = F.col("__mx_before") + F.col("__mx_nr") - 1
     block = F.floor(at / block_rows).cast("long")
-    share = F.size("offsets")
-    slot = F.floor(block / share).cast("long") * F.col("period") + F.get(F.col("offsets"), (block % share).cast("int"))
+    share = F.size("__mx_plan_offsets")
+    slot = F.floor(block / share).cast("long") * F.col("__mx_plan_period") + F.get(F.col("__mx_plan_offsets"), (block % share).cast("int"))
     return numbered.join(before, [_KEY, _BUCKET]).select(
         *others, slot.cast("long").alias("mix_slot"), (at % block_rows).cast("int").alias("mix_index")
     )

@@ -5,8 +5,8 @@ equal passages give equal chunks wherever they stand. A chunk's address is the B
 each distinct chunk is stored once. A recipe lists a document's chunk addresses in order, under the Merkle root of
 them. A store is a folder with
 
-* ``part=chunks/``: Parquet files of (key, ids): the address and ids as little-endian unsigned 32-bit integers, zstd-compressed,
-* ``part=recipes/``: the recipes as tasks gave them, which nothing reads later,
+* ``content/part=chunks/``: Parquet files of (key, ids): the address and ids as little-endian unsigned 32-bit integers, zstd-compressed,
+* ``content/part=recipes/``: the recipes as tasks gave them, which nothing reads later,
 * ``recipes/``: Parquet files in ascending doc_id order of (doc_id, ord, start, n_tokens, addresses, root), where
   start counts the ids of all documents before it,
 * ``manifest/``: one row with the counts and the Merkle root of each recipe range.
@@ -260,14 +260,16 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, id_col: str =
     spark = docs.sparkSession
     rows = _encode(docs, tokenizer_path, id_col, text, end_id)
     first = F.row_number().over(Window.partitionBy("key").orderBy("part")) == 1
-    rows.withColumn("first", first).where("first").drop("first").write.option("compression", "zstd").partitionBy("part").parquet(store)
-    recipes = spark.read.parquet(f"{store}/part=recipes").select("doc_id", "n_tokens", "addresses", "root")
+    rows.withColumn("first", first).where("first").drop("first").write.option("compression", "zstd").partitionBy("part").parquet(f"{store}/content")
+    whole = spark.read.schema(rows.schema).parquet(f"{store}/content")
+    recipes = whole.where("part = 'recipes'").select("doc_id", "n_tokens", "addresses", "root")
     _starts(recipes).write.option("compression", "zstd").parquet(f"{store}/recipes")
     _manifest(spark, store).write.parquet(f"{store}/manifest")
 
 
 def _chunks(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/part=chunks").select(F.col("key").alias("address"), "ids")
+    content = spark.read.schema("part string, key binary, ids binary").parquet(f"{store}/content")
+    return content.where("part = 'chunks'").select(F.col("key").alias("address"), "ids")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
