@@ -194,10 +194,11 @@ def rectangle(points: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Common area as a share of the smaller box."""
+    """Common area as a share of the smaller box; null if one is."""
     w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
     h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-    return w * h / F.least((a["x1"] - a["x0"]) * (a["y1"] - a["y0"]), (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
+    share = w * h / F.least((a["x1"] - a["x0"]) * (a["y1"] - a["y0"]), (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
+    return F.when(a.isNotNull() & b.isNotNull(), share)
 
 
 def match_boxes(boxes: DataFrame, tables: DataFrame, least: float = MATCH_BOX) -> DataFrame:

@@ -249,7 +249,7 @@ def group_aliases(pairs: DataFrame) -> DataFrame:
 def pair_counts(glossary: DataFrame) -> DataFrame:
     """One row: directed pairs, and unordered distinct pairs."""
     flat = glossary.select("term", F.explode("aliases").alias("alias"))
-    a, b = (F.struct(F.lower(c), F.col(c)) for c in ("term", "alias"))
+    a, b = (F.struct(F.lower(c).alias("k"), F.col(c).alias("v")) for c in ("term", "alias"))
     return flat.agg(F.count(F.lit(1)).alias("directed"), F.count_distinct(F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))).alias("unique"))
 
 
