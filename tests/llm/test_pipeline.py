@@ -34,7 +34,7 @@ def test_stages_keep_clean_rows_and_columns(spark):
 def test_stages_take_empty_and_odd_tables(spark, docs_schema):
     rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b c\nd", "en", None, 7), (2, "a b c\nd", "en", None, 7), (3, "x " * 60_000, "de", "s", 120_000)]
     for data in ([], rows):
-        docs = spark.createDataFrame(data, docs_schema + ", band int")
+        docs = spark.createDataFrame([(*r, 1) for r in data], docs_schema + ", band int")
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SMALL)
             assert out.count() <= len(data), name
