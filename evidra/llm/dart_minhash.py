@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .staging import stage
+from .staging import small_batches, stage
 
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
@@ -165,6 +165,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                     ["doc", "content", "sig", "bands"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text).mapInArrow(run, "doc long, content binary, sig binary, bands array<long>")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import textkit
+from .staging import small_batches
 
 #: Bound of the fitting sample for each language, and of all of it.
 ROWS_PER_LANGUAGE, MAX_ROWS = 1000, 8_000
@@ -128,6 +129,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Ecoc:
     """A model of a sample of the rows that have a language and are not held out."""
+    small_batches(docs.sparkSession)
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}  # one row for each language
     if not counts:
@@ -160,6 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Ecoc, id_col: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with held_out, lang_pred, score and ambiguous."""
+    small_batches(docs.sparkSession)
     new = {"held_out", "lang_pred", "score", "ambiguous"}
     others = [c for c in docs.columns if c.lower() not in new]
     wanted = [c for c in others if keep_text or c != text]

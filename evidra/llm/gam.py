@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from . import textkit
+from .staging import small_batches
 
 #: Bound of the fitting sample: labelled rows whose features go to the driver (16 doubles each).
 MAX_ROWS = 20_000
@@ -228,6 +229,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> PairwiseGam | Constant:
     """A model of the labelled rows that are not held out, on MAX_ROWS of them at most."""
+    small_batches(docs.sparkSession)
     sample = (
         labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(id_col)
@@ -259,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: PairwiseGam | Constant, id_col: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with held_out, score and predicted."""
+    small_batches(docs.sparkSession)
     new = {"held_out", "score", "predicted"}
     others = [c for c in docs.columns if c.lower() not in new]
     wanted = [c for c in others if keep_text or c != text]

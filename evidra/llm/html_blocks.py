@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .staging import small_batches
+
 WINDOW = 3
 #: A window with this many code points begins a surge; one below it for a whole window ends in a dive.
 SURGE = 40
@@ -174,6 +176,7 @@ def extract(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame, markup: str = "html") -> DataFrame:
     """``pages`` without ``markup``, with text and n_chars."""
+    small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c != markup and c.lower() not in {"text", "n_chars"}]
     schema = StructType([*(pages.schema[c] for c in kept), StructField("text", StringType()), StructField("n_chars", LongType())])
 

@@ -26,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
+from .staging import small_batches
+
 MARK = "▁"
+PLAIN = "\x01"
 #: Words kept with their ids by each Python worker, between batches.
-MEMO_WORDS = 600_000
-SLICE_CHARS = 4_000_000
+MEMO_WORDS = 350_000
+#: Checked pairs of pieces kept likewise.
+MEMO_PAIRS = 150_000
+SLICE_CHARS = 3_000_000
 _UNIGRAM, _BPE = 1, 2
 
 
@@ -92,7 +97,7 @@ class Encoder:
         self.dtype = np.uint16 if len(self.out) <= 65536 else np.uint32
         self.pair: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])
+        self.raw: dict[str, bytes] = {}
 
     def _merge(self, s: str) -> list[str]:
         """BPE of a short string by its merges, the best score and then the leftmost first."""
@@ -112,7 +117,7 @@ class Encoder:
         got = self.pair.get((a, b))
         if got is None:
             got = self._merge(a + b) == ([a, b] if a else [b])
-            if len(self.pair) > 400_000:
+            if len(self.pair) >= MEMO_PAIRS:
                 self.pair.clear()
             self.pair[a, b] = got
         return got
@@ -121,11 +126,14 @@ class Encoder:
         """The forward state after i characters: the last piece, and the best sum of scores."""
         known, least = self.id, max(0, i - self.longest)
         if self.bpe:
+            pair = self.pair
             for j in range(least, i):
                 t = word[j:i]
-                if (t in known or j == i - 1) and (before := state[j]) is not None and self._stays(before[0], t):
-                    return t, 0.0
-            return None
+                if t in known or j == i - 1:
+                    stays = pair.get((state[j][0], t))
+                    if stays or stays is None and self._stays(state[j][0], t):
+                        return t, 0.0
+            raise ValueError(f"no pieces for {word[:i]!r}")
         best = None
         for j in range(least, i):
             t = word[j:i]
@@ -138,16 +146,17 @@ class Encoder:
                 best = (t, before[1] + v)
         return best
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.id.get(p)
-            out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
-        return np.array(out, self.dtype).tobytes()
+    def _ids(self, piece: str) -> bytes:
+        """A piece's id as bytes, or the ids of its own bytes where it has none."""
+        i = self.id.get(piece)
+        return np.array([i] if i is not None else [self.byte_id[b] for b in piece.encode()], self.dtype).tobytes()
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, by one depth-first walk over the trie that the sorted words make."""
         out, state, last = {}, [("", 0.0)], ""
+        if not self.raw:
+            self.raw = {p: self._ids(p) for p in self.id}
+        raw, step = self.raw, self._step
         for word in sorted(words):
             n = 0
             for a, b in zip(word, last):  # noqa: B905  the shorter one ends it
@@ -156,19 +165,20 @@ class Encoder:
                 n += 1
             del state[n + 1 :]
             for i in range(n + 1, len(word) + 1):
-                state.append(self._step(word, i, state))
+                state.append(step(word, i, state))
             pieces, i = [], len(word)
             while i:
                 p = state[i][0]
                 pieces.append(p)
                 i -= len(p)
-            out[word] = self._ids(pieces[::-1])
+            out[word] = b"".join([raw[p] if p in raw else self._ids(p) for p in reversed(pieces)])
             last = word
         return out
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Marked words of a text, newlines apart."""
+        """Keys of the marked words of a text, newlines apart. A key is the word without its mark; words with no mark, several marks or
+        nothing else have their whole text behind ``PLAIN``, as a mark costs two bytes a sign."""
         if not text:
             return []
         lines = text.split("\n") if MARK not in text else text.replace(MARK, " ").split("\n")
@@ -177,35 +187,39 @@ class Encoder:
             if k:
                 out.append("\n")
             parts = line.split(" ")
-            if "" in parts[1:] or parts[0] == "" and len(parts) > 1:
+            if "" in parts[1:] or parts[0] == "" and len(parts) > 1 or PLAIN in line:
                 run = MARK if k == 0 else ""
                 for n, p in enumerate(parts):
                     run += MARK if n else ""
                     if p:
-                        out.append(run + p)
+                        out.append(PLAIN + run + p)
                         run = ""
                 if run:
-                    out.append(run)
+                    out.append(PLAIN + run)
                 continue
-            first = parts[0]
-            if k == 0:
-                out.append(MARK + first)
-            elif first:
-                out.append(first)
-            out += [MARK + p for p in parts[1:]]
+            if k:
+                if parts[0]:
+                    parts[0] = PLAIN + parts[0]
+                else:
+                    parts = parts[1:]
+            elif not parts[0]:
+                parts[0] = PLAIN + MARK
+            out += parts
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [self.cut(t) for t in texts]
-        missing = {w for c in cuts for w in c if w not in self.memo}
-        found = self.memo
+        memo = self.memo
+        missing = [w for w in set().union(*cuts) if w not in memo]
+        new: dict[str, bytes] = {}
         if missing:
-            new = self.encode_words(list(missing))
-            if len(self.memo) + len(new) <= MEMO_WORDS:
-                self.memo |= new
-            else:
-                found = self.memo | new if len(self.memo) < len(new) else _Both(new, self.memo)
-        get = found.__getitem__
+            words = [w[1:] if w[0] == PLAIN else w if w == "\n" else MARK + w for w in missing]
+            ids = self.encode_words(list(set(words)))
+            new = dict(zip(missing, map(ids.__getitem__, words), strict=True))
+            if len(memo) + len(new) <= MEMO_WORDS:
+                memo |= new
+                new = {}
+        get = _Both(new, memo).__getitem__ if new else memo.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), self.dtype) for c in cuts]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -231,6 +245,7 @@ def encoder(path: str) -> Encoder:
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but the text) with n_tokens, ids and round_trip (decoding gives the text back)."""
+    small_batches(docs.sparkSession)
     new = {"n_tokens", "ids", "round_trip"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new and c != text]
     schema = StructType(

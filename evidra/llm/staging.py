@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 whole texts, so that a Python worker and its buffers stay small; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 2000:
+        spark.conf.set(name, "2000")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evidra/{name}-{uuid.uuid4().hex}"
 

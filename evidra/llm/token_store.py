@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .staging import small_batches
+
 #: Ids in the rolling window; mean ids between cuts; most ids in a chunk.
 WINDOW, MEAN, MOST = 16, 1024, 8192
 #: Words kept with their ids by each Python worker.
@@ -245,6 +247,7 @@ def _encode(docs: DataFrame, path: str, id_col: str, text: str, end_id: int) ->
                 )
                 at += n
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInArrow(
         run, f"part string, key binary, doc_id {kind}, n_tokens long, addresses array<binary>, root binary, ids binary"

@@ -38,7 +38,7 @@ def test_full_memo_changes_nothing(monkeypatch):
 
 def test_unigram_walk_is_the_best_path():
     enc = spm_trie.Encoder.__new__(spm_trie.Encoder)
-    enc.bpe, enc.longest, enc.dtype, enc.byte_id = False, 3, np.uint16, list(range(256))
+    enc.bpe, enc.longest, enc.dtype, enc.byte_id, enc.raw = False, 3, np.uint16, list(range(256)), {}
     enc.score = {"▁": -2.0, "▁a": -1.0, "a": -1.5, "b": -1.6, "ab": -1.7, "▁ab": -9.0, "ba": -1.1}
     enc.id = {p: 300 + i for i, p in enumerate(enc.score)}
 
