@@ -21,14 +21,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), "m").where("u <> m")
-        own = low.select("u", "m")
-        after = stage(small.union(own).distinct().toDF("u", "v"), "cc")
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stage(small.union(low).distinct(), "cc")
         # Done when each node has one edge, to a node that has none itself.
-        once = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if after.join(once.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and once.where("n > 1").isEmpty():
+        own = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        open_ = own.where("n > 1").select("u").union(after.join(own.select(F.col("u").alias("v")), "v", "left_semi").select("u"))
+        if open_.isEmpty():
             break
         now = after
     return nodes.join(after.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select(

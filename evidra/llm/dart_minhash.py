@@ -46,8 +46,9 @@ DARTS = K * np.log(K) + 2 * K
 BLOCK = 512
 #: Signature agreement from which a pair is checked exactly: 4 standard deviations below 0.8.
 MAYBE = 0.66
-#: Rounds in which each open bucket gets another hub, before what is left is compared in blocks.
-ROUNDS = 3
+#: Rounds in which each open bucket gets another hub, before what is left is compared in blocks. A round makes less work where
+#: groups are large, but costs a dozen jobs.
+ROUNDS = 0
 #: Ids of documents whose texts are looked up are broadcast up to this count, and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
