@@ -47,7 +47,7 @@ def vector_ranking(nodes: DataFrame, query: Sequence[float], k: int) -> DataFram
     return best_of_each(scored, k)
 
 
-def _times(bag: str, term: str) -> Column:
+def _times(bag: Column, term: str) -> Column:
     return F.size(F.filter(bag, lambda t: t == F.lit(term)))
 
 
@@ -59,10 +59,13 @@ def bm25_scores(nodes: DataFrame, query_tokens: Sequence[str], text: str = "text
     """
     wanted = Counter(query_tokens)
     terms = sorted(wanted)
-    bag = T.tokens(F.col(text))
-    counted = nodes.select(by, key, bag.alias("bag")).select(
-        by, key, F.size("bag").alias("dl"), *(_times("bag", w).alias(f"tf{i}") for i, w in enumerate(terms))
-    ).where("dl > 0")
+
+    def counts(bag: Column) -> Column:
+        one = F.struct(F.size(bag).alias("dl"), *(_times(bag, w).alias(f"tf{i}") for i, w in enumerate(terms)))
+        return F.filter(F.array(one), lambda c: c["dl"] > 0)
+
+    # Exploding the one-row array keeps filters above it: pushed below, they would each find the tokens again.
+    counted = nodes.select(by, key, F.explode(T.let(T.tokens(F.col(text)), counts)).alias("c")).select(by, key, "c.*")
     if not terms:
         return counted.select(by, key, F.lit(0.0).alias("score")).limit(0)
     stats = counted.groupBy(by).agg(
@@ -94,7 +97,8 @@ def bm25_ranking(nodes: DataFrame, query: str, k: int) -> DataFrame:
 
 def build_inverted_index(nodes: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings (version_id, token, node_id, tf, dl) and statistics (version_id, n, avgdl), to be written once for a snapshot."""
-    bags = nodes.select("version_id", "node_id", T.tokens(F.col(text)).alias("bag")).where(F.size("bag") > 0).withColumn("dl", F.size("bag"))
+    whole = F.explode(T.let(T.tokens(F.col(text)), lambda b: F.filter(F.array(F.struct(F.size(b).alias("dl"), b.alias("bag"))), lambda c: c["dl"] > 0)))
+    bags = nodes.select("version_id", "node_id", whole.alias("c")).select("version_id", "node_id", "c.*")
     postings = bags.select("version_id", "node_id", "dl", F.explode("bag").alias("token")).groupBy("version_id", "token", "node_id", "dl").agg(
         F.count(F.lit(1)).alias("tf")
     )
