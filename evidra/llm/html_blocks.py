@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each block of the page, and regions that
 page headers and footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out
 while it goes. The text lengths of the lines are summed over sliding windows. The distribution surges where the
 main text begins and dives where it ends; of all spans between a surge and its dive the one with most text is
-kept. Where the page marks its article, the span is widened or narrowed to that element, so that short
-first and last lines are kept whole.
+kept. Where an article or main element holds most of the span, only the span's ends are moved to it: outward by at
+most as much text as the span has, inward by the short lines that a window reaches beyond the text.
 
 Defined results: a null or empty page gives an empty text. A page without content lines gives an
 empty text. Repeated rows give repeated results, an empty table an empty one. Unclosed and stray
@@ -73,23 +73,25 @@ def _outside(name: str, attributes: str, in_root: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's content lines and for each the number of the article or main element that it is in (0: none)."""
+def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
+    """The page's content lines with the number of the element that each is in; the elements' names and parents by number, 0 being the page."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, dropped, root
-    roots, dropped, root, at = 0, 0, 0, 0
+    stack: list[tuple[str, bool, int]] = []  # element, dropped, number
+    names, parents = [""], [0]
+    dropped, roots, at = 0, 0, 0
 
     def flush() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, root))
+                out.append((line, stack[-1][2] if stack else 0))
 
     def pop() -> None:
-        nonlocal dropped, root
-        _, was, root = stack.pop()
+        nonlocal dropped, roots
+        name, was, _ = stack.pop()
+        roots -= name in _ROOTS and not dropped
         dropped -= was
 
     end = len(page)
@@ -128,14 +130,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if name in _VOID or m[3].rstrip().endswith("/") and name not in _BLOCK:
             continue
-        drop = _outside(name, m[3], root > 0)
-        stack.append((name, drop, root))
+        drop = _outside(name, m[3], roots > 0)
+        names.append(name)
+        parents.append(stack[-1][2] if stack else 0)
+        stack.append((name, drop, len(names) - 1))
         dropped += drop
-        if name in _ROOTS and not dropped:
-            roots += 1
-            root = roots
+        roots += name in _ROOTS and not dropped
     flush()
-    return out
+    return out, names, parents
 
 
 def main_span(lengths: np.ndarray) -> tuple[int, int]:
@@ -155,22 +157,59 @@ def main_span(lengths: np.ndarray) -> tuple[int, int]:
     return int(surges[k]), int(dives[k])
 
 
+def _masses(lines: list[tuple[str, int]], parents: list[int]) -> list[int]:
+    """The text of the lines inside each element."""
+    mass = [0] * len(parents)
+    for line, element in lines:
+        mass[element] += len(line)
+    for e in range(len(parents) - 1, 0, -1):
+        mass[parents[e]] += mass[e]
+    return mass
+
+
+def _inside(element: int, parents: list[int]) -> list[bool]:
+    """Which elements are the given one or in it."""
+    inside = [False] * len(parents)
+    inside[element] = True
+    for e in range(element + 1, len(parents)):
+        inside[e] = inside[parents[e]]
+    return inside
+
+
+def _widened(a: int, b: int, lines: list[tuple[str, int]], inside: list[bool]) -> tuple[int, int]:
+    """The span with the lines next to it that are inside, on either side as much text as the span has at most."""
+    most = sum(len(x) for x, _ in lines[a:b])
+    left = right = most
+    while a and inside[lines[a - 1][1]] and len(lines[a - 1][0]) <= left:
+        a -= 1
+        left -= len(lines[a][0])
+    while b < len(lines) and inside[lines[b][1]] and len(lines[b][0]) <= right:
+        right -= len(lines[b][0])
+        b += 1
+    return a, b
+
+
+def _narrowed(a: int, b: int, lines: list[tuple[str, int]], inside: list[bool]) -> tuple[int, int]:
+    """The span without the short lines outside that the windows at its ends reach."""
+    for _ in range(WINDOW - 1):
+        if not inside[lines[a][1]] and len(lines[a][0]) < SURGE:
+            a += 1
+        if not inside[lines[b - 1][1]] and len(lines[b - 1][0]) < SURGE:
+            b -= 1
+    return a, b
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    lines = lines_of(page or "")
+    lines, names, parents = lines_of(page or "")
     if not lines:
         return ""
     a, b = main_span(np.array([len(x) for x, _ in lines]))
-    mass: dict[int, int] = {}
-    for line, root in lines[a:b]:
-        mass[root] = mass.get(root, 0) + len(line)
-    if any(root for _, root in lines) and not any(mass):
-        for line, root in lines:
-            mass[root] = mass.get(root, 0) + len(line)
-    marked = {r: n for r, n in mass.items() if r}
-    if marked:
-        best = max(marked, key=lambda r: (marked[r], -r))
-        return "\n".join(line for line, root in lines if root == best)
+    mass = _masses(lines[a:b], parents)
+    marks = [e for e, name in enumerate(names) if name in _ROOTS and 2 * mass[e] > mass[0]]  # each in the one before
+    if marks:
+        a, b = _narrowed(a, b, lines, _inside(marks[0], parents))
+        a, b = _widened(a, b, lines, _inside(marks[-1], parents))
     return "\n".join(line for line, _ in lines[a:b])
 
 

@@ -29,6 +29,22 @@ def test_span_is_the_run_with_most_text():
     assert main_span(np.array([], int)) == (0, 0) and main_span(np.array([1, 2])) == (0, 2)
 
 
+def test_span_decides_on_marked_pages():
+    p = "<p>" + "word " * 60 + "</p>"
+    intro, outro = "An introduction outside of the article that is long enough.", "And a last paragraph below the article, also of some length."
+    got = extract(f"<body><main><p>{intro}</p><article>{p}{p}<p>Sh.</p></article><p>{outro}</p></main></body>").split("\n")
+    assert got[0] == intro and got[-1] == outro and len(got) == 5
+    small = "<article><p>A small box of an article that is not the text of this page.</p></article>"
+    assert len(extract(f"<body>{small}<div>{p}{p}{p}</div></body>").split("\n")) == 4
+
+
+def test_mark_moves_the_ends():
+    p, short = "<p>" + "word " * 60 + "</p>", "<p>Sh.</p>" * 6
+    got = extract(f"<body><div>Home</div><div>News</div><article>{short}{p}{short}</article><div>Up</div></body>").split("\n")
+    assert len(got) == 13 and got[0] == got[-1] == "Sh."
+    assert len(extract(f"<body><div>Home</div><div>News</div><article>{p}</article><div>Up</div></body>").split("\n")) == 1
+
+
 def test_broken_and_empty_pages():
     assert extract(None) == extract("") == extract("<html><body><script>x") == ""
     assert extract("plain text without any markup at all") == "plain text without any markup at all"
