@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of the page, and regions that
 page headers and footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out
 while it goes. The text lengths of the lines are summed over sliding windows. The distribution surges where the
 main text begins and dives where it ends; of all spans between a surge and its dive the one with most text is
-kept. Where an article or main element holds most of the span, only the span's ends are moved to it: outward by at
+kept, joined with those that are mostly in the same container and with neighbours over a small gap, since three short lines
+(of a list, of dialogue) end a span. The ends take in the container's short lines. Where an article or main element holds most of the span, only the span's ends are moved to it: outward by at
 most as much text as the span has, inward by the short lines that a window reaches beyond the text.
 
 Defined results: a null or empty page gives an empty text. A page without content lines gives an
@@ -28,6 +29,8 @@ from .staging import small_batches
 WINDOW = 3
 #: A window with this many code points begins a surge; one below it for a whole window ends in a dive.
 SURGE = 40
+#: Neighbouring spans are one when the text between them is at most this share of that on either side.
+GAP = 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style|type|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
@@ -140,23 +143,69 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
     return out, names, parents
 
 
+def _spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The surges, their dives (one past the last line), and the text before each line and in all."""
+    n = len(lengths)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    block = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:-1]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], block >= SURGE, [False]]).astype(np.int8)))
+    return edge[::2], np.minimum(edge[1::2] + WINDOW - 1, n), total
+
+
 def main_span(lengths: np.ndarray) -> tuple[int, int]:
     """First and last + 1 of the lines between the surge and the dive with most text between them."""
     n = len(lengths)
     if not n:
         return 0, 0
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    block = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:-1]
-    high = block >= SURGE
-    if not high.any():
+    surges, dives, total = _spans(lengths)
+    if not len(surges):
         return 0, n
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
-    surges, dives = edge[::2], np.minimum(edge[1::2] + WINDOW - 1, n)
-    mass = total[dives] - total[surges]
-    k = int(np.argmax(mass))
+    k = int(np.argmax(total[dives] - total[surges]))
     return int(surges[k]), int(dives[k])
 
 
+def _joined(a: int, b: int, lengths: np.ndarray, inside: np.ndarray) -> tuple[int, int]:
+    """The span (a, b) with the other spans that are mostly in the same container, and their neighbours over a small gap.
+
+    ``inside`` tells which lines are in the container. A gap is small when its text is at most GAP of that on either side.
+    """
+    surges, dives, total = _spans(lengths)
+    own = np.concatenate([[0], np.cumsum(lengths * inside)])
+    same = 2 * (own[dives] - own[surges]) > total[dives] - total[surges]
+    if same.any():
+        a, b = min(a, int(surges[same][0])), max(b, int(dives[same][-1]))
+
+    def near(low: int, high: int, mass: int) -> bool:
+        return total[high] - total[low] <= GAP * min(mass, total[b] - total[a])
+
+    k = int(np.searchsorted(surges, a)) - 1
+    while k >= 0 and near(dives[k], a, total[min(dives[k], a)] - total[surges[k]]):
+        a = int(surges[k])
+        k -= 1
+    k = int(np.searchsorted(dives, b, "right"))
+    while k < len(surges) and near(b, surges[k], total[dives[k]] - total[max(surges[k], b)]):
+        b = int(dives[k])
+        k += 1
+    return a, b
+
+
+def _container(span: list[tuple[str, int]], names: list[str], parents: list[int]) -> int:
+    """The innermost element with most of the span's text that has more than one block of text of the span."""
+    mass = _masses(span, parents)
+    e = max(e for e in range(len(parents)) if 2 * mass[e] > mass[0])
+    block = [0] * len(parents)  # the nearest block of each element
+    for at in range(1, len(parents)):
+        block[at] = at if names[at] in _BLOCK else block[parents[at]]
+    count = [0] * len(parents)
+    for at in {block[x] for _, x in span}:
+        count[at] = 1
+    for at in range(len(parents) - 1, 0, -1):
+        count[parents[at]] += count[at]
+    while e and (count[e] < 2 or names[e] not in _BLOCK):
+        e = parents[e]
+    return e
+
+
 def _masses(lines: list[tuple[str, int]], parents: list[int]) -> list[int]:
     """The text of the lines inside each element."""
     mass = [0] * len(parents)
@@ -204,7 +253,13 @@ def extract(page: str | None) -> str:
     lines, names, parents = lines_of(page or "")
     if not lines:
         return ""
-    a, b = main_span(np.array([len(x) for x, _ in lines]))
+    lengths = np.array([len(x) for x, _ in lines])
+    a, b = main_span(lengths)
+    container = _container(lines[a:b], names, parents)
+    inside = _inside(container, parents)
+    a, b = _joined(a, b, lengths, np.array([inside[e] for _, e in lines]))
+    if names[container] not in ("", "html", "body"):
+        a, b = _widened(a, b, lines, inside)
     mass = _masses(lines[a:b], parents)
     marks = [e for e, name in enumerate(names) if name in _ROOTS and 2 * mass[e] > mass[0]]  # each in the one before
     if marks:

@@ -45,6 +45,22 @@ def test_mark_moves_the_ends():
     assert len(extract(f"<body><div>Home</div><div>News</div><article>{p}</article><div>Up</div></body>").split("\n")) == 1
 
 
+def test_short_lines_inside_an_unmarked_article():
+    p = "<p>" + "word " * 100 + "</p>"
+    page = f"<body><div>Home</div><div>{p}{p}<ul><li>abc<li>de<li>fghij</ul>{p}{p}{p}</div></body>"
+    assert [len(x) for x in extract(page).split("\n")][-8:] == [499, 499, 3, 2, 5, 499, 499, 499]
+    talk = "".join(f"<p>No {i}.</p>" for i in range(40))
+    assert len(extract(f"<body><div>{p}{talk}{p}{p}{talk}</div></body>").split("\n")) == 83
+    assert len(extract(f"<body><section>{p}{p}{p}</section><ul><li>a<li>b<li>c</ul><section>{p}{p}</section></body>").split("\n")) == 8
+
+
+def test_other_text_far_away_is_not_joined():
+    p = "<p>" + "word " * 100 + "</p>"
+    links = "".join(f"<div><a>link {i}</a></div>" for i in range(20))
+    got = extract(f"<body><div>{p}{p}</div>{links}<div><p>{'Imprint and address ' * 4}</p></div></body>")
+    assert "Imprint" not in got and got.count("word") == 200
+
+
 def test_broken_and_empty_pages():
     assert extract(None) == extract("") == extract("<html><body><script>x") == ""
     assert extract("plain text without any markup at all") == "plain text without any markup at all"
