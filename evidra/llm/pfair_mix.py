@@ -11,8 +11,14 @@ A source that runs out leaves its later slots empty and the others close up; no
 hash order is numbered in buckets of bounded size, each with the count of the buckets before it, so a
 source with a third of all rows is spread over many tasks.
 
-Defined results: a null source is a source of its own. Rows alike in id and text may trade places. Beyond
-``MAX_SOURCES`` the smallest sources are pooled into one group with their joint share. An empty
+Beyond ``MAX_SOURCES`` the smallest sources share the slots of one group, whose weight is the sum of theirs, and keep
+their own shares of these slots by a second level in the plan: a binary tree over the sources, in which
+each node's slots go to its two children by the Pfair windows of two tasks. For weights l and r of n = l + r block b
+(from 0) of the left is at ``floor(b*n/l)``, that of the right at ``ceil((b+1)*n/r) - 1``, so a row of the tree is arithmetic too.
+The sources are dealt by falling weight, so that siblings are about equal and the levels' deviations (each under
+one block) halve on the way down: a source is within about two blocks of its share of the group's slots.
+
+Defined results: a null source is a source of its own. Rows alike in id and text may trade places. An empty
 table gives an empty result. Other columns pass through; mix_slot and mix_index are replaced if there.
 """
 
@@ -29,6 +35,8 @@ from pyspark.sql.window import Window
 MAX_SOURCES = 4096
 #: Rows of a source are numbered in buckets of about this many.
 BUCKET_ROWS = 4096
+#: Sum of the whole weights of pooled sources; times the count of blocks it fits decimals.
+WHOLE = 2**46
 NULL_KEY, REST_KEY = "\x00null", "\x00rest"
 
 _KEY, _HASH, _TIE, _BUCKET = "__mx_key", "__mx_hash", "__mx_tie", "__mx_bucket"
@@ -84,6 +92,58 @@ def _plan(spark: SparkSession, counts: dict[str, int], weights: dict[str, float]
     ).select(*(F.col(f"p.{c}").alias(f"__mx_plan_{c}") for c in ("key", "period", "offsets", "bits")))
 
 
+def _tree(rest: DataFrame, n_rest: int, w_rest: float) -> DataFrame:
+    """For each pooled source (key, count, w): the bits of its buckets, and the weights on its way from its leaf to the root.
+
+    Sources are numbered by falling weight (in classes of a fifth); the node of a source at depth d is its number modulo 2^d.
+    """
+    dealt = rest.select(
+        F.col("key").alias("__mx_member"),
+        F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / BUCKET_ROWS))).cast("int").alias("__mx_plan_bits"),
+        F.greatest(F.lit(1), F.round(F.col("w") / w_rest * WHOLE)).cast("long").alias("w"),
+        F.floor(F.log2("w") * -4).alias("class"),
+        F.shiftrightunsigned(F.xxhash64("key"), 52).alias("part"),
+    )
+    before = (
+        dealt.groupBy("class", "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop("n")
+    )  # at most 4,096 rows of each class
+    nr = F.row_number().over(Window.partitionBy("class", "part").orderBy("__mx_member"))
+    numbered = dealt.withColumn("nr", nr).join(before, ["class", "part"]).withColumn("nr", F.col("nr") - 1 + F.col("before"))
+    depth = max(1, (n_rest - 1).bit_length())
+    at = numbered.select("__mx_member", "__mx_plan_bits", "nr", "w", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn(
+        "node", F.expr("nr % shiftleft(1L, d)")
+    )
+    sums = at.groupBy("d", "node").agg(F.sum("w").alias("own"))
+    way = at.join(sums, ["d", "node"]).groupBy("__mx_member", "__mx_plan_bits", "nr").agg(
+        F.sort_array(F.collect_list(F.struct("d", "own"))).alias("s")
+    )
+    step = "named_struct('n', cast(s[d - 1].own AS decimal(19,0)), 'own', cast(s[d].own AS decimal(19,0)), 'right', shiftright(nr, d - 1) % 2 = 1)"
+    return way.select("__mx_member", "__mx_plan_bits", F.expr(f"transform(sequence({depth}, 1, -1), d -> {step})").alias("__mx_way"))
+
+
+#: The place of a pooled source's block in the slots of the group.
+_UP = """aggregate(__mx_way, __mx_own, (b, x) -> CASE WHEN x.right
+  THEN (cast(b + 1 AS decimal(19,0)) * x.n + x.own - 1) div x.own - 1 ELSE (cast(b AS decimal(19,0)) * x.n) div x.own END)"""
+
+
+def _numbered(hashed: DataFrame) -> DataFrame:
+    """``hashed`` with each row's place in the hash order of its source, from 0."""
+    bucketed = hashed.withColumn(
+        _BUCKET, F.when(F.col("__mx_plan_bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({_HASH}, 64 - __mx_plan_bits)"))
+    )
+    before = (
+        bucketed.groupBy(_KEY, _BUCKET)
+        .agg(F.count(F.lit(1)).alias("__mx_n"))
+        .withColumn("__mx_before", F.sum("__mx_n").over(Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)))
+        .select(_KEY, _BUCKET, F.coalesce("__mx_before", F.lit(0)).alias("__mx_before"))
+    )
+    nr = F.row_number().over(Window.partitionBy(_KEY, _BUCKET).orderBy(_HASH, _TIE))
+    return bucketed.withColumn("__mx_nr", nr).join(before, [_KEY, _BUCKET]).withColumn("__mx_at", F.col("__mx_before") + F.col("__mx_nr") - 1)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -102,43 +162,49 @@ def mix_sources(
     spark = docs.sparkSession
     others = [c for c in docs.columns if c.lower() not in {"mix_slot", "mix_index"}]
     raw = F.coalesce(F.col(source).cast("string"), F.lit(NULL_KEY))
-    top = docs.groupBy(raw.alias("key")).count().orderBy(F.desc("count"), "key").limit(MAX_SOURCES + 1).collect()
-    counts = {r["key"]: r["count"] for r in top}
-    key = raw
-    if len(counts) > MAX_SOURCES:
-        named = [r["key"] for r in top[: MAX_SOURCES - 1]]
-        key = F.when(raw.isin(named), raw).otherwise(F.lit(REST_KEY))
-        counts = {r["key"]: r["count"] for r in docs.groupBy(key.alias("key")).count().collect()}
+    sizes = docs.groupBy(raw.alias("key")).count()
+    top = sizes.orderBy(F.desc("count"), "key").limit(MAX_SOURCES + 1).collect()
+    named = top if len(top) <= MAX_SOURCES else top[: MAX_SOURCES - 1]
+    counts = {r["key"]: r["count"] for r in named}
     if weights:
         least = min(w for w in weights.values() if w > 0)
         target = {k: max(weights.get(k, least), least * 1e-6) for k in counts}
     else:
         target = {k: n**alpha for k, n in counts.items()}
-    plan = _plan(spark, counts, target, period)
 
     hashed = docs.select(
         *others,
-        key.alias(_KEY),
+        raw.alias(_KEY),
         F.xxhash64(F.col(id_col).cast("string"), F.lit("order")).alias(_HASH),
         F.xxhash64(F.col(text)).alias(_TIE),
-    ).join(F.broadcast(plan), F.col(_KEY) == F.col("__mx_plan_key"))
-    bucketed = hashed.withColumn(
-        _BUCKET, F.when(F.col("__mx_plan_bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({_HASH}, 64 - __mx_plan_bits)"))
     )
-    before = (
-        bucketed.groupBy(_KEY, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("__mx_n"))
-        .withColumn("__mx_before", F.sum("__mx_n").over(Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)))
-        .select(_KEY, _BUCKET, F.coalesce("__mx_before", F.lit(0)).alias("__mx_before"))
-    )
-    numbered = bucketed.withColumn("__mx_nr", F.row_number().over(Window.partitionBy(_KEY, _BUCKET).orderBy(_HASH, _TIE)))
-    at = F.col("__mx_before") + F.col("__mx_nr") - 1
-    block = F.floor(at / block_rows).cast("long")
+    pooled = None
+    if len(top) > MAX_SOURCES:
+        rest = sizes.where(~F.col("key").isin(list(counts)))
+        if weights:
+            given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,double>")).alias("key", "w"))
+            rest = rest.join(F.broadcast(given), "key", "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(float(least))), F.lit(least * 1e-6)))
+        else:
+            rest = rest.withColumn("w", F.pow(F.col("count").cast("double"), F.lit(float(alpha))))
+        n_rest, w_rest, rows_rest = rest.agg(F.count(F.lit(1)), F.sum("w"), F.sum("count")).first()
+        pooled = hashed.where(~F.col(_KEY).isin(list(counts))).join(_tree(rest, n_rest, w_rest), F.col(_KEY) == F.col("__mx_member"))
+        hashed = hashed.where(F.col(_KEY).isin(list(counts)))
+        counts, target = counts | {REST_KEY: rows_rest}, target | {REST_KEY: w_rest}
+    plan = _plan(spark, counts, target, period)
+
+    at = F.col("__mx_at")
     share = F.size("__mx_plan_offsets")
+    block = F.col("__mx_block")
     slot = F.floor(block / share).cast("long") * F.col("__mx_plan_period") + F.get(F.col("__mx_plan_offsets"), (block % share).cast("int"))
-    return numbered.join(before, [_KEY, _BUCKET]).select(
-        *others, slot.cast("long").alias("mix_slot"), (at % block_rows).cast("int").alias("mix_index")
-    )
+    own = F.floor(at / block_rows).cast("long")
+    placed = _numbered(hashed.join(F.broadcast(plan), F.col(_KEY) == F.col("__mx_plan_key"))).withColumn("__mx_block", own)
+    final = [*others, slot.cast("long").alias("mix_slot"), (at % block_rows).cast("int").alias("mix_index")]
+    out = placed.select(*final)
+    if pooled is not None:
+        group = plan.where(F.col("__mx_plan_key") == REST_KEY).drop("__mx_plan_bits")
+        inner = _numbered(pooled).withColumn("__mx_own", own).withColumn("__mx_block", F.expr(_UP))
+        out = out.unionByName(inner.crossJoin(F.broadcast(group)).select(*final))
+    return out
 
 
 def in_order(mixed: DataFrame, slots_each: int = 256) -> DataFrame:

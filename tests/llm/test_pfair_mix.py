@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +46,24 @@ def test_pooled_sources_stay_whole(spark, monkeypatch):
     assert mix_sources(df).count() == len(data)
 
 
+@pytest.mark.parametrize("explicit", [False, True])
+def test_pooled_sources_keep_their_shares(spark, monkeypatch, explicit):
+    monkeypatch.setattr(pfair_mix, "MAX_SOURCES", 4)
+    monkeypatch.setattr(pfair_mix, "BUCKET_ROWS", 40)
+    sizes = {f"s{i:02}": 100 if i > 2 else 400 for i in range(40)} | {None: 90}
+    weights = {s or pfair_mix.NULL_KEY: 1.0 + (i % 5) for i, s in enumerate(sizes)} if explicit else None
+    data = rows(sizes)
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mix_sources(df, weights=weights, block_rows=1, period=4096).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in out) == sorted(data)
+    assert len({(r.mix_slot, r.mix_index) for r in out}) == len(data)
+    target = {s: weights[s or pfair_mix.NULL_KEY] if explicit else n**0.5 for s, n in sizes.items()}
+    whole, had, slots = sum(target.values()), dict.fromkeys(sizes, 0), {r.mix_slot: r.source for r in out}
+    for t in range(1200):  # before any source runs out
+        had[slots[t]] += 1
+        assert all(abs(had[s] - w / whole * (t + 1)) < 3.5 for s, w in target.items()), t
+
+
 def test_empty_repeats_and_clashing_columns(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     data = [(1, "x", "a", 9, "k")] * 4 + [(None, None, "a", 9, "k"), (2, "", None, 9, "k")]
