@@ -1,8 +1,8 @@
 """Operator 10, HTML extraction by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page, and regions that are never content (menus,
-page headers and footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out
-while it goes. The text lengths of the lines are summed over sliding windows. The distribution surges where the
+page headers and footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out, but
+not a wrapper with such a name that holds the page's article. The text lengths of the lines are summed over sliding windows. The distribution surges where the
 main text begins and dives where it ends; of all spans between a surge and its dive the one with most text is
 kept, joined with those that are mostly in the same container and with neighbours over a small gap, since three short lines
 (of a list, of dialogue) end a span. The ends take in the container's short lines. Where an article or main element holds most of the span, only the span's ends are moved to it: outward by at
@@ -57,39 +57,61 @@ _INSIDE = set("article content main post entry story body articlebody".split())
 _WORDS = re.compile(r"[a-z]+", re.I)
 
 
-def _outside(name: str, attributes: str, in_root: bool) -> bool:
-    if name in _DROPPED:
-        return True
-    if name == "header" and not in_root:
-        return True
-    if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+#: Words that begin or end a name which tells the state of a page or wrapper, not what it is: has-sidebar, comments-open.
+_STATE_FIRST, _STATE_LAST = {"has", "no", "not", "with", "without"}, {"open", "opened", "closed", "enabled", "disabled"}
+_LAYOUT = {"sidebar", "nav", "menu", "footer"}
+_STRONG = {"comment", "comments", "sidebar", "ad", "ads", "advert", "nav", "menu", "footer", "related", "share", "newsletter", "cookie"}
+#: Elements left out that are kept after all when they hold the page's article.
+_WRAPPERS = {"form", "header", "aside"}
+KEPT, GONE, NAMED, WRAPS = range(4)
+
+
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))]
+
+
+def _outside(name: str, attributes: str, in_root: bool) -> int:
+    """KEPT; GONE: never content; NAMED: the element's own name is that of a region outside; WRAPS: left out unless it holds the article."""
+    if name in ("html", "body", "main"):
+        return KEPT
+    if name in _DROPPED and name not in _WRAPPERS:
+        return GONE
+    verdict = WRAPS if name in ("form", "aside") or name == "header" and not in_root else KEPT
+    if not attributes or name == "article" and "comment" not in attributes.lower():
+        return verdict
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return GONE
         if key in ("class", "id", "role", "aria-label"):
-            named = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()))
-            strong = named & {"comment", "comments", "sidebar", "ad", "ads", "advert", "nav", "menu", "footer", "related", "share", "newsletter", "cookie"}
-            if strong or named & _OUTSIDE and not named & _INSIDE:
-                return True
-    return False
+            whole = [_words(x) for x in (m[2] or m[3] or m[4] or "").split()]
+            whole = [x for x in whole if x and not (len(x) > 1 and (x[0] in _STATE_FIRST or x[-1] in _STATE_LAST))]
+            named = {w for x in whole for w in x}
+            inside = named & _INSIDE
+            if not inside and (named & _STRONG - _LAYOUT or any(len(x) == 1 and x[0] in _LAYOUT for x in whole)):
+                verdict = NAMED
+            elif verdict == KEPT and (named & _STRONG or named & _OUTSIDE and not inside):
+                verdict = WRAPS
+    return verdict
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
     """The page's content lines with the number of the element that each is in; the elements' names and parents by number, 0 being the page."""
-    out: list[tuple[str, int]] = []
-    text: list[str] = []
+    found: list[tuple[int, list[tuple[str, int]]]] = []  # element, pieces of text with the region that each is in
+    text: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, int]] = []  # element, dropped, number
     names, parents = [""], [0]
+    regions: dict[int, int] = {}  # elements left out unless they hold the article, with their verdict
+    region = [0]  # the innermost region that each element is in or is
     dropped, roots, at = 0, 0, 0
 
+    def add(piece: str) -> None:
+        text.append((piece, region[stack[-1][2]] if stack else 0))
+
     def flush() -> None:
         if text:
-            line = " ".join(html.unescape("".join(text)).split())
+            found.append((stack[-1][2] if stack else 0, text.copy()))
             text.clear()
-            if line:
-                out.append((line, stack[-1][2] if stack else 0))
 
     def pop() -> None:
         nonlocal dropped, roots
@@ -102,15 +124,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
         m = _TOKEN.search(page, at)
         if not m:
             if not dropped:
-                text.append(page[at:])
+                add(page[at:])
             break
         if m.start() > at and not dropped:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA[") and not dropped:
-                text.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+                add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         if name in _BLOCK:
             flush()
@@ -133,16 +155,62 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
             continue
         if name in _VOID or m[3].rstrip().endswith("/") and name not in _BLOCK:
             continue
-        drop = _outside(name, m[3], roots > 0)
-        names.append(name)
+        verdict = _outside(name, m[3], roots > 0)
+        drop = verdict == GONE
         parents.append(stack[-1][2] if stack else 0)
+        region.append(region[parents[-1]])
+        if verdict in (NAMED, WRAPS) and not dropped:
+            region[-1] = len(names)
+            regions[len(names)] = verdict
+        names.append("" if drop or dropped else name)  # an article in what is gone is none
         stack.append((name, drop, len(names) - 1))
         dropped += drop
         roots += name in _ROOTS and not dropped
     flush()
+    gone = _left_out(found, names, parents, regions, region) if regions else set()
+    out = []
+    for element, pieces in found:
+        line = " ".join(html.unescape("".join(x for x, r in pieces if r not in gone)).split())
+        if line:
+            out.append((line, element))
     return out, names, parents
 
 
+def _left_out(found: list[tuple[int, list[tuple[str, int]]]], names: list[str], parents: list[int], regions: dict[int, int], region: list[int]) -> set[int]:
+    """The regions whose text is left out: all but those that hold the page's article, and all inside one that is left out.
+
+    A region holds it that has the main element, or the only article elements, or most of the page's text and, if there is another article,
+    an article too. One that is named as a region has to have the main element, or the only articles with no text of any length elsewhere.
+    """
+    size = [0] * len(parents)  # text of each region itself, then with the regions in it
+    for _, pieces in found:
+        for x, r in pieces:
+            size[r] += len(" ".join(x.split()))
+    free, total = size[0], sum(size)
+    within = {e: region[parents[e]] for e in regions}
+    held: dict[int, set[str]] = {}
+    for e, name in enumerate(names):
+        if name in _ROOTS and e not in regions:
+            held.setdefault(region[e], set()).add(name)
+    free_root = 0 in held
+    for e in reversed(regions):
+        if regions[e] != NAMED:
+            held.setdefault(within[e], set()).update(held.get(e, ()))
+        elif "main" in held.get(e, ()):
+            held.setdefault(within[e], set()).add("main")
+        size[within[e]] += size[e] if within[e] else 0
+    gone: set[int] = set()
+    for e in regions:
+        marks = held.get(e, set())
+        if regions[e] == NAMED:
+            holds = "main" in marks or "article" in marks and not free_root and free < SURGE
+        else:
+            holds = "main" in marks or "article" in marks and not free_root or 2 * size[e] > total and (not free_root or "article" in marks)
+        if within[e] in gone or not holds:
+            gone.add(e)
+    return gone
+
+
 def _spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The surges, their dives (one past the last line), and the text before each line and in all."""
     n = len(lengths)

@@ -61,6 +61,34 @@ def test_other_text_far_away_is_not_joined():
     assert "Imprint" not in got and got.count("word") == 200
 
 
+def test_names_of_wrappers_do_not_drop_the_article():
+    text = "word " * 60
+    p = f"<p>{text}</p>"
+    for page in (
+        f'<body class="single comments-open"><article>{p}</article></body>',
+        f'<body><main class="has-comments">{p}</main></body>',
+        f'<body><div class="main has-sidebar"><article>{p}</article></div></body>',
+        f'<body><div class="content no-sidebar">{p}</div></body>',
+        f'<body><div class="layout-sidebar-right"><article>{p}</article><div class="sidebar">More</div></div><footer>x</footer></body>',
+        f'<body><div class="row sidebar-layout">{p}</div><div class="comments">I agree.</div></body>',
+        f'<body><div class="with-menu menu"><main>{p}</main></div></body>',
+        f'<body><form id="aspnetForm" action="x"><div>{p}</div></form></body>',
+    ):
+        assert extract(page) == text.strip(), page
+
+
+def test_named_regions_stay_out():
+    text = "word " * 60
+    card = "<article><p>" + "Other story on this site. " * 20 + "</p></article>"
+    talk = '<section id="comments"><article>' + "<p>" + "I disagree with all of this. " * 40 + "</p></article></section>"
+    for region in (f'<div class="related">{card}</div>', f'<div class="post-related">{card[:200]}</div>', talk, '<div class="sidebar-left">More</div>', f"<div hidden>{card}</div>"):
+        assert extract(f"<body><article><p>{text}</p></article>{region}</body>") == text.strip(), region
+        assert extract(f"<body><main><p>{text} <span class='ad'>Buy now</span></p>{region}</main></body>") == text.strip(), region
+    assert extract(f"<body><div><p>{text}</p></div>{talk}</body>") == text.strip()
+    assert extract(f'<body><article><p>Short.</p></article><div class="ad">{text}</div></body>') == "Short."
+    assert extract(f'<body><div>Short.</div><div class="cookie-notice">{text}</div></body>') == "Short."
+
+
 def test_broken_and_empty_pages():
     assert extract(None) == extract("") == extract("<html><body><script>x") == ""
     assert extract("plain text without any markup at all") == "plain text without any markup at all"
