@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -76,6 +77,12 @@ def test_signatures_estimate_weighted_similarity():
     assert (dm.signatures(element, w[0], np.array([0, 300])) == dm.signatures(element[::-1], w[0][::-1], np.array([0, 300]))).all()
 
 
+def test_signature_filter_loses_less_than_the_bands():
+    least = math.ceil(dm.MAYBE * dm.K)
+    lost = sum(math.comb(dm.K, i) * 0.8**i * 0.2 ** (dm.K - i) for i in range(least))
+    assert lost < 0.01 * (1 - 0.8**dm.ROWS) ** dm.BANDS
+
+
 def test_null_ids_empty_table_and_deduplicate(spark, prose):
     assert dm.classes(spark.createDataFrame([], SCHEMA)).count() == 0
     long = prose(30_000, 3)
