@@ -20,7 +20,8 @@ probability of 1 - 7e-6, and passes to the exact check with one of 1 - 6e-9.
 
 Defined results: classes are named by their least doc_id. A text with fewer than five words is one run of
 them. A text without words is a class with equal texts only; a null text is alone in its class. Rows with
-a null doc_id get a null class. Repeated rows get the class of their text. An empty table gives an empty result. Other columns
+a null doc_id get a null class. Repeated rows get the class of their text. Where an id
+comes with different texts each is classed by itself, two classes may have that id as their name, and ``deduplicate`` keeps one row of each. An empty table gives an empty result. Other columns
 are left out of ``classes`` and kept by ``deduplicate``.
 """
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -135,25 +136,44 @@ def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return runs, np.searchsorted(doc, np.arange(len(offsets))), hashes, firsts, times
 
 
+def _contents(ids: pa.Array, null: np.ndarray, data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    out = []
+    for i in range(len(ids)):
+        if null[i]:
+            body = b"N" + str(ids[i].as_py()).encode()
+        elif firsts[i] == firsts[i + 1]:
+            body = b"T" + data[offsets[i] : offsets[i + 1]].tobytes()
+        else:
+            body = b"W" + hashes[firsts[i] : firsts[i + 1]].tobytes()
+        out.append(hashlib.blake2b(body, digest_size=16).digest())
+    return out
+
+
+def _content(doc: str, text: str) -> Column:
+    """The content of rows, as ``sign`` has it."""
+
+    def run(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        column = pa.array(texts, pa.string(), from_pandas=True)
+        data, offsets = textkit.utf8(column)
+        starts, ends, firsts = textkit.words(data, offsets)
+        hashes = textkit.word_hashes(data, starts, ends)
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        return pd.Series(_contents(pa.array(ids.astype("int64")), null, data, offsets, hashes, firsts))
+
+    return F.pandas_udf(run, "binary")(F.col(doc).cast("long"), F.col(text))
+
+
 def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, content, sig, bands): content names the words in order; bands is null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             null = batch.column(text).is_null().to_numpy(zero_copy_only=False)
-            ids = batch.column(id_col)
+            ids = batch.column(id_col).cast(pa.int64())
             for a, b, data, offsets in textkit.slices(batch, text):
                 runs, bounds, hashes, firsts, _ = _elements(data, offsets)
                 names = signatures(runs, np.ones(len(runs)), bounds)
-                content = []
-                for i in range(b - a):
-                    if null[a + i]:
-                        body = b"N" + str(ids[a + i].as_py()).encode()
-                    elif firsts[i] == firsts[i + 1]:
-                        body = b"T" + data[offsets[i] : offsets[i + 1]].tobytes()
-                    else:
-                        body = b"W" + hashes[firsts[i] : firsts[i + 1]].tobytes()
-                    content.append(hashlib.blake2b(body, digest_size=16).digest())
+                content = _contents(ids.slice(a, b - a), null[a:b], data, offsets, hashes, firsts)
                 h = np.zeros((b - a, BANDS), np.uint64)
                 for r in range(ROWS):
                     h = textkit.mix64(h * np.uint64(31) + names[:, r::ROWS].astype(np.uint64) + np.uint64(1))
@@ -162,7 +182,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                 bands = pa.array([r if ok else None for r, ok in zip(h, some, strict=True)], pa.list_(pa.int64()))
                 sig = names.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(content, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), bands],
+                    [ids.slice(a, b - a), pa.array(content, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), bands],
                     ["doc", "content", "sig", "bands"],
                 )
 
@@ -298,11 +318,29 @@ def _left_over(members: DataFrame, hubs: DataFrame, sigs: DataFrame, texts: Data
     return left.unionByName(right).groupBy("band", "i", "j").applyInPandas(_compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs``."""
+def _apart(contents: DataFrame, mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """``contents`` with node: the rep, or where the rep's id has several contents a number of its own beyond all ids."""
+    low, high = signed.agg(F.min("doc"), F.max("doc")).first()
+    if high < 2**62:
+        own = F.lit(high + 1) + F.monotonically_increasing_id()
+    elif low > -(2**62):
+        own = F.lit(low - 1) - F.monotonically_increasing_id()
+    else:
+        raise ValueError("repeated ids with different texts need free numbers below or above all ids")
+    marked = contents.join(mixed.select(F.col("doc").alias("rep"), F.lit(True).alias("m")), "rep", "left").withColumn("own", own)
+    return stage(marked.select("content", "rep", F.when(F.col("m"), F.col("own")).otherwise(F.col("rep")).alias("node")), "content-nodes")
+
+
+def _resolve(docs: DataFrame, threshold: float, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Signed rows; (content, class_id); and where ids have several contents, (rep, content) of the row that stands for each class."""
     signed = stage(sign(docs, id_col, text), "dart-signatures")
     contents = stage(signed.where("doc is not null").groupBy("content").agg(F.min("doc").alias("rep")), "contents")
-    reps = signed.join(contents.select(F.col("rep").alias("doc"), "content"), ["doc", "content"], "left_semi").where("bands is not null")
+    per_id = signed.where("doc is not null").groupBy("doc").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+    mixed = stage(per_id.where("lo <> hi").select("doc"), "mixed-ids")
+    several = not mixed.isEmpty()
+    contents = _apart(contents, mixed, signed) if several else contents.withColumn("node", F.col("rep"))
+    own = contents.select(F.col("rep").alias("doc"), "content", "node")
+    reps = signed.where("bands is not null").join(own, ["doc", "content"]).select(F.col("node").alias("doc"), "sig", "bands")
     band_rows = reps.select("doc", F.explode("bands").alias("band")).distinct()
     buckets = stage(
         band_rows.groupBy("band").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", F.array("hub").alias("hubs")),
@@ -311,6 +349,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     in_buckets = stage(band_rows.join(buckets.select("band"), "band", "left_semi"), "bucket-rows")
     sigs = reps.select("doc", "sig").dropDuplicates(["doc"])
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
+    if several:
+        of_mixed = texts.join(mixed, "doc", "left_semi").withColumn("content", _content("doc", "text")).join(own, ["doc", "content"])
+        texts = texts.join(mixed, "doc", "left_anti").unionByName(of_mixed.select(F.col("node").alias("doc"), "text").dropDuplicates(["doc"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         sure = stage(_likely(pairs, sigs), "pairs")
@@ -339,21 +380,43 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
             more = stage(_left_over(members, hubs, sigs, texts, threshold), "more-links")
             if not more.isEmpty():
                 comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-    named = contents.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(
-        "content", F.coalesce("comp", "rep").alias("class_id")
-    )
+    named = contents.join(comps.select("node", "comp"), "node", "left").select("content", "rep", F.coalesce("comp", "node").alias("class_id"))
+    if not several:
+        return signed, named.drop("rep"), None
+    named = stage(named, "classes-by-node")
+    heads = stage(named.groupBy("class_id").agg(F.min(F.struct("rep", "content")).alias("h")), "heads")
+    return signed, named.join(heads, "class_id").select("content", F.col("h.rep").alias("class_id")), heads.select("h.*")
+
+
+def _by_id(signed: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
     return signed.select("doc", "content").join(named, "content", "left").select(
         F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("class_id")).alias("class_id")
     )
 
 
+def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs``."""
+    signed, named, _ = _resolve(docs, threshold, id_col, text)
+    return _by_id(signed, named, id_col)
+
+
 def deduplicate(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that with the least doc_id; rows with a null doc_id all stay."""
-    named = classes(docs, threshold, id_col, text)
-    gone = stage(named.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    signed, named, heads = _resolve(docs, threshold, id_col, text)
     twice = stage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__twice")), "repeats")
+    repeated = F.col(id_col) == F.col("__twice")
+    if heads is not None:
+        # An id has several texts: rows are chosen by id and content.
+        heads = heads.select(F.col("rep").alias("__rep"), F.col("content").alias("__head"))
+        chosen = F.col(id_col).cast("long") == F.col("__rep")
+        once = docs.join(twice, repeated, "left_anti")
+        single = once.where(F.col(id_col).isNotNull()).join(heads.select("__rep").distinct(), chosen, "left_semi")
+        many = docs.join(twice, repeated, "left_semi").withColumn("__content", _content(id_col, text))
+        many = many.join(heads, chosen & (F.col("__content") == F.col("__head")), "left_semi").dropDuplicates([id_col, "__content"])
+        return single.unionByName(many.drop("__content")).unionByName(once.where(F.col(id_col).isNull()))
+    gone = stage(_by_id(signed, named, id_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     if twice.isEmpty():
         return kept
-    single = kept.join(twice, F.col(id_col) == F.col("__twice"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col]))
+    single = kept.join(twice, repeated, "left_anti")
+    return single.unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates([id_col]))

@@ -93,3 +93,16 @@ def test_null_ids_empty_table_and_deduplicate(spark, prose):
     kept = dm.deduplicate(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.class_id) for r in kept.collect()) == [(0, "z"), (3, "y"), (7, "l"), (9, "n")]
+
+
+def test_ids_with_different_texts(spark, prose):
+    a, b, c = prose(80, 11), prose(80, 12), prose(80, 13)
+    rows = [
+        (9, a, "a"), (9, b, "b"), (9, None, "null"), (9, a, "a"),  # an id with three contents, one repeated
+        (3, b, "b3"), (12, b + " end", "b12"),  # b's class is named 3
+        (20, c, "c20"), (20, a + " end", "a20"), (21, c + " end", "c21"), (22, "", "empty"), (None, a, "none"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA + ", tag string")
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in dm.classes(df).collect())
+    assert got == [(0, 0), (3, 3), (9, 3), (9, 9), (9, 9), (9, 9), (12, 3), (20, 9), (20, 20), (21, 20), (22, 22)]
+    assert sorted(r.tag for r in dm.deduplicate(df).collect()) == ["a", "b3", "c20", "empty", "none", "null"]
