@@ -18,8 +18,9 @@ and round_trip are replaced if there. The vocabulary's path is a parameter; file
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,15 @@ from .staging import small_batches
 MARK = "▁"
 PLAIN = "\x01"
 #: Words kept with their ids by each Python worker, between batches.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 400_000
 #: Checked pairs of pieces kept likewise.
-MEMO_PAIRS = 150_000
+MEMO_PAIRS = 600_000
 SLICE_CHARS = 3_000_000
 _UNIGRAM, _BPE = 1, 2
+#: Score of a character outside the vocabulary, for unigram models.
+OUTSIDE = -1e4
+#: Characters of a word that are compared in arrays.
+HEAD = 24
 
 
 def _kind(model: bytes) -> int:
@@ -93,11 +98,39 @@ class Encoder:
                 self.out[i] = piece.replace(MARK, " ").encode()
         if lib.normalize("a  ﬁ") != "▁a▁▁ﬁ" or any(lib.is_unknown(i) for i in self.byte_id):
             raise ValueError("the model's normalisation is not the identity with a leading mark and byte fallback")
-        self.longest = max(map(len, self.id))
         self.dtype = np.uint16 if len(self.out) <= 65536 else np.uint32
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.n_pairs = 0
         self.memo: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
+        self.changed: set[str] = set()
+
+    @cached_property
+    def raw(self) -> dict[str, bytes]:
+        return {p: np.array([i], self.dtype).tobytes() for p, i in self.id.items()}
+
+    @cached_property
+    def ending(self) -> dict[str, str | None]:
+        """All that some piece begins with, and for each the longest piece that it ends with."""
+        out: dict[str, str | None] = {"": None}
+        for piece in self.id:
+            for n in range(len(piece), 0, -1):
+                if (p := piece[:n]) in out:
+                    break
+                out[p] = p if p in self.id else self._suffix(p)
+        return out
+
+    @cached_property
+    def shorter(self) -> dict[str, str | None]:
+        """For each piece the next shorter one that it ends with."""
+        return {p: self._suffix(p) for p in self.id}
+
+    @cached_property
+    def info(self) -> dict[str, tuple[dict[str, bool], bytes]]:
+        """For each piece met so far: which pieces may follow it or not, as far as checked, and its ids."""
+        return {"": ({}, b"")}
+
+    def _suffix(self, s: str) -> str | None:
+        """The longest piece that is a proper suffix."""
+        return next((s[j:] for j in range(1, len(s)) if s[j:] in self.id), None)
 
     def _merge(self, s: str) -> list[str]:
         """BPE of a short string by its merges, the best score and then the leftmost first."""
@@ -113,66 +146,68 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stays(self, a: str, b: str) -> bool:
-        got = self.pair.get((a, b))
-        if got is None:
-            got = self._merge(a + b) == ([a, b] if a else [b])
-            if len(self.pair) >= MEMO_PAIRS:
-                self.pair.clear()
-            self.pair[a, b] = got
+    def _stays(self, a: str, b: str, after: dict[str, bool]) -> bool:
+        """Whether piece b may follow piece a, kept in ``after``, which is a's own."""
+        if self.n_pairs >= MEMO_PAIRS:
+            for checked, _ in self.info.values():
+                checked.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        after[b] = got = self._merge(a + b) == ([a, b] if a else [b])
         return got
 
-    def _step(self, word: str, i: int, state: list) -> tuple:
-        """The forward state after i characters: the last piece, and the best sum of scores."""
-        known, least = self.id, max(0, i - self.longest)
-        if self.bpe:
-            pair = self.pair
-            for j in range(least, i):
-                t = word[j:i]
-                if t in known or j == i - 1:
-                    stays = pair.get((state[j][0], t))
-                    if stays or stays is None and self._stays(state[j][0], t):
-                        return t, 0.0
-            raise ValueError(f"no pieces for {word[:i]!r}")
-        best = None
-        for j in range(least, i):
-            t = word[j:i]
-            v = self.score.get(t)
-            if v is None:
-                if j < i - 1:
-                    continue
-                v = -1e4  # a character outside the vocabulary
-            if (before := state[j]) is not None and (best is None or before[1] + v > best[1]):
-                best = (t, before[1] + v)
-        return best
-
     def _ids(self, piece: str) -> bytes:
         """A piece's id as bytes, or the ids of its own bytes where it has none."""
         i = self.id.get(piece)
         return np.array([i] if i is not None else [self.byte_id[b] for b in piece.encode()], self.dtype).tobytes()
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, by one depth-first walk over the trie that the sorted words make."""
-        out, state, last = {}, [("", 0.0)], ""
-        if not self.raw:
-            self.raw = {p: self._ids(p) for p in self.id}
-        raw, step = self.raw, self._step
-        for word in sorted(words):
-            n = 0
-            for a, b in zip(word, last):  # noqa: B905  the shorter one ends it
-                if a != b:
-                    break
-                n += 1
-            del state[n + 1 :]
+        """Ids of distinct words, by one depth-first walk over the trie that the sorted words make.
+
+        Each depth has its forward state: the last piece, what may follow it or the best sum of scores, the ids so far, and where the longest
+        run begins that some piece could go on from.
+        """
+        words = sorted(words)
+        depth = max(map(len, words), default=0) + 1
+        pieces, states, codes, starts = [""] * depth, [None] * depth, [b""] * depth, [0] * depth
+        ending, shorter, info, score, stays = self.ending, self.shorter, self.info, self.score, self._stays
+        states[0] = info[""][0] if self.bpe else 0.0
+        out: dict[str, bytes] = {}
+        for word, n in zip(words, _shared(words), strict=True):
+            start = starts[n]
             for i in range(n + 1, len(word) + 1):
-                state.append(step(word, i, state))
-            pieces, i = [], len(word)
-            while i:
-                p = state[i][0]
-                pieces.append(p)
-                i -= len(p)
-            out[word] = b"".join([raw[p] if p in raw else self._ids(p) for p in reversed(pieces)])
-            last = word
+                run = word[start:i]
+                while run not in ending:
+                    start += 1
+                    run = word[start:i]
+                piece = ending[run]
+                if self.bpe:
+                    while piece is not None:
+                        j = i - len(piece)
+                        state = states[j]
+                        ok = state.get(piece)
+                        if ok or ok is None and stays(pieces[j], piece, state):
+                            break
+                        piece = shorter[piece]
+                    else:  # a character outside the vocabulary
+                        piece, j = word[i - 1], i - 1
+                        if not stays(pieces[j], piece, states[j]):
+                            raise ValueError(f"no pieces for {word[:i]!r}")
+                else:
+                    total = None
+                    for p in _chain(piece, shorter) if word[i - 1] in score else (*_chain(piece, shorter), word[i - 1]):
+                        v = states[i - len(p)] + score.get(p, OUTSIDE)
+                        if total is None or v > total:
+                            piece, total = p, v
+                    j = i - len(piece)
+                found = info.get(piece)
+                if found is None:
+                    found = info[piece] = ({}, self._ids(piece))
+                pieces[i] = piece
+                states[i] = found[0] if self.bpe else total
+                codes[i] = codes[j] + found[1]
+                starts[i] = start
+            out[word] = codes[len(word)]
         return out
 
     @staticmethod
@@ -208,34 +243,67 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_checked(texts)[0]
+
+    def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether they decode to it; the ids of a word are decoded once."""
         cuts = [self.cut(t) for t in texts]
-        memo = self.memo
-        missing = [w for w in set().union(*cuts) if w not in memo]
-        new: dict[str, bytes] = {}
-        if missing:
-            words = [w[1:] if w[0] == PLAIN else w if w == "\n" else MARK + w for w in missing]
-            ids = self.encode_words(list(set(words)))
-            new = dict(zip(missing, map(ids.__getitem__, words), strict=True))
-            if len(memo) + len(new) <= MEMO_WORDS:
-                memo |= new
-                new = {}
-        get = _Both(new, memo).__getitem__ if new else memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), self.dtype) for c in cuts]
+        codes = dict.fromkeys(itertools.chain.from_iterable(cuts))
+        missing = []
+        for key in codes:
+            code = codes[key] = self.memo.get(key)
+            if code is None:
+                missing.append(key)
+        words = [w[1:] if w[0] == PLAIN else w if w == "\n" else MARK + w for w in missing]
+        ids = self.encode_words(list(set(words)))
+        new = {key: ids[word] for key, word in zip(missing, words, strict=True)}
+        codes |= new
+        nul = np.array([self.byte_id[0]], self.dtype).tobytes()
+        if self._bytes(nul.join(ids.values())) != "\0".join(ids).replace(MARK, " ").encode():
+            self.changed |= {key for key, word in zip(missing, words, strict=True) if self._bytes(new[key]) != word.replace(MARK, " ").encode()}
+        out = [np.frombuffer(b"".join(map(codes.__getitem__, c)), self.dtype) for c in cuts]
+        same = [not self.changed or self.changed.isdisjoint(c) for c in cuts]
+        self._learn(new, codes)
+        return out, same
+
+    def _learn(self, new: dict[str, bytes], used: dict[str, bytes]) -> None:
+        """Keep new words. When that is too much a quarter of the memo makes room: words that this slice used stay, then the oldest."""
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            most = MEMO_WORDS * 3 // 4
+            stay = {w: c for w, c in self.memo.items() if w in used}
+            self.memo = dict(itertools.islice((stay | self.memo).items(), most))
+            new = dict(itertools.islice(new.items(), MEMO_WORDS - len(self.memo)))
+        self.memo |= new
+        self.changed &= self.memo.keys()
+
+    def _bytes(self, code: bytes) -> bytes:
+        return b"".join(map(self.out.__getitem__, np.frombuffer(code, self.dtype).tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.out.__getitem__, ids.tolist()))
-        return text.decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
-class _Both(dict):
-    """A dict that looks further in another."""
+def _chain(piece: str | None, shorter: dict[str, str | None]) -> Iterator[str]:
+    while piece is not None:
+        yield piece
+        piece = shorter[piece]
 
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(first)
-        self.second = second
 
-    def __missing__(self, key: str) -> bytes:
-        return self.second[key]
+def _shared(words: list[str]) -> list[int]:
+    """How many characters each word has in common with the one before; the first ones are compared in arrays."""
+    if len(words) < 2:
+        return [0] * len(words)
+    heads = np.array([w[:HEAD] for w in words], f"U{HEAD}").view(np.uint32).reshape(len(words), HEAD)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    unlike = heads[1:] != heads[:-1]
+    same = np.where(unlike.any(1), unlike.argmax(1), HEAD)
+    same = np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))
+    for k in np.flatnonzero(same == HEAD):
+        a, b, n = words[k], words[k + 1], HEAD
+        while n < len(a) and n < len(b) and a[n] == b[n]:
+            n += 1
+        same[k] = n
+    return [0, *same.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -263,8 +331,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
                 while at + len(texts) < batch.num_rows and size < SLICE_CHARS:
                     texts.append(column[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
-                ids = enc.encode(texts)
-                same = [enc.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
+                ids, same = enc.encode_checked(texts)
                 counts = np.array([len(i) for i in ids], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32)
