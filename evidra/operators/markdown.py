@@ -1,29 +1,35 @@
-"""Page-delimited OCR Markdown to chunk records: the heading stack runs through a document, so a document is one group.
+"""Page-delimited OCR Markdown to chunk records, as one plan over lines.
 
-Tables are matched, numbered and turned into row texts in DataFrame plans before; here they take their places between the paragraphs.
+A page's body is cut at its table images into stretches, a stretch into blocks at blank lines, and a block into lines. Headings are counted through
+a document, so that each line knows the last one before it; only the heading lines themselves meet in a group, for the stack of open headings that
+stands after each. Paragraphs are normalised and cut to pieces, and pieces of one run (a stretch between headings, of one kind) are packed by a fold.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import IMAGE_BLOCK, MAX_CHUNK_CHARS, html_to_text_value, split_long_value
+from ..functions import text as T
 from .tables import match_images
 
 # Forms of the source.
-HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*")
-CENTRED = re.compile(r'<div\b[^>]*style="[^"]*text-align:\s*center[^"]*"[^>]*>((?:(?!<img\b).)*?)</div>', re.I | re.S)
+HEADING_LINE = r"^(#{1,6})\s+(\S.*)$"
+HEADING = r"(?m)^#{1,6}\s+(.+?)\s*$"
+CENTRED = r'(?is)<div\b[^>]*style="[^"]*text-align:\s*center[^"]*"[^>]*>((?:(?!<img\b).)*?)</div>'
 TABLE_IMAGE = r'(?is)<div\b[^>]*>\s*<img\b[^>]*\bsrc="([^"]*img_in_table_box_(\d+)_(\d+)_(\d+)_(\d+)\.jpg)[^>]*>\s*</div>'
+BLANK_LINES, LINE_END = r"\n[ \t]*\n+", r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
 NOTE_STARTS = ("注：", "注:")
+PAGE_TITLE = "PDF page "
 
 RECORD = (
     "doc_id string, seq int, chunk_id string, page int, kind string, section_path string, parent_h1 string, heading_level int, text string, "
     "table_index int, table_title string, source_image string"
 )
+_PAGE = ["doc_id", "ord", "page"]
+_STRETCH = [*_PAGE, "stretch"]
 
 
 def table_images(pages: DataFrame) -> DataFrame:
@@ -49,105 +55,91 @@ def place_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
     return found
 
 
-def _squeeze(text: str) -> str:
-    return " ".join(text.split())
-
-
-class _Document:
-    """Records of one document as its pages are read in order."""
-
-    def __init__(self, doc_id: str, prefix: str) -> None:
-        self.doc_id, self.prefix = doc_id, prefix
-        self.heads: list[str] = []
-        self.rows: list[tuple] = []
-        self.page = self.block = 0
-
-    def section(self) -> str:
-        return " > ".join(self.heads) or f"PDF第{self.page}页"
-
-    def heading(self, line: str) -> str | None:
-        m = HEADING.fullmatch(line.strip())
-        if not m:
-            return None
-        title = _squeeze(m[2])
-        if title and not title.startswith("PDF page "):
-            self.heads[len(m[1]) - 1 :] = [title]  # a skipped level moves up, so place is not level
-        return title
-
-    def add(self, chunk_id: str, kind: str, text: str, section: str, index: int | None = None, title: str | None = None, image: str | None = None) -> None:
-        top = (self.heads[0], len(self.heads)) if self.heads else (None, None)
-        self.rows.append((self.doc_id, len(self.rows) + 1, chunk_id, self.page, kind, section, *top, text, index, title, image))
-
-    def text(self, body: str) -> None:
-        """Paragraphs of a stretch without tables, packed up to the size of a chunk while section and kind stay."""
-        held: list[str] = []
-        state = ("", "")
-
-        def flush() -> None:
-            if held:
-                self.block += 1
-                self.add(f"{self.prefix}_p{self.page:03d}_b{self.block:03d}", state[1], "\n\n".join(held), state[0])
-                held.clear()
-
-        def paragraph(lines: list[str]) -> None:
-            nonlocal state
-            plain = html_to_text_value(re.sub(IMAGE_BLOCK, "", "\n".join(lines))).replace("\r\n", "\n").replace("\r", "\n")
-            plain = "\n".join(x.rstrip() for x in plain.splitlines() if not re.fullmatch(r"\s*---+\s*", x)).strip()
-            now = (self.section(), "note" if plain.startswith(NOTE_STARTS) else "paragraph")
-            for piece in split_long_value(plain):
-                if held and (state != now or sum(map(len, held)) + len(piece) + 2 * len(held) > MAX_CHUNK_CHARS):
-                    flush()
-                state = now if not held else state
-                held.append(piece)
-
-        for block in re.split(r"\n[ \t]*\n+", body):
-            lines: list[str] = []
-            for line in block.splitlines():
-                if HEADING.fullmatch(line.strip()):
-                    paragraph(lines)
-                    lines = []
-                    flush()
-                    self.heading(line)
-                else:
-                    lines.append(line)
-            paragraph(lines)
-        flush()
-
-    def title(self, before: str, index: int) -> str:
-        """A table's title: the last heading or centred line before it, else the innermost heading, else its place."""
-        found = [(m.start(), _squeeze(m[2])) for m in re.finditer(r"(?m)^(#{1,6})\s+(.+?)\s*$", before)]
-        found = [f for f in found if not f[1].startswith("PDF page ")]
-        found += [(m.start(), _squeeze(html_to_text_value(m[1]))) for m in CENTRED.finditer(before)]
-        found = [f for f in found if f[1]]
-        return max(found)[1] if found else self.heads[-1] if self.heads else f"PDF第{self.page}页表格{index}"
+def _lines(pages: DataFrame) -> DataFrame:
+    """Every line with its place, its heading's level and title if it is one, and how many headings the document has had up to it."""
+    cut = pages.where("page > 0").select(*_PAGE, F.posexplode(F.split("body", TABLE_IMAGE, -1)).alias("stretch", "s"))
+    blocks = cut.select(*_STRETCH, F.posexplode(F.split("s", BLANK_LINES, -1)).alias("block", "b"))
+    lines = blocks.select(*_STRETCH, "block", F.posexplode(F.split("b", LINE_END, -1)).alias("nr", "line"))
+    bare = T.strip(F.col("line"))
+    lines = lines.withColumn("level", F.nullif(F.char_length(F.regexp_extract(bare, HEADING_LINE, 1)), F.lit(0)))
+    so_far = Window.partitionBy("doc_id").orderBy("ord", "stretch", "block", "nr")
+    return lines.withColumn("title", T.clean_title(F.regexp_extract(bare, HEADING_LINE, 2))).withColumn("heads", F.count("level").over(so_far))
+
+
+def _open_headings(lines: DataFrame) -> DataFrame:
+    """(doc_id, heads, section, first, depth, last): the headings that are open after each heading line."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, stack, states = pdf.sort_values("heads"), [], []
+        for level, title in zip(pdf["level"], pdf["title"], strict=True):
+            if title and not title.startswith(PAGE_TITLE):  # a skipped level moves up: place in the stack is not level
+                stack = [*stack[: level - 1], title]
+            states.append((" > ".join(stack), stack[0], len(stack), stack[-1]) if stack else (None,) * 4)
+        out = pd.DataFrame(states, columns=["section", "first", "depth", "last"]).astype({"depth": "Int64"})
+        return pd.concat([pdf[["doc_id", "heads"]].reset_index(drop=True), out], axis=1)
+
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    headings = lines.where("level is not null").select("doc_id", "heads", "level", "title")
+    return headings.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, heads long, section string, first string, depth int, last string")
+
+
+def _chunks(lines: DataFrame) -> DataFrame:
+    """Packed texts with their place: consecutive paragraphs of one kind that no heading parts, up to the size of a chunk."""
+    paragraphs = lines.where("level is null").groupBy(*_STRETCH, "block", "heads").agg(F.array_sort(F.collect_list(F.struct("nr", "line"))).alias("ls"))
+    plain = paragraphs.select(*_STRETCH, "block", "heads", T.normalize_block(F.array_join(F.col("ls.line"), "\n")).alias("plain"))
+    kind = F.when(F.col("plain").startswith(NOTE_STARTS[0]) | F.col("plain").startswith(NOTE_STARTS[1]), "note").otherwise("paragraph")
+    pieces = plain.select(*_STRETCH, "block", "heads", kind.alias("kind"), F.posexplode(T.split_long(F.col("plain"))).alias("nr", "piece"))
+    order = Window.partitionBy(*_STRETCH).orderBy("heads", "block", "nr")
+    now = F.struct("heads", "kind")
+    begins = F.coalesce(now != F.lag(now).over(order), F.lit(True)).cast("int")
+    runs = pieces.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy(*_STRETCH, "run", "heads", "kind")
+    whole = runs.agg(F.array_sort(F.collect_list(F.struct("block", "nr", "piece"))).alias("ps"))
+    fits = f"size(a) > 0 and char_length(element_at(a, -1)) + 2 + char_length(p) <= {T.MAX_CHUNK_CHARS}"
+    packed = F.expr(
+        "aggregate(ps.piece, cast(array() as array<string>), (a, p) -> "
+        f"if({fits}, concat(slice(a, 1, size(a) - 1), array(concat(element_at(a, -1), '\\n\\n', p))), concat(a, array(p))))"
+    )
+    return whole.select(*_STRETCH, "run", "heads", "kind", F.posexplode(packed).alias("nr", "text"))
+
+
+def _titles(pages: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc_id, page, image_id, table_title): the last heading or centred line of the stretch before an image, where it has one."""
+    wanted = placed.select("doc_id", "page", "image_id").distinct()
+    before = pages.select("doc_id", "page", F.posexplode(F.split("body", TABLE_IMAGE, -1)).alias("image_id", "s")).join(wanted, ["doc_id", "page", "image_id"])
+    marks = before.select("doc_id", "page", "image_id", F.posexplode(F.regexp_extract_all("s", F.lit(f"({HEADING}|{CENTRED})"), 1)).alias("at", "mark"))
+    heading = F.col("mark").startswith("#")
+    text = T.clean_title(F.when(heading, F.regexp_extract("mark", HEADING, 1)).otherwise(T.html_to_text(F.regexp_extract("mark", CENTRED, 1))))
+    named = marks.withColumn("title", text).where((F.col("title") != "") & ~(heading & F.col("title").startswith(PAGE_TITLE)))
+    return named.groupBy("doc_id", "page", "image_id").agg(F.max_by("title", "at").alias("table_title"))
 
 
 def convert(pages: DataFrame, placed: DataFrame, prefix: str) -> DataFrame:
     """Records of documents in reading order: paragraphs, notes, and a row of kind table where each table stands.
 
-    ``pages`` has (doc_id, ord, page, body), ``placed`` is what ``place_tables`` gives. Text before the first page mark makes no record.
+    ``pages`` has (doc_id, ord, page, body), ``placed`` is what ``place_tables`` gives. Text before the first page mark makes no record. A heading
+    inside a centred element counts as part of it.
     """
-    spots = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("image_id", "table_index"))).alias("spots"))
-    whole = pages.where("page > 0").join(spots, ["doc_id", "page"], "left").select("doc_id", "ord", "page", "body", "spots")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = _Document(pdf["doc_id"].iloc[0], prefix)
-        for _, p in pdf.sort_values("ord").iterrows():
-            doc.page, doc.block = int(p["page"]), 0
-            spots = [] if p["spots"] is None else [(s["image_id"], s["table_index"]) for s in p["spots"]]
-            at = 0
-            for n, m in enumerate(re.finditer(TABLE_IMAGE, p["body"])):
-                before = p["body"][at : m.start()]
-                doc.text(before)
-                for index in (i for image, i in spots if image == n):
-                    doc.add(f"{prefix}_p{doc.page:03d}_t{index:02d}", "table", "", doc.section(), index, doc.title(before, index), m[1])
-                at = m.end()
-            doc.text(p["body"][at:])
-        names = [f.split()[0] for f in RECORD.split(", ")]
-        out = pd.DataFrame(doc.rows, columns=names)
-        return out.astype({"heading_level": "Int64", "table_index": "Int64"})
-
-    return whole.groupBy("doc_id").applyInPandas(one, RECORD)
+    lines = _lines(pages)
+    chunks = _chunks(lines).select(
+        *_STRETCH, F.lit(0).alias("side"), "run", "nr", "heads", "kind", "text", F.lit(None).cast("int").alias("table_index"), F.lit(None).cast("string").alias("table_title"),
+        F.lit(None).cast("string").alias("source_image"),
+    ).withColumn("mark", F.format_string("b%03d", F.row_number().over(Window.partitionBy(*_PAGE).orderBy("stretch", "run", "nr"))))
+    ends = lines.groupBy(*_STRETCH).agg(F.max("heads").alias("heads"))
+    images = table_images(pages).select("doc_id", "page", "image_id", F.col("src").alias("source_image"))
+    spots = placed.select("doc_id", "page", "image_id", "table_index").join(images, ["doc_id", "page", "image_id"])
+    spots = spots.join(_titles(pages, placed), ["doc_id", "page", "image_id"], "left").withColumnRenamed("image_id", "stretch")
+    tables = spots.join(ends, ["doc_id", "page", "stretch"]).select(
+        *_STRETCH, F.lit(1).alias("side"), F.lit(0).cast("long").alias("run"), F.col("table_index").alias("nr"), "heads", F.lit("table").alias("kind"), F.lit("").alias("text"),
+        "table_index", "table_title", "source_image", F.format_string("t%02d", "table_index").alias("mark"),
+    )
+    page_name = F.concat(F.lit("PDF第"), F.col("page").cast("string"), F.lit("页"))
+    place = F.concat(page_name, F.lit("表格"), F.col("table_index").cast("string"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "stretch", "side", "run", "nr"))
+    return chunks.unionByName(tables).join(_open_headings(lines), ["doc_id", "heads"], "left").select(
+        "doc_id", seq.alias("seq"), F.concat(F.lit(f"{prefix}_p"), F.format_string("%03d", "page"), F.lit("_"), F.col("mark")).alias("chunk_id"), "page", "kind",
+        F.coalesce("section", page_name).alias("section_path"), F.col("first").alias("parent_h1"), F.col("depth").alias("heading_level"), "text", "table_index",
+        F.when(F.col("kind") == "table", F.coalesce("table_title", "last", place)).alias("table_title"), "source_image",
+    )
 
 
 def invalid_records(records: DataFrame, required: list[str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.nodes import indexable
 from ..functions.text import SPACING_RULES, normalize_spacing, suspicious_spacing
@@ -14,6 +19,31 @@ from ..sources.jsonl import read_lines
 from .retrieval import SearchRequest, search
 
 
+@F.pandas_udf(StringType())
+def _with_text(lines: pd.Series, texts: pd.Series) -> pd.Series:
+    """JSON lines with another text and all other members as they are, their types too; null where there is no other text."""
+    return pd.Series([None if t is None else json.dumps(json.loads(v) | {"text": t}, ensure_ascii=False) for v, t in zip(lines, texts, strict=True)], dtype=object)
+
+
+def write_lines(lines: DataFrame, target: str, order: str = "source_ordinal") -> None:
+    """Write ``value`` in the order of a column: parts in order, built aside and renamed into place when they are complete."""
+    spark = lines.sparkSession
+    staging = f"{target.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    lines.orderBy(order).select("value").write.text(staging)
+    jvm = spark.sparkContext._jvm
+    path, final = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(final) or not fs.rename(path, final):
+        fs.delete(path, True)
+        raise FileExistsError(f"{target} is there already")
+
+
+def digest_of_parts(spark: SparkSession, folder: str) -> str:
+    """SHA-256 over the digests of a folder's part files, in their order; a part is hashed by the task that reads it."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", F.sha2("content", 256).alias("d"))
+    return hashlib.sha256("".join(r["d"] for r in parts.orderBy("path").collect()).encode()).hexdigest()
+
+
 def spacing_job(spark: SparkSession, source: str, target: str) -> dict[str, object]:
     """Normalise the spacing of a JSONL file's texts into another file's folder, and report what was done.
 
@@ -36,18 +66,17 @@ def spacing_job(spark: SparkSession, source: str, target: str) -> dict[str, obje
         "source_ordinal", "line", before.alias("before"), after.alias("after"), F.struct(*(c.alias(n) for n, c in counts.items())).alias("counts"),
         F.size(suspicious_spacing(after)).alias("residual"),
     )
-    # Only the value of the text changes; the rest of the line stays as it was written.
-    record = F.from_json("line", "map<string,string>")
-    new_line = F.when(F.col("before") == F.col("after"), F.col("line")).otherwise(F.to_json(F.map_concat(F.map_filter(record, lambda k, _: k != "text"), F.create_map(F.lit("text"), F.col("after")))))
-    done.orderBy("source_ordinal").select(new_line.alias("value")).coalesce(1).write.text(target)
+    # Only the value of the text changes; lines without a change stay as they were written.
+    renewed = _with_text("line", F.when(F.col("before") != F.col("after"), F.col("after")))
+    write_lines(done.select("source_ordinal", F.coalesce(renewed, F.col("line")).alias("value")), target)
     changed = F.col("before") != F.col("after")
     row = done.agg(
         F.count(F.lit(1)).alias("record_count"), F.count_if(changed).alias("affected_count"), F.count_if(~changed).alias("unchanged_count"), F.sum("residual").alias("residual_count"),
         *(F.sum(f"counts.{n}").alias(n) for n, _, _ in SPACING_RULES),
     ).first().asDict()
     rules = {n: row.pop(n) or 0 for n, _, _ in SPACING_RULES}
-    hashes = spark.read.format("binaryFile").load([source]).select(F.sha2("content", 256)).first()[0]
-    return row | {"replacement_count": sum(rules.values()), "rule_counts": rules, "input_sha256": hashes}
+    read = spark.read.format("binaryFile").load([source]).select(F.sha2("content", 256)).first()[0]
+    return row | {"replacement_count": sum(rules.values()), "rule_counts": rules, "input_sha256": read, "output_sha256": digest_of_parts(spark, target)}
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ASCII_TOKEN, CJK_RUN
+from ..functions.text import ASCII_TOKEN, CJK_RUN, fold
 
 # They decide which terms are found and rejected, and must stay as they are.
 STOP_WORDS = {"and", "or", "with", "without", "of", "the", "a", "an", "in", "for", "to", "on"}
@@ -204,16 +204,16 @@ def judge(found: DataFrame, reviewed: DataFrame) -> DataFrame:
 
     ``reviewed`` has (english, chinese); an English term with several Chinese ones among what is left is ambiguous.
     """
-    allow = reviewed.select(F.lower("english").alias("_e"), F.col("chinese").alias("_c")).distinct()
-    key = (F.lower("english") == F.col("_e")) & (F.col("chinese") == F.col("_c"))
+    allow = reviewed.select(fold(F.col("english")).alias("_e"), F.col("chinese").alias("_c")).distinct()
+    key = (fold(F.col("english")) == F.col("_e")) & (F.col("chinese") == F.col("_c"))
     shaped = found.withColumn("shape", F.coalesce(english_reason(F.col("english")), chinese_reason(F.col("chinese"))))
     known = shaped.join(allow, key, "left").withColumn(
         "reason", F.when(F.col("shape").isNotNull(), F.col("shape")).when(F.col("_e").isNull(), "unreviewed_candidate")
     )
-    accepted = known.where("reason is null").select(F.lower("english").alias("_k"), "chinese")
+    accepted = known.where("reason is null").select(fold(F.col("english")).alias("_k"), "chinese")
     many = accepted.groupBy("_k").agg(F.count_distinct("chinese").alias("n")).where("n > 1").select("_k")
     return (
-        known.join(many, F.lower("english") == F.col("_k"), "left")
+        known.join(many, fold(F.col("english")) == F.col("_k"), "left")
         .withColumn("reason", F.coalesce("reason", F.when(F.col("_k").isNotNull(), "ambiguous_alias")))
         .select("chunk_id", "english", "chinese", "reason")
     )
@@ -224,15 +224,15 @@ def mine_glossary(chunks: DataFrame, seeds: DataFrame, reviewed: DataFrame) -> t
 
     ``seeds`` and ``reviewed`` have (english, chinese). A seed that fails its check is an error.
     """
-    trusted = reviewed.select(F.lower("english").alias("_e"), F.col("chinese").alias("_c")).distinct()
-    checked = seeds.join(trusted, (F.lower("english") == F.col("_e")) & (F.col("chinese") == F.col("_c")), "left")
+    trusted = reviewed.select(fold(F.col("english")).alias("_e"), F.col("chinese").alias("_c")).distinct()
+    checked = seeds.join(trusted, (fold(F.col("english")) == F.col("_e")) & (F.col("chinese") == F.col("_c")), "left")
     wrong = checked.select("english", "chinese", seed_reason(F.col("english"), F.col("chinese"), F.col("_e").isNotNull()).alias("reason")).where("reason is not null")
     if bad := wrong.limit(1).collect():
         raise ValueError(f"invalid seed mapping ({bad[0]['reason']}): {bad[0]['chinese']!r} -> {bad[0]['english']!r}")
     judged = judge(candidates(chunks), reviewed.select("english", "chinese").unionByName(seeds.select("english", "chinese")))
     pairs = judged.where("reason is null").select("english", "chinese").unionByName(seeds.select("english", "chinese")).distinct()
     rejected = judged.where("reason is not null").select("chunk_id", F.col("english").alias("source"), F.col("chinese").alias("target"), "reason").distinct()
-    return group_aliases(pairs), rejected.orderBy("chunk_id", F.lower("source"), F.lower("target"), "reason")
+    return group_aliases(pairs), rejected.orderBy("chunk_id", fold(F.col("source")), fold(F.col("target")), "reason")
 
 
 def group_aliases(pairs: DataFrame) -> DataFrame:
@@ -240,33 +240,33 @@ def group_aliases(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("english").alias("term"), F.col("chinese").alias("alias")).unionByName(
         pairs.select(F.col("chinese").alias("term"), F.col("english").alias("alias"))
     )
-    kept = both.where((F.lower("term") != F.lower("alias")) & (F.col("term") != "") & (F.col("alias") != ""))
+    kept = both.where((fold(F.col("term")) != fold(F.col("alias"))) & (F.col("term") != "") & (F.col("alias") != ""))
     return kept.groupBy("term").agg(
-        F.transform(F.array_sort(F.collect_set(F.struct(F.lower("alias").alias("k"), F.col("alias").alias("a")))), lambda v: v["a"]).alias("aliases")
+        F.transform(F.array_sort(F.collect_set(F.struct(fold(F.col("alias")).alias("k"), F.col("alias").alias("a")))), lambda v: v["a"]).alias("aliases")
     )
 
 
 def pair_counts(glossary: DataFrame) -> DataFrame:
     """One row: directed pairs, and unordered distinct pairs."""
     flat = glossary.select("term", F.explode("aliases").alias("alias"))
-    a, b = (F.struct(F.lower(c).alias("k"), F.col(c).alias("v")) for c in ("term", "alias"))
+    a, b = (F.struct(fold(F.col(c)).alias("k"), F.col(c).alias("v")) for c in ("term", "alias"))
     return flat.agg(F.count(F.lit(1)).alias("directed"), F.count_distinct(F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))).alias("unique"))
 
 
 def audit(glossary: DataFrame, trusted: DataFrame) -> DataFrame:
     """(error, term, alias) of all faults of a glossary: empty, same on both sides, same language, a rejected side, one-way."""
     flat = glossary.select("term", F.explode_outer("aliases").alias("alias"))
-    known = trusted.select(F.lower("english").alias("_e"), F.col("chinese").alias("_c")).distinct()
+    known = trusted.select(fold(F.col("english")).alias("_e"), F.col("chinese").alias("_c")).distinct()
     zh_first = F.col("term").rlike(CJK_RUN)
     english = F.when(zh_first, F.col("alias")).otherwise(F.col("term"))
     chinese = F.when(zh_first, F.col("term")).otherwise(F.col("alias"))
     sided = flat.withColumn("english", english).withColumn("chinese", chinese).join(
-        known, (F.lower("english") == F.col("_e")) & (F.col("chinese") == F.col("_c")), "left"
+        known, (fold(F.col("english")) == F.col("_e")) & (F.col("chinese") == F.col("_c")), "left"
     )
     own = (
         F.when(F.trim("term") == "", "invalid empty term key")
         .when(F.col("alias").isNull(), "invalid empty term values")
-        .when(F.lower("term") == F.lower("alias"), "invalid mapping")
+        .when(fold(F.col("term")) == fold(F.col("alias")), "invalid mapping")
         .when(zh_first == F.col("alias").rlike(CJK_RUN), "language-shape")
         .when(english_reason(F.col("english"), 0).isNotNull() | (F.col("_e").isNull() & chinese_reason(F.col("chinese")).isNotNull()), "forbidden mapping")
     )
@@ -277,9 +277,9 @@ def audit(glossary: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def _one_way(flat: DataFrame) -> DataFrame:
     """Pairs whose alias does not lead back to the term, but for case."""
-    back = flat.select(F.col("term").alias("_from"), F.lower("alias").alias("_to"))
+    back = flat.select(F.col("term").alias("_from"), fold(F.col("alias")).alias("_to"))
     some = flat.where("alias is not null")
-    return some.join(back, (F.col("alias") == F.col("_from")) & (F.lower("term") == F.col("_to")), "left_anti")
+    return some.join(back, (F.col("alias") == F.col("_from")) & (fold(F.col("term")) == F.col("_to")), "left_anti")
 
 
 def fingerprint(chunks: DataFrame, version_ids: Sequence[str], seeds: Mapping[str, Sequence[str]]) -> str:

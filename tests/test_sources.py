@@ -61,6 +61,18 @@ def test_markdown_pages_and_payloads(spark, tmp_path):
         markdown.read_json_objects(spark, write(tmp_path / "p.json", ["[1]"]))
 
 
+def test_spacing_job_keeps_values_and_their_types(spark, tmp_path):
+    odd = {"page_start": 0, "conf": 98.0, "big": 12345678901234567890123, "none": None, "list": [1, "x", {"q": True}], "z": 'ü"\\'}
+    record = odd | {"text": "t u m o r \\ ü", "after": "t u m o r"}
+    spacing_job(spark, write(tmp_path / "in.jsonl", [record]), str(tmp_path / "out"))
+    got = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert got == record | {"text": "tumor \\ ü"} and list(got) == list(record)
+    assert [type(got[k]) for k in odd] == [type(v) for v in odd.values()]
+    with pytest.raises(FileExistsError):
+        spacing_job(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"))
+    assert not list(tmp_path.glob("*.tmp"))
+
+
 def test_spacing_job_and_inventory(spark, tmp_path):
     path = write(tmp_path / "in.jsonl", [RECORD | {"text": "a t u m o r"}, RECORD | {"chunk_id": "c2", "text": "plain"}])
     report = spacing_job(spark, path, str(tmp_path / "out"))

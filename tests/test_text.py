@@ -90,3 +90,22 @@ def test_locators(spark):
     df = spark.createDataFrame(rows, "k string, a long, b long, h string, s string")
     got = [r[0] for r in df.select(N.locator(*(F.col(c) for c in df.columns))).collect()]
     assert got == ["PDF 页序号 1–2", "PDF 页序号 4", "PDF 页序号 4", "H", "未提供定位信息"]
+
+
+def test_case_folding_of_all_signs(spark):
+    signs = [chr(c) for c in range(0x20, 0x1_F000) if not 0xD800 <= c < 0xE000]
+    assert column(spark, signs, T.fold) == [c.casefold() for c in signs]
+
+
+def test_terms_are_found_whatever_their_case(spark):
+    text = ["die Straße ist lang", "DIE STRASSE", "Strassen", "ΟΔΟΣ", None]
+    assert column(spark, text, lambda c: T.contains_variant(c, "straße")) == [True, True, False, False, None]
+    assert column(spark, text, lambda c: T.contains_variant(c, "οδος"))[3]
+
+
+def test_html_text_of_odd_markup(spark):
+    cases = {
+        "a<script>x<p>&amp;</script>b": "ax<p>&amp;b", "a<!-- <b> -->b": "ab", "1 < 2 <b title='>'>c</b>": "1 < 2 c", "x<br/>y</br>z": "x\nyz", "a<b c=\"": "a", "&lt;b&gt;": "<b>",
+    }
+    assert column(spark, list(cases), T.html_to_text) == list(cases.values())
+    assert T.html_to_text_value('<a href="' * 200_000) == ""
