@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,12 @@ SURGE = 40
 #: Neighbouring spans are one when the text between them is at most this share of that on either side.
 GAP = 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. A quoted value follows an equals sign; what is not closed runs to the end, so that no part is looked at twice.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>=]++|=)*+)(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style|type|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
 _RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -104,6 +110,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
     regions: dict[int, int] = {}  # elements left out unless they hold the article, with their verdict
     region = [0]  # the innermost region that each element is in or is
     dropped, roots, at = 0, 0, 0
+    opened: Counter[str] = Counter()  # how many elements of a name are on the stack
 
     def add(piece: str) -> None:
         text.append((piece, region[stack[-1][2]] if stack else 0))
@@ -116,6 +123,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
     def pop() -> None:
         nonlocal dropped, roots
         name, was, _ = stack.pop()
+        opened[name] -= 1
         roots -= name in _ROOTS and not dropped
         dropped -= was
 
@@ -137,7 +145,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
         if name in _BLOCK:
             flush()
         if m[1]:
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -164,6 +172,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[str], list[int]]:
             regions[len(names)] = verdict
         names.append("" if drop or dropped else name)  # an article in what is gone is none
         stack.append((name, drop, len(names) - 1))
+        opened[name] += 1
         dropped += drop
         roots += name in _ROOTS and not dropped
     flush()

@@ -103,3 +103,41 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in out.collect()) == [(0, "x", 1), (1, TEXT, len(TEXT)), (2, "", 0), (2, "", 0)]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_nested_and_several_articles():
+    p = "<p>" + "word " * 60 + "</p>"
+    nested = f"<body><nav>Home</nav><article>{p}<article>{p}<p>inner</p></article>{p}</article><footer>f</footer></body>"
+    assert len(extract(nested).split("\n")) == 4
+    several = f"<body><nav>Home</nav><main><article>{p}{p}</article><article>{p}<p>Sh.</p></article><article>{p}{p}</article></main><footer>f</footer></body>"
+    assert len(extract(several).split("\n")) == 6
+
+
+def test_surge_and_dive_against_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        lengths = r.choice([1, 3, 8, 15, 39, 40, 90, 300], r.integers(1, 40), p=[0.3, 0.2, 0.15, 0.1, 0.05, 0.05, 0.1, 0.05])
+        n = len(lengths)
+        rich = [sum(lengths[i : i + 3]) >= 40 for i in range(n)]
+        spans, i = [], 0
+        while i < n:
+            if not rich[i]:
+                i += 1
+                continue
+            j = i
+            while j < n and rich[j]:
+                j += 1
+            spans.append((i, min(j + 2, n)))
+            i = j
+        best = max(spans, key=lambda s: sum(lengths[s[0] : s[1]]), default=(0, n))
+        assert main_span(lengths) == best
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ('<a href="' * 40_000, "<b>" * 40_000 + "</i>" * 40_000, "<p>" * 40_000, "<div>" * 40_000 + "x", "<!--" * 40_000, "<" * 200_000, "<a " + "=" * 200_000):
+        extract(page)
+    assert time.perf_counter() - start < 30
+    assert extract("<body><p>A paragraph with <a title=don't>one link</a> and more words, it's long enough.</p></body>").endswith("one link and more words, it's long enough.")
