@@ -5,21 +5,22 @@ The rows of each source, in hash order, are cut into blocks of ``block_rows``. W
 ``ceil(k*period/q)``; each slot goes to the released block with the earliest deadline. All windows are met
 (the shares fill the period exactly), so at every slot each source has had its share of the slots to within
 less than one block. The pattern repeats, so one period is planned from the shares alone, and block
-b's slot is ``(b div q)*period + offset[b mod q]``: no task walks the corpus.
+b's slot is ``(b div q)*period + offset[b mod q]``: no task walks the corpus. A share differs from the target weight by less
+than a slot of a period, which is long: to the weights themselves the mix is within less than two blocks for one period of rows.
 
 A source that runs out leaves its later slots empty and the others close up; no row is dropped. The
 hash order is numbered in buckets of bounded size, each with the count of the buckets before it, so a
 source with a third of all rows is spread over many tasks.
 
-Beyond ``MAX_SOURCES`` the smallest sources share the slots of one group, whose weight is the sum of theirs, and keep
-their own shares of these slots by a second level in the plan: a binary tree over the sources, in which
+A source whose target weight is less than one slot of a period has no share of it. Such small sources keep their own exact shares by Pfair
+windows that are arithmetic in the plan: the slots are split between the planned and the small sources, and these by a binary tree over the sources, in which
 each node's slots go to its two children by the Pfair windows of two tasks. For weights l and r of n = l + r block b
-(from 0) of the left is at ``floor(b*n/l)``, that of the right at ``ceil((b+1)*n/r) - 1``, so a row of the tree is arithmetic too.
+(from 0) of the left is at ``floor(b*n/l)``, that of the right at ``ceil((b+1)*n/r) - 1``.
 The sources are dealt by falling weight, so that siblings are about equal and the levels' deviations (each under
-one block) halve on the way down: a source is within about two blocks of its share of the group's slots.
+one block) halve on the way down: a source is within about two blocks of its share. There may be any number of them; nothing of them is collected.
 
-Defined results: a null source is a source of its own. Rows alike in id and text may trade places. An empty
-table gives an empty result. Other columns pass through; mix_slot and mix_index are replaced if there.
+Defined results: a null source is a source of its own. A source that ``weights`` does not name has the least weight named. Rows alike in id and
+text may trade places. An empty table gives an empty result. Other columns pass through; mix_slot and mix_index are replaced if there.
 """
 
 from __future__ import annotations
@@ -32,29 +33,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_SOURCES = 4096
+#: Slots of the planned period, and so the most sources that are planned in it.
+PERIOD = 1 << 16
 #: Rows of a source are numbered in buckets of about this many.
 BUCKET_ROWS = 4096
-#: Sum of the whole weights of pooled sources; times the count of blocks it fits decimals.
+#: Sum of the whole weights of a split; times the count of blocks it fits decimals.
 WHOLE = 2**46
-NULL_KEY, REST_KEY = "\x00null", "\x00rest"
+#: Least weight of all small sources together, as a share of the mix, so that slots fit a long.
+LEAST_SHARE = 2.0**-30
+NULL_KEY = "\x00null"
 
 _KEY, _HASH, _TIE, _BUCKET = "__mx_key", "__mx_hash", "__mx_tie", "__mx_bucket"
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each weight: one at least, by largest remainder, ``period`` in all."""
-    total = sum(weights.values())
+    """Whole slots of a period for each weight, by largest remainder, ``period`` in all; each weight is worth a slot at least."""
+    total = math.fsum(weights.values())
     exact = {k: w * period / total for k, w in weights.items()}
     out = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (out[k] - exact[k], k))
-    while (left := period - sum(out.values())) > 0:
-        for k in order[:left]:
-            out[k] += 1
-    for k in sorted(out, key=lambda k: (-out[k], k)) * period if left < 0 else ():
-        if left < 0 and out[k] > 1:
-            out[k] -= 1
-            left += 1
+    left = period - sum(out.values())
+    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: max(left, 0)]:
+        out[k] += 1
+    for k in sorted(out, key=lambda k: (-out[k], k))[: max(-left, 0)]:  # rounding of sums of weights just at a slot
+        out[k] -= 1
     return out
 
 
@@ -76,10 +77,9 @@ def edf_pattern(share: dict[str, int], period: int) -> dict[str, list[int]]:
 
 
 def _plan(spark: SparkSession, counts: dict[str, int], weights: dict[str, float], period: int) -> DataFrame:
-    """One row for each source: its slots in a period, and the bits of its buckets. At most MAX_SOURCES rows."""
+    """One row for each planned source: its slots in a period, and the bits of its buckets. At most ``period`` rows and slots in all."""
     rows = []
     if counts:
-        period = max(period, 4 * len(counts))
         share = shares({k: weights[k] for k in counts}, period)
         pattern = edf_pattern(share, period)
         rows = [
@@ -92,8 +92,10 @@ def _plan(spark: SparkSession, counts: dict[str, int], weights: dict[str, float]
     ).select(*(F.col(f"p.{c}").alias(f"__mx_plan_{c}") for c in ("key", "period", "offsets", "bits")))
 
 
-def _tree(rest: DataFrame, n_rest: int, w_rest: float) -> DataFrame:
-    """For each pooled source (key, count, w): the bits of its buckets, and the weights on its way from its leaf to the root.
+def _tree(rest: DataFrame, n_rest: int, w_rest: float, top: tuple[int, int]) -> DataFrame:
+    """For each small source (key, count, w): the bits of its buckets, and the weights on its way from its leaf to the root and to the whole mix.
+
+    ``top`` has the whole weights of the mix and of the small sources in it.
 
     Sources are numbered by falling weight (in classes of a fifth); the node of a source at depth d is its number modulo 2^d.
     """
@@ -121,10 +123,12 @@ def _tree(rest: DataFrame, n_rest: int, w_rest: float) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("d", "own"))).alias("s")
     )
     step = "named_struct('n', cast(s[d - 1].own AS decimal(19,0)), 'own', cast(s[d].own AS decimal(19,0)), 'right', shiftright(nr, d - 1) % 2 = 1)"
-    return way.select("__mx_member", "__mx_plan_bits", F.expr(f"transform(sequence({depth}, 1, -1), d -> {step})").alias("__mx_way"))
+    steps = F.expr(f"transform(sequence({depth}, 1, -1), d -> {step})")
+    last = F.expr(f"array(named_struct('n', cast({top[0]} AS decimal(19,0)), 'own', cast({top[1]} AS decimal(19,0)), 'right', true))")
+    return way.select("__mx_member", "__mx_plan_bits", F.concat(steps, last).alias("__mx_way"))
 
 
-#: The place of a pooled source's block in the slots of the group.
+#: The slot of a small source's block: up the tree, then among the planned ones.
 _UP = """aggregate(__mx_way, __mx_own, (b, x) -> CASE WHEN x.right
   THEN (cast(b + 1 AS decimal(19,0)) * x.n + x.own - 1) div x.own - 1 ELSE (cast(b AS decimal(19,0)) * x.n) div x.own END)"""
 
@@ -149,7 +153,7 @@ def mix_sources(
     weights: dict[str, float] | None = None,
     alpha: float = 0.5,
     block_rows: int = 64,
-    period: int = 1024,
+    period: int = PERIOD,
     id_col: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -163,14 +167,17 @@ def mix_sources(
     others = [c for c in docs.columns if c.lower() not in {"mix_slot", "mix_index"}]
     raw = F.coalesce(F.col(source).cast("string"), F.lit(NULL_KEY))
     sizes = docs.groupBy(raw.alias("key")).count()
-    top = sizes.orderBy(F.desc("count"), "key").limit(MAX_SOURCES + 1).collect()
-    named = top if len(top) <= MAX_SOURCES else top[: MAX_SOURCES - 1]
-    counts = {r["key"]: r["count"] for r in named}
     if weights:
         least = min(w for w in weights.values() if w > 0)
-        target = {k: max(weights.get(k, least), least * 1e-6) for k in counts}
+        given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,double>")).alias("key", "w"))
+        sizes = sizes.join(F.broadcast(given), "key", "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(float(least))), F.lit(least * 1e-6)))
     else:
-        target = {k: n**alpha for k, n in counts.items()}
+        sizes = sizes.withColumn("w", F.pow(F.col("count").cast("double"), F.lit(float(alpha))))
+    n_all, w_all = sizes.agg(F.count(F.lit(1)), F.sum("w")).first()
+    # Weights worth a slot of the period: ``period`` of them at most.
+    planned = sizes.where(F.col("w") * period >= F.lit(w_all or 0.0)).limit(period).collect()
+    counts = {r["key"]: r["count"] for r in planned}
+    plan = _plan(spark, counts, {r["key"]: r["w"] for r in planned}, period)
 
     hashed = docs.select(
         *others,
@@ -178,41 +185,38 @@ def mix_sources(
         F.xxhash64(F.col(id_col).cast("string"), F.lit("order")).alias(_HASH),
         F.xxhash64(F.col(text)).alias(_TIE),
     )
-    pooled = None
-    if len(top) > MAX_SOURCES:
-        rest = sizes.where(~F.col("key").isin(list(counts)))
-        if weights:
-            given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,double>")).alias("key", "w"))
-            rest = rest.join(F.broadcast(given), "key", "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(float(least))), F.lit(least * 1e-6)))
-        else:
-            rest = rest.withColumn("w", F.pow(F.col("count").cast("double"), F.lit(float(alpha))))
-        n_rest, w_rest, rows_rest = rest.agg(F.count(F.lit(1)), F.sum("w"), F.sum("count")).first()
-        pooled = hashed.where(~F.col(_KEY).isin(list(counts))).join(_tree(rest, n_rest, w_rest), F.col(_KEY) == F.col("__mx_member"))
-        hashed = hashed.where(F.col(_KEY).isin(list(counts)))
-        counts, target = counts | {REST_KEY: rows_rest}, target | {REST_KEY: w_rest}
-    plan = _plan(spark, counts, target, period)
-
     at = F.col("__mx_at")
     share = F.size("__mx_plan_offsets")
-    block = F.col("__mx_block")
+    block = F.floor(at / block_rows).cast("long")
     slot = F.floor(block / share).cast("long") * F.col("__mx_plan_period") + F.get(F.col("__mx_plan_offsets"), (block % share).cast("int"))
-    own = F.floor(at / block_rows).cast("long")
-    placed = _numbered(hashed.join(F.broadcast(plan), F.col(_KEY) == F.col("__mx_plan_key"))).withColumn("__mx_block", own)
-    final = [*others, slot.cast("long").alias("mix_slot"), (at % block_rows).cast("int").alias("mix_index")]
-    out = placed.select(*final)
-    if pooled is not None:
-        group = plan.where(F.col("__mx_plan_key") == REST_KEY).drop("__mx_plan_bits")
-        inner = _numbered(pooled).withColumn("__mx_own", own).withColumn("__mx_block", F.expr(_UP))
-        out = out.unionByName(inner.crossJoin(F.broadcast(group)).select(*final))
+    index = (at % block_rows).cast("int").alias("mix_index")
+    placed = _numbered(hashed.join(F.broadcast(plan), F.col(_KEY) == F.col("__mx_plan_key")))
+    if n_all == len(counts):
+        return placed.select(*others, slot.cast("long").alias("mix_slot"), index)
+    rest = sizes.join(F.broadcast(plan.select(F.col("__mx_plan_key").alias("key"))), "key", "left_anti")
+    n_rest, w_rest = rest.agg(F.count(F.lit(1)), F.sum("w")).first()
+    small = min(max(1, round(max(w_rest / w_all, LEAST_SHARE) * WHOLE)), WHOLE - (1 if counts else 0))
+    big = WHOLE - small
+    tree = _tree(rest, n_rest, w_rest, (WHOLE, small))
+    inner = _numbered(hashed.join(tree, F.col(_KEY) == F.col("__mx_member"))).withColumn("__mx_own", block)
+    out = inner.select(*others, F.expr(_UP).cast("long").alias("mix_slot"), index)
+    if counts:
+        among = F.expr(f"cast(cast(__mx_slot AS decimal(19,0)) * cast({WHOLE} AS decimal(19,0)) div cast({big} AS decimal(19,0)) AS long)")
+        out = placed.withColumn("__mx_slot", slot.cast("long")).select(*others, among.alias("mix_slot"), index).unionByName(out)
     return out
 
 
 def in_order(mixed: DataFrame, slots_each: int = 256) -> DataFrame:
     """The rows laid out in mix order: partition p holds the p-th run of ``slots_each`` slots, sorted.
 
-    The partition is known from the slot, so nothing is sampled, and a partition has a bounded number of rows.
+    The partition is known from the slot, so nothing is sampled, and a partition has a bounded number of rows. Where small weights leave most slots
+    empty, the bounds of partitions are sampled instead.
     """
-    last = mixed.agg(F.max("mix_slot")).first()[0] or 0
-    parts = last // slots_each + 1
-    placed = mixed.repartitionById(parts, F.floor(F.col("mix_slot") / slots_each).cast("int"))
+    last, n = mixed.agg(F.max("mix_slot"), F.count(F.lit(1))).first()
+    parts = (last or 0) // slots_each + 1
+    few = n // (16 * slots_each) + 1
+    if parts <= 4 * few:
+        placed = mixed.repartitionById(parts, F.floor(F.col("mix_slot") / slots_each).cast("int"))
+    else:
+        placed = mixed.repartitionByRange(max(1, n // (64 * slots_each)), "mix_slot")
     return placed.sortWithinPartitions("mix_slot", "mix_index").drop("mix_slot", "mix_index")
