@@ -5,8 +5,9 @@ hashed byte trigrams and bytes of the whole text, predicts that bit; all are fit
 each bit's logistic loss by how well that bit was learned for the language, and picks the nearest
 codeword. A prediction whose runner-up is nearly as near is flagged in ``ambiguous``.
 
-The model is fitted on a bounded sample: about ``ROWS_PER_LANGUAGE`` rows of each language, those with the
-least hash of doc_id. Every row is predicted.
+The model is fitted on a bounded sample: at most ``ROWS_PER_LANGUAGE`` rows of each language, those with the
+least hash of doc_id and text, and at most ``MAX_ROWS`` rows in all, taken in turn from the languages (so with more languages than
+that, those without a row in the sample are not learned). Every row is predicted. Rows that share an id are rows of their own.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Rows with a null doc_id are
 predicted and never learned from. Without any row to learn from each text is ``und`` with score 0; with one
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from . import textkit
 from .staging import small_batches
 
-#: Bound of the fitting sample for each language, and of all of it.
+#: Bound of the fitting sample for each language, and of all of it (8.7 KB a row on the driver).
 ROWS_PER_LANGUAGE, MAX_ROWS = 1000, 8_000
 TRIGRAM_BITS = 12
 WIDTH = (1 << TRIGRAM_BITS) + 256
@@ -131,16 +133,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     """A model of a sample of the rows that have a language and are not held out."""
     small_batches(docs.sparkSession)
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}  # one row for each language
-    if not counts:
-        return Ecoc(np.zeros((0, WIDTH), np.float32), np.zeros(0, int), [])
-    names = sorted(counts)
-    each = min(ROWS_PER_LANGUAGE, max(20, MAX_ROWS // len(names)))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = keep | ((F.col(lang) == name) & (place < math.ceil(1e6 * min(1.0, each / n))))
-    rows = usable.where(keep).select(id_col, text, lang).dropDuplicates([id_col])
+    # A first cut by hash leaves about twice as many rows of a language as are wanted, so that few texts move; then their number is exact.
+    counts = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("__n"))
+    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text))
+    place = F.shiftrightunsigned(order, 1) / float(1 << 63)
+    likely = usable.select(id_col, text, lang, order.alias("__order"), place.alias("__place")).join(counts, lang)
+    first = F.row_number().over(Window.partitionBy(lang).orderBy("__order", F.col(id_col).cast("string"), text))
+    best = likely.where(F.col("__place") * F.col("__n") < 2 * ROWS_PER_LANGUAGE + 20).withColumn("__nr", first).where(F.col("__nr") <= ROWS_PER_LANGUAGE)
+    # One row of each language, then a second one, and so on, up to the bound.
+    rows = best.orderBy("__nr", "__order", lang, text).limit(MAX_ROWS).select(id_col, text, lang)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +153,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
                 )
 
     found = rows.mapInArrow(extract, "id string, lang string, x binary").toArrow()
+    if not found.num_rows:
+        return Ecoc(np.zeros((0, WIDTH), np.float32), np.zeros(0, int), [])
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
     langs, ids = found.column("lang").to_pylist(), found.column("id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (langs[i], ids[i]))  # the fit does not depend on the order of rows

@@ -10,7 +10,8 @@ Features come from the bytes and words of the whole text alone. The model is fit
 labelled rows, those with the least hash of doc_id; every row is scored.
 
 Defined results: a null or empty text is scored like any other (all counts 0). Rows with a null doc_id are
-scored and never learned from. Labels that are null are skipped. Without labels of both kinds each
+scored and never learned from. Labels that are null are skipped, and ids with labels of both kinds are not learned from; of several texts with one id
+that with the least hash is. Without labels of both kinds each
 score is the share of label 1 among them, or 0.5 without any. An empty table gives an empty result. Other
 columns pass through; held_out, score and predicted are replaced if there.
 """
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from . import textkit
 from .staging import small_batches
@@ -233,12 +235,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     sample = (
         labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(id_col)
-        .agg(F.max(label).alias("__y"))
+        .agg(F.max(label).alias("__y"), F.min(label).alias("__low"))
+        .where(F.col("__y") == F.col("__low"))
+        .select(id_col, "__y")
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(MAX_ROWS)
     )
     # At most MAX_ROWS pairs of an id and a label are broadcast.
-    rows = docs.select(id_col, text).join(F.broadcast(sample), id_col).select(id_col, text, "__y").dropDuplicates([id_col]).select(text, "__y")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text), text)) == 1
+    rows = docs.select(id_col, text).join(F.broadcast(sample), id_col).withColumn("__first", first).where("__first").select(text, "__y")
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
