@@ -3,13 +3,16 @@
 Rows are put into blocks of bounded size by their nearest pivot (the pivots, spread out by farthest-first choice
 from a bounded sample, are the top of the tree), and each block is indexed by a cover tree: a node's centre is
 one of its points, its children's centres cover its points at a smaller scale, and its covering radius is
-the exact greatest distance to a point below it. Queries are blocked and indexed the same way. A pair of
+the exact greatest distance to a point below it. Queries are blocked by the first of the same pivots and indexed the same way. A pair of
 a query node and a data node can hold no inner product above ``<a,b> + |a| s + |b| r + r s`` (centres a and b, radii
-r and s), and is left when that is below the worst kth score among the queries of the node. Seeds from the bounded sample
-give each query a first kth score; block pairs are pruned by their roots before any block is moved, and in a
-block pair the traversal takes the most promising node pair first.
+r and s), and is left when that is below the worst kth score among the queries of the node; at a leaf each query is held against
+``<q,b> + |q| s`` by itself. Seeds from the bounded sample
+give each query a first kth score; block pairs are pruned by their roots (packed, so that roots meet in blocks too) before any block is moved, and in a
+block pair the traversal takes the most promising node pair first. How much this prunes is up to the data: nearly all where vectors cluster, nearly
+nothing among random directions of many dimensions, where a leaf is scored as one product of matrices.
 
 All arithmetic is on integers, held exactly in doubles; a block pair with products beyond that is scanned with Python integers. Ties go to the smaller vec_id.
+A long holds the scores: those beyond its range are given as its ends, and components whose floor(256 x) is beyond 2^62 count as that.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as rows with a null
 id do. A query meets only vectors of its own dimension; a vector of dimension 0 scores 0. Rows with the same vec_id count
@@ -29,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .staging import stage
-from .vectors import matrix, prepared, salted, sample, with_part
+from .vectors import distinct, matrix, prepared, salted, sample, with_part
 
-#: Rows of a data block and of a query block, sampled rows (pivots and seeds), pivots, points of a leaf.
-BLOCK, QUERY_BLOCK, SAMPLE, PIVOTS, LEAF = 2048, 1024, 4096, 64, 32
-#: Query blocks up to which their roots are sent to all tasks to prune block pairs (about 1 KB each).
-ROOTS = 4096
+#: Rows of a data block and of a query block, sampled rows (pivots and seeds), most pivots, points of a leaf.
+BLOCK, QUERY_BLOCK, SAMPLE, PIVOTS, LEAF = 2048, 1024, 4096, 256, 128
+#: Roots of blocks in one row when roots are compared (about 1 KB each).
+ROOTS = 1024
 _SCALE, _FANOUT = 1.4, 24
 _EXACT = 2.0**52
 
@@ -84,8 +87,8 @@ class CoverTree:
         self.norm = np.sqrt((self.centre**2).sum(1))
 
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in x, if they reach its ``q_least``."""
+def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, stats: dict | None = None) -> list[tuple[int, int, int]]:
+    """(query, vector, score) of each query's k best in x, if they reach its ``q_least``; ``stats`` counts the pairs scored."""
     k *= int(np.unique(x_ids, return_counts=True)[1].max()) if len(x_ids) else 1  # rows of one id take one place later
     if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) >= _EXACT:
         return _scan(q, q_ids, x, x_ids, k)
@@ -95,6 +98,7 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.nda
     best = np.full((len(q), k), -np.inf)
     who = np.full((len(q), k), np.iinfo(np.int64).max)
     worst = q_least[a.order].astype(np.float64)
+    q_norm = np.sqrt((q**2).sum(1))
     slack = 1e-9 * (1 + float(a.norm.max()) + float(a.radius[0])) * (1 + float(b.norm.max()) + float(b.radius[0]))
 
     def bound(i: int | np.ndarray, j: int | np.ndarray) -> np.ndarray:
@@ -118,14 +122,17 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, q_least: np.ndarray, x: np.nda
                     heapq.heappush(heap, (-float(v), i, c))
             continue
         s, e = b.run[j]
+        asked = lo + np.flatnonzero(q[lo:hi] @ b.centre[j] + q_norm[lo:hi] * b.radius[j] + slack >= worst[lo:hi])
+        if stats is not None:
+            stats["scored"] = stats.get("scored", 0) + len(asked) * (e - s)
         for s in range(s, e, 4096):  # a leaf of equal points can be long
             t = min(e, s + 4096)
-            score = q[lo:hi] @ x[s:t].T
-            score[q_ids[lo:hi, None] == x_ids[None, s:t]] = -np.inf
-            hit = np.flatnonzero(score.max(1, initial=-np.inf) >= worst[lo:hi])
+            score = q[asked] @ x[s:t].T
+            score[q_ids[asked, None] == x_ids[None, s:t]] = -np.inf
+            hit = np.flatnonzero(score.max(1, initial=-np.inf) >= worst[asked])
             if not len(hit):
                 continue
-            rows = lo + hit
+            rows = asked[hit]
             value = np.concatenate([best[rows], score[hit]], 1)
             name = np.concatenate([who[rows], np.broadcast_to(x_ids[s:t], (len(hit), t - s))], 1)
             top = np.lexsort((name, -value), axis=-1)[:, :k]
@@ -166,22 +173,30 @@ def _pivots(seeds: pd.DataFrame, n: int) -> dict[int, np.ndarray]:
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products of floor(256 x) among all other rows."""
-    rows = stage(prepared(table, quantise, "<i8", id_col, vector), "quantised")
+    rows = stage(distinct(prepared(table, quantise, "<i8", id_col, vector)), "quantised")
     queries = rows.where(is_query)
     seeds = sample(rows, SAMPLE)
     count = rows.count()
     pivots = _pivots(seeds, max(1, min(PIVOTS, count // BLOCK)))
     seed_sets = {int(d): (matrix(list(g["vec"]), int(d), "<i8").astype(np.float64), g["vec_id"].to_numpy()) for d, g in seeds.groupby("dim")}
 
-    def nearest(dim: int, x: np.ndarray) -> np.ndarray:
+    few = max(1, queries.count() // QUERY_BLOCK)  # as many parts as full blocks: each block of queries meets what it can't rule out
+
+    def nearest(dim: int, x: np.ndarray, most: int = PIVOTS) -> np.ndarray:
         p = pivots.get(dim)
-        if p is None or len(p) == 1:
+        if p is None or min(len(p), most) == 1:
             return np.zeros(len(x), int)
+        p = p[:most]
         return ((p**2).sum(1)[None] - 2 * x @ p.T).argmin(1)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["vec_id", "vec"])
-        return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "salt": [key[2]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vecs": [b"".join(pdf["vec"])]})
+        x = matrix(list(pdf["vec"]), key[0], "<i8").astype(np.float64)
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max())
+        ids = pdf["vec_id"].to_numpy("<i8").tobytes()
+        return pd.DataFrame(
+            {"dim": [key[0]], "part": [key[1]], "salt": [key[2]], "ids": [ids], "vecs": [b"".join(pdf["vec"])], "centre": [centre.astype("<f8").tobytes()], "radius": [radius]}
+        )
 
     def pack_queries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = pack(key, pdf)
@@ -196,28 +211,20 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
             if score.shape[1] >= k:
                 least = np.partition(score, -k, axis=1)[:, -k]
                 least -= 1e-9 * np.abs(least)
-        centre = q.mean(0)
         out["least"] = [least.astype("<f8").tobytes()]
-        out["centre"] = [centre.astype("<f8").tobytes()]
-        out["radius"] = float(np.sqrt(((q - centre) ** 2).sum(1)).max())
         out["floor"] = float(least.min())
         return out
 
     packed = "dim int, part int, salt int, ids binary, vecs binary"
-    blocks = stage(salted(with_part(rows, nearest, "<i8"), BLOCK).groupBy("dim", "part", "salt").applyInPandas(pack, packed), "data-blocks")
+    rooted = packed + ", centre binary, radius double"
+    blocks = stage(salted(with_part(rows, nearest, "<i8"), BLOCK).groupBy("dim", "part", "salt").applyInPandas(pack, rooted), "data-blocks")
     q_blocks = stage(
-        salted(with_part(queries, lambda dim, x: np.zeros(len(x), int), "<i8"), QUERY_BLOCK)
-        .groupBy("dim", "part", "salt")
-        .applyInPandas(pack_queries, packed + ", least binary, centre binary, radius double, floor double"),
+        salted(with_part(queries, lambda dim, x: nearest(dim, x, few), "<i8"), QUERY_BLOCK).groupBy("dim", "part", "salt").applyInPandas(pack_queries, rooted + ", least binary, floor double"),
         "query-blocks",
-    ).select("dim", F.col("salt").alias("q"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "least", "centre", "radius", "floor")
+    ).select("dim", F.col("part").alias("q_part"), F.col("salt").alias("q_salt"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "least", "centre", "radius", "floor")
 
-    roots = q_blocks.select("dim", "q", "centre", "radius", "floor").limit(ROOTS + 1).toPandas()
-    if len(roots) <= ROOTS:
-        pairs = _root_pairs(blocks, roots)
-    else:  # too many query blocks to tell every task of them: the traversal alone prunes
-        pairs = blocks.select("dim", "part", "salt").join(q_blocks.select("dim", "q"), "dim")
-    joined = pairs.join(q_blocks.drop("centre", "radius", "floor"), ["dim", "q"]).join(blocks, ["dim", "part", "salt"])
+    pairs = _root_pairs(blocks.select("dim", "part", "salt", "centre", "radius"), q_blocks.select("dim", "q_part", "q_salt", "centre", "radius", "floor"))
+    joined = pairs.join(q_blocks.drop("centre", "radius", "floor"), ["dim", "q_part", "q_salt"]).join(blocks.drop("centre", "radius"), ["dim", "part", "salt"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,25 +246,27 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _root_pairs(blocks: DataFrame, roots: pd.DataFrame) -> DataFrame:
-    """Pairs of a data block and a query block that the covering balls of both do not rule out."""
-    known = {int(d): g for d, g in roots.groupby("dim")}
+def _root_pairs(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of a data block and a query block that the covering balls of both do not rule out.
+
+    Roots of either side are packed, ``ROOTS`` in a row, and each pack of queries meets each pack of data.
+    """
+
+    def packs(roots: DataFrame, name: str) -> DataFrame:
+        n = roots.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / ROOTS).alias("__n"))
+        salt = F.pmod(F.hash(*[c for c in roots.columns if c.endswith(("part", "salt"))]), F.col("__n"))
+        dealt = roots.join(n, "dim").withColumn("__pack", salt)
+        return dealt.groupBy("dim", "__pack").agg(F.collect_list(F.struct(*[c for c in roots.columns if c != "dim"])).alias(name)).drop("__pack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for dim, part, salt, vecs in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "salt", "vecs")), strict=True):
-                g = known.get(dim)
-                if g is None:
-                    continue
-                x = np.frombuffer(vecs, "<i8").reshape(-1, max(dim, 1)).astype(np.float64) if dim else np.zeros((1, 0))
-                centre = x.mean(0)
-                radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max()) if len(x) else 0.0
-                c = np.array([np.frombuffer(b, "<f8") for b in g["centre"]]).reshape(len(g), dim)
-                r = g["radius"].to_numpy()
-                up = c @ centre + np.sqrt((c**2).sum(1)) * radius + np.sqrt((centre**2).sum()) * r + r * radius
-                keep = up * (1 + 1e-9) + 1e-3 >= g["floor"].to_numpy()
-                out += [(dim, part, salt, int(q)) for q in g["q"].to_numpy()[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int32()) for c in range(4)], ["dim", "part", "salt", "q"])
-
-    return blocks.mapInArrow(run, "dim int, part int, salt int, q int")
+            for dim, data, asked in zip(*(batch.column(c).to_pylist() for c in ("dim", "data", "asked")), strict=True):
+                b, a = (np.array([np.frombuffer(r["centre"], "<f8") for r in side]).reshape(len(side), dim) for side in (data, asked))
+                s, r = (np.array([x["radius"] for x in side]) for side in (data, asked))
+                floor = np.array([x["floor"] for x in asked])
+                up = a @ b.T + np.sqrt((a**2).sum(1))[:, None] * s[None] + np.sqrt((b**2).sum(1))[None] * r[:, None] + r[:, None] * s[None]
+                i, j = np.nonzero(up * (1 + np.sign(up) * 1e-9) + 1e-3 >= floor[:, None])
+                out = [(dim, data[y]["part"], data[y]["salt"], asked[x]["q_part"], asked[x]["q_salt"]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int32()) for c in range(5)], ["dim", "part", "salt", "q_part", "q_salt"])
+
+    return packs(blocks, "data").join(packs(queries, "asked"), "dim").mapInArrow(run, "dim int, part int, salt int, q_part int, q_salt int")

@@ -3,7 +3,7 @@
 On a bounded sample a graph of nearest neighbours is built and cut into parts of equal size (recursive bisection along
 the graph's slow mode, then refinement that moves a vector to the part of most of its neighbours while sizes allow). A small
 network learns to tell a vector's part and its neighbours' parts from the vector. Every row is indexed in its
-most probable part. A query is sent to its several most probable parts, and all of their rows are ranked by their
+most probable part, and parts grow in number with the rows, up to a bound. A query is sent to its several most probable parts, and all of their rows are ranked by their
 exact cosine. How many parts a query visits is fitted on the sample: the fewest that reach ``RECALL`` there, for
 queries that the fit did not see.
 
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .cover_tree import ranked
 from .staging import stage
-from .vectors import matrix, prepared, salted, sample, with_part
+from .vectors import distinct, matrix, prepared, salted, sample, with_part
 
-#: Rows that the index is fitted on; most parts; neighbours of a vector in the graph; hidden units; training rounds.
-SAMPLE, PARTS, NEIGHBOURS, HIDDEN, EPOCHS = 6000, 32, 10, 96, 25
+#: Rows that the index is fitted on, at least and at most; parts, likewise; rows of a part that parts are made for, while they may grow.
+SAMPLE, MOST_SAMPLE, PARTS, MOST_PARTS, PART_ROWS = 6000, 24_000, 32, 384, 4096
+#: Neighbours of a vector in the graph; hidden units; training rounds.
+NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 25
 RECALL = 0.97
 BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -140,12 +142,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class Index:
     """The fitted partition of one dimension: a router, and the number of parts that a query visits."""
 
-    def __init__(self, x: np.ndarray, k: int) -> None:
+    def __init__(self, x: np.ndarray, k: int, most: int = PARTS) -> None:
         self.router: Router | None = None
         self.visits = self.parts = 1
         u = np.unique(_unit(x), axis=0)  # copies would make parts of their own
         u = u[np.random.default_rng(1).permutation(len(u))]
-        parts = min(PARTS, len(u) // 64)
+        parts = min(most, len(u) // 60)
         if parts < 2:
             return
         held = min(600, len(u) // 5)
@@ -198,9 +200,10 @@ def rank_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarra
 
 def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by cosine, among all other rows."""
-    rows = stage(prepared(table, scaled, "<f8", id_col, vector), "vectors")
-    fitted = sample(rows, SAMPLE)
-    indexes = {int(d): Index(matrix(list(g["vec"]), int(d), "<f8"), k) for d, g in fitted.groupby("dim")}
+    rows = stage(distinct(prepared(table, scaled, "<f8", id_col, vector)), "vectors")
+    parts = min(MOST_PARTS, max(PARTS, rows.count() // PART_ROWS))
+    fitted = sample(rows, min(MOST_SAMPLE, max(SAMPLE, 62 * parts)))
+    indexes = {int(d): Index(matrix(list(g["vec"]), int(d), "<f8"), k, parts) for d, g in fitted.groupby("dim")}
 
     def home(dim: int, x: np.ndarray) -> np.ndarray:
         return indexes[dim].home(x) if dim in indexes else np.zeros(len(x), int)

@@ -44,6 +44,11 @@ def prepared(df: DataFrame, change: Callable[[np.ndarray], tuple[np.ndarray, np.
     return df.select(id_col, vector).mapInArrow(run, "vec_id long, dim int, vec binary")
 
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """``rows`` without copies of a row, which a mass-repeated row loses before the shuffle, so that blocks stay of bounded size."""
+    return rows.dropDuplicates(["vec_id", "dim", "vec"])
+
+
 def sample(rows: DataFrame, most: int) -> pd.DataFrame:
     """At most ``most`` rows, those with the least hash of the id."""
     return rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(most).toPandas()
@@ -72,7 +77,7 @@ def matrix(vecs: list[bytes], dim: int, dtype: str) -> np.ndarray:
 
 
 def salted(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` with a salt that cuts each (dim, part) into blocks of about ``most`` rows at most."""
+    """``rows`` with a salt that cuts each (dim, part) into blocks of about ``most`` rows at most, rows of one id among them."""
     sizes = rows.groupBy("dim", "part").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("n_salts"))
     # One row for each part; parts are bounded by a parameter, dimensions are few.
-    return rows.join(sizes, ["dim", "part"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("n_salts")).cast("int")).drop("n_salts")
+    return rows.join(sizes, ["dim", "part"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), F.col("n_salts")).cast("int")).drop("n_salts")

@@ -47,8 +47,10 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == brute_top(rows, 5)
 
 
-def test_many_query_blocks_are_not_sent_around(spark, monkeypatch):
-    monkeypatch.setattr(cover_tree, "ROOTS", 0)
+def test_many_blocks_with_few_roots_in_a_row(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "ROOTS", 1)
+    monkeypatch.setattr(cover_tree, "BLOCK", 10)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 5)
     rows = vectors(60)
     assert {tuple(r) for r in cover_tree.top_k(spark.createDataFrame(rows, SCHEMA), is_query()).collect()} == brute_top(rows, 5)
 
@@ -111,3 +113,58 @@ def test_neighbours_of_no_rows_and_scaled_vectors(spark):
     rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [3e150, 0.0]), (3, [-1.0, 0.0])]
     got = learned_partitions.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query()).collect()
     assert [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 1.0), (1, round(0.5**0.5, 9)), (3, -1.0)]
+
+
+def test_clustered_vectors_are_pruned():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 16)) * 200
+    x = np.round(centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16)))
+    q, stats = x[::40], {}
+    got = {(a, b, s) for a, b, s in dual_search(q, np.arange(0, 4000, 40), np.full(100, -np.inf), x, np.arange(4000), 5, stats)}
+    want = set()
+    for a in range(0, 4000, 40):
+        s = x @ x[a]
+        s[a] = -np.inf
+        want |= {(a, int(b), int(s[b])) for b in np.lexsort((np.arange(4000), -s))[:5]}
+    assert got == want and stats["scored"] < 0.25 * 100 * 4000
+
+
+def test_mass_repeated_id_and_row(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 32)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 16)
+    many = vectors(200, seed=4)
+    rows = vectors(100) + [(11, v, 1) for _, v, _ in many] + [many[3]] * 300
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in cover_tree.top_k(df, is_query()).collect()} == brute_top(rows, 5)
+    found = learned_partitions.search(df, is_query()).collect()
+    assert {r.query_id for r in found} == {i for i in range(0, 100, 5)} and all(r.query_id != r.vec_id for r in found)
+    assert len({(r.query_id, r.vec_id) for r in found}) == len(found)
+
+
+def recall(rows, found, k=5):
+    x = np.array([v for _, v, _ in rows])
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = {}
+    for r in found:
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in near:
+        s = u @ u[q]
+        s[q] = -np.inf
+        hits += len(near[q] & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    return hits / (k * len(near))
+
+
+@pytest.mark.parametrize("n", [3000, 24_000])
+def test_recall_at_two_sizes_with_growing_parts(spark, monkeypatch, n):
+    monkeypatch.setattr(learned_partitions, "PART_ROWS", 250)
+    rows = vectors(n, dim=16, seed=7)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    found = learned_partitions.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert len({r.query_id for r in found}) == n // 50 and recall(rows, found) >= 0.9
+
+
+def test_recall_on_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, 0) for r in df.orderBy("vec_id").collect()]
+    assert recall(rows, learned_partitions.search(df, F.col("vec_id") % 50 == 0).collect()) >= 0.9
