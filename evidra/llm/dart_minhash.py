@@ -9,13 +9,13 @@ hash for each element and a few operations for each dart, whatever K is. Documen
 coordinates are thrown again with twice the rank.
 
 ``BANDS`` bands of ``ROWS`` coordinates make buckets. In a bucket each document is paired with the least id (never with
-all), pairs are checked exactly on their sets of shingles, and links make components. Where a bucket still has several
-components, another of its documents is paired with those of other components, for ``ROUNDS`` rounds; what is open then
-is compared by signature, in blocks of bounded size, each document outside the first hub's component with
+all), pairs are checked exactly on their sets of shingles, and links make components. A bucket that still has several
+components is compared by signature, in blocks of bounded size, each document outside the hub's component with
 all of the bucket, so that no link is lost that a bucket could give. Texts alike but for case and punctuation
 are one class from the start, and only one of them goes on.
 
-The similarity is Jaccard on distinct shingles, ``threshold`` and more being a link. A pair at 0.8 shares a bucket with a
+The similarity is Jaccard on distinct shingles, ``threshold`` and more being a link: the weight of each shingle is 1. With ``weighted`` the weight is
+how often the document has the shingle, in the signatures as in the exact check (sum of the lesser by sum of the greater weights). A pair at 0.8 shares a bucket with a
 probability of 1 - 7e-6, and passes to the exact check with one of 1 - 6e-9.
 
 Defined results: classes are named by their least doc_id. A text with fewer than five words is one run of
@@ -47,9 +47,6 @@ DARTS = K * np.log(K) + 2 * K
 BLOCK = 512
 #: Signature agreement from which a pair is checked exactly: 6 standard deviations below 0.8, where the loss is small beside the bands'.
 MAYBE = 0.6
-#: Rounds in which each open bucket gets another hub, before what is left is compared in blocks. A round makes less work where
-#: groups are large, but costs a dozen jobs.
-ROUNDS = 0
 #: Ids of documents whose texts are looked up are broadcast up to this count, and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -163,7 +160,7 @@ def _content(doc: str, text: str) -> Column:
     return F.pandas_udf(run, "binary")(F.col(doc).cast("long"), F.col(text))
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """(doc, content, sig, bands): content names the words in order; bands is null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +168,8 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
             null = batch.column(text).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(id_col).cast(pa.int64())
             for a, b, data, offsets in textkit.slices(batch, text):
-                runs, bounds, hashes, firsts, _ = _elements(data, offsets)
-                names = signatures(runs, np.ones(len(runs)), bounds)
+                runs, bounds, hashes, firsts, times = _elements(data, offsets)
+                names = signatures(runs, times.astype(np.float64) if weighted else np.ones(len(runs)), bounds)
                 content = _contents(ids.slice(a, b - a), null[a:b], data, offsets, hashes, firsts)
                 h = np.zeros((b - a, BANDS), np.uint64)
                 for r in range(ROWS):
@@ -190,8 +187,15 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(id_col, text).mapInArrow(run, "doc long, content binary, sig binary, bands array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least ``threshold`` Jaccard similarity on distinct shingles."""
+def _repeated(runs: np.ndarray, bounds: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset as a set: the k-th copy of an element is an element of its own."""
+    copy = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    total = np.concatenate([[0], np.cumsum(times)])
+    return textkit.mix64(np.repeat(runs, times) + textkit.mix64(copy.astype(np.uint64))), total[bounds]
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool = False) -> DataFrame:
+    """The pairs (a, b) of at least ``threshold`` Jaccard similarity."""
     joined = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
     )
@@ -203,7 +207,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 n, keys = part.num_rows, []
                 sizes = []
                 for c in ("ta", "tb"):
-                    runs, bounds, *_ = _elements(*textkit.utf8(part.column(c)))
+                    runs, bounds, _, _, times = _elements(*textkit.utf8(part.column(c)))
+                    if weighted:
+                        runs, bounds = _repeated(runs, bounds, times)
                     sizes.append(np.diff(bounds))
                     pair = np.repeat(np.arange(n, dtype=np.uint64), sizes[-1])
                     keys.append(textkit.mix64(runs ^ textkit.mix64(pair + np.uint64(1))))  # equal only in the same pair
@@ -227,7 +233,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         m, o = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, K) for x in (minor, other))
         mc, oc, md, od = minor["comp"].to_numpy(), other["comp"].to_numpy(), minor["doc"].to_numpy(), other["doc"].to_numpy()
         mt, ot = minor["text"].to_numpy(), other["text"].to_numpy()
-        threshold, sets, up = float(pdf["threshold"].iloc[0]), {}, {}
+        threshold, weighted, sets, up = float(pdf["threshold"].iloc[0]), bool(pdf["weighted"].iloc[0]), {}, {}
 
         def root(c: int) -> int:
             while (d := up.get(c, c)) != c:
@@ -236,7 +242,8 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
 
         def shingles(doc: int, text: str) -> np.ndarray:
             if doc not in sets:
-                sets[doc] = _elements(*textkit.utf8(pa.array([text])))[0]
+                runs, bounds, _, _, times = _elements(*textkit.utf8(pa.array([text])))
+                sets[doc] = _repeated(runs, bounds, times)[0] if weighted else runs
             return sets[doc]
 
         for i in range(len(m)):
@@ -273,26 +280,18 @@ def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _members(band_rows: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that are not done, with their components and the component of the bucket's first hub.
-
-    A bucket is done when it has one component, or when all of its documents outside the first hub's component have been hubs.
-    """
-    joined = band_rows.join(buckets.where(F.col("n") > F.size("hubs")), "band").join(
-        comps.select(F.col("node").alias("doc"), "comp"), "doc", "left"
-    ).select("band", "hubs", "doc", F.coalesce("comp", "doc").alias("comp"))
-    first = joined.where(F.col("doc") == F.get("hubs", F.lit(0))).select("band", F.col("comp").alias("main"))
-    return joined.join(first, "band")
-
-
-def _next_hubs(members: DataFrame) -> DataFrame:
-    """(band, hub, hub_comp): in each open bucket the least id outside the first hub's component that has not been a hub."""
-    left = members.where((F.col("comp") != F.col("main")) & ~F.array_contains("hubs", F.col("doc")))
-    return left.groupBy("band").agg(F.min(F.struct("doc", "comp")).alias("h")).select("band", F.col("h.doc").alias("hub"), F.col("h.comp").alias("hub_comp"))
+    """Members of buckets with several components: their components, and the component of the bucket's hub."""
+    joined = band_rows.join(buckets.select("band", "hub"), "band").join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").select(
+        "band", "hub", "doc", F.coalesce("comp", "doc").alias("comp")
+    )
+    mains = joined.where("doc = hub").select("band", F.col("comp").alias("main"))
+    with_main = joined.drop("hub").join(mains, "band")
+    open_ = with_main.where("comp <> main").select("band").distinct()
+    return with_main.join(open_, "band", "left_semi")
 
 
-def _left_over(members: DataFrame, hubs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links inside the buckets that are open after the rounds of hubs."""
-    inside = stage(members.join(hubs.select("band"), "band", "left_semi").drop("hubs"), "open-buckets")
+def _left_over(inside: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Links inside the buckets that have several components after the hubs' pairs."""
     docs = _needed(texts, inside.select("doc").distinct()).dropDuplicates(["doc"]).join(sigs, "doc")
     whole = inside.join(docs, "doc")
     minor = F.col("comp") != F.col("main")
@@ -300,8 +299,8 @@ def _left_over(members: DataFrame, hubs: DataFrame, sigs: DataFrame, texts: Data
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if(minor) / BLOCK).cast("int").alias("n_minor")
     )
     spread = F.xxhash64("doc")
-    columns = ["band", "i", "j", "side", "doc", "comp", "sig", "text", "threshold"]
-    placed = whole.join(blocks, "band").withColumn("threshold", F.lit(threshold))
+    columns = ["band", "i", "j", "side", "doc", "comp", "sig", "text", "threshold", "weighted"]
+    placed = whole.join(blocks, "band").withColumn("threshold", F.lit(threshold)).withColumn("weighted", F.lit(weighted))
     left = (
         placed.where(minor)
         .withColumn("i", F.pmod(spread, F.col("n_minor")).cast("int"))
@@ -331,9 +330,9 @@ def _apart(contents: DataFrame, mixed: DataFrame, signed: DataFrame) -> DataFram
     return stage(marked.select("content", "rep", F.when(F.col("m"), F.col("own")).otherwise(F.col("rep")).alias("node")), "content-nodes")
 
 
-def _resolve(docs: DataFrame, threshold: float, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _resolve(docs: DataFrame, threshold: float, id_col: str, text: str, weighted: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Signed rows; (content, class_id); and where ids have several contents, (rep, content) of the row that stands for each class."""
-    signed = stage(sign(docs, id_col, text), "dart-signatures")
+    signed = stage(sign(docs, id_col, text, weighted), "dart-signatures")
     contents = stage(signed.where("doc is not null").groupBy("content").agg(F.min("doc").alias("rep")), "contents")
     per_id = signed.where("doc is not null").groupBy("doc").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     mixed = stage(per_id.where("lo <> hi").select("doc"), "mixed-ids")
@@ -343,7 +342,7 @@ def _resolve(docs: DataFrame, threshold: float, id_col: str, text: str) -> tuple
     reps = signed.where("bands is not null").join(own, ["doc", "content"]).select(F.col("node").alias("doc"), "sig", "bands")
     band_rows = reps.select("doc", F.explode("bands").alias("band")).distinct()
     buckets = stage(
-        band_rows.groupBy("band").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", F.array("hub").alias("hubs")),
+        band_rows.groupBy("band").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub"),
         "buckets",
     )
     in_buckets = stage(band_rows.join(buckets.select("band"), "band", "left_semi"), "bucket-rows")
@@ -356,30 +355,15 @@ def _resolve(docs: DataFrame, threshold: float, id_col: str, text: str) -> tuple
     def linked(pairs: DataFrame) -> DataFrame:
         sure = stage(_likely(pairs, sigs), "pairs")
         ids = sure.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        return stage(_verify(sure, _needed(texts, ids), threshold), "links")
+        return stage(_verify(sure, _needed(texts, ids), threshold, weighted), "links")
 
-    hub = F.get("hubs", F.lit(0))
-    pairs = in_buckets.join(buckets, "band").where(F.col("doc") != hub).select(hub.alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = in_buckets.join(buckets, "band").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     comps = stage(components(linked(pairs)), "components")
-    for _ in range(ROUNDS):
-        members = _members(in_buckets, buckets, comps)
-        hubs = stage(_next_hubs(members), "hubs")
-        if hubs.isEmpty():
-            break
-        meet = members.join(hubs, "band").where(F.col("comp") != F.col("hub_comp"))
-        more = linked(meet.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct())
-        buckets = stage(
-            buckets.join(hubs.select("band", "hub"), "band").select("band", "n", F.concat("hubs", F.array("hub")).alias("hubs")), "buckets"
-        )
+    inside = stage(_members(in_buckets, buckets, comps), "open-buckets")
+    if not inside.isEmpty():
+        more = stage(_left_over(inside, sigs, texts, threshold, weighted), "more-links")
         if not more.isEmpty():
-            comps = stage(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
-    else:
-        members = _members(in_buckets, buckets, comps)
-        hubs = stage(_next_hubs(members), "hubs")
-        if not hubs.isEmpty():
-            more = stage(_left_over(members, hubs, sigs, texts, threshold), "more-links")
-            if not more.isEmpty():
-                comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = contents.join(comps.select("node", "comp"), "node", "left").select("content", "rep", F.coalesce("comp", "node").alias("class_id"))
     if not several:
         return signed, named.drop("rep"), None
@@ -394,15 +378,15 @@ def _by_id(signed: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs``."""
-    signed, named, _ = _resolve(docs, threshold, id_col, text)
+    signed, named, _ = _resolve(docs, threshold, id_col, text, weighted)
     return _by_id(signed, named, id_col)
 
 
-def deduplicate(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """``docs`` with one row of each class, that with the least doc_id; rows with a null doc_id all stay."""
-    signed, named, heads = _resolve(docs, threshold, id_col, text)
+    signed, named, heads = _resolve(docs, threshold, id_col, text, weighted)
     twice = stage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__twice")), "repeats")
     repeated = F.col(id_col) == F.col("__twice")
     if heads is not None:

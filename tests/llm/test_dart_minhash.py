@@ -56,7 +56,6 @@ def test_classes_equal_brute_force(spark, prose, seed):
 
 def test_large_group_without_one_hub(spark, prose, monkeypatch):
     """A chain: neighbours are near, ends are not, so no hub reaches all; and blocks are made small."""
-    monkeypatch.setattr(dm, "ROUNDS", 0)
     monkeypatch.setattr(dm, "BLOCK", 4)
     base = prose(150, 5).split()
     rows = [(i, " ".join(base[2 * i : 2 * i + 60])) for i in range(40)]
@@ -106,3 +105,34 @@ def test_ids_with_different_texts(spark, prose):
     got = sorted((r.doc_id or 0, r.class_id or 0) for r in dm.classes(df).collect())
     assert got == [(0, 0), (3, 3), (9, 3), (9, 9), (9, 9), (9, 9), (12, 3), (20, 9), (20, 20), (21, 20), (22, 22)]
     assert sorted(r.tag for r in dm.deduplicate(df).collect()) == ["a", "b3", "c20", "empty", "none", "null"]
+
+
+def test_weighted_similarity_counts_repeats(spark, prose):
+    a, b, c = prose(60, 21), prose(60, 22), prose(200, 23)
+    rows = [(1, a), (2, f"{a} {a} {a}"), (3, f"{a} {a} {a} end"), (4, b), (5, c), (6, c + " word"), (7, f"{b} {b}")]
+
+    def bags(text):
+        w, bag = words(text), {}
+        for i in range(max(1, len(w) - 4)):
+            bag[tuple(w[i : i + 5])] = bag.get(tuple(w[i : i + 5]), 0) + 1
+        return bag
+
+    def near(x, y):
+        x, y = bags(x), bags(y)
+        return sum(min(x.get(k, 0), y.get(k, 0)) for k in x | y) >= 0.8 * sum(max(x.get(k, 0), y.get(k, 0)) for k in x | y)
+
+    links = {(i, j) for i, t in rows for j, u in rows if i < j and near(t, u)}
+    assert links == {(2, 3), (5, 6)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.doc_id, r.class_id) for r in dm.classes(df, weighted=True).collect()} == {(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (6, 5), (7, 7)}
+    assert {(r.doc_id, r.class_id) for r in dm.classes(df).collect()} == set(brute(rows).items())
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from evidra.llm import components as cc
+
+    monkeypatch.setattr(cc, "HOT_EDGES", 3)
+    monkeypatch.setattr(cc, "HOT_NODES", 1000)
+    edges = [(1, i) for i in range(2, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(500, i) for i in range(40, 45)] + [(700, 700)]
+    got = {r.node: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in [*range(1, 60), 500]} | {i: 100 for i in range(100, 131)} | {700: 700}
