@@ -9,10 +9,10 @@ them. A store is a folder with
 * ``content/part=recipes/``: the recipes as tasks gave them, which nothing reads later,
 * ``recipes/``: Parquet files in ascending doc_id order of (doc_id, ord, start, n_tokens, addresses, root), where
   start counts the ids of all documents before it,
-* ``manifest/``: one row with the counts and the Merkle root of each recipe range.
+* ``manifest/``: one row with the counts and the Merkle root of each recipe range, and the root over these.
 
-Reading checks every chunk against its address and every recipe against its root, and a missing or damaged chunk
-is an error. ``read_documents`` gives the ids back. ``read_digests`` gives start, n_tokens and the CRC-32 of each
+Reading checks the recipes against the manifest, every chunk against its address and every recipe against its root; a missing or damaged chunk,
+a lost or changed recipe is an error. ``read_documents`` gives the ids back. ``read_digests`` gives start, n_tokens and the CRC-32 of each
 document: each stored chunk is read, checked and summed once, and the sums of a document's chunks are combined
 (CRC-32 of a concatenation follows from those of its parts), so no id is shuffled.
 
@@ -31,13 +31,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
-from .staging import small_batches
+from .staging import small_batches, stage
 
 #: Ids in the rolling window; mean ids between cuts; most ids in a chunk.
 WINDOW, MEAN, MOST = 16, 1024, 8192
@@ -276,46 +278,43 @@ def _chunks(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Rows in ascending doc_id order with ord (the range) and start, by sums of ranges and then inside each range."""
-    n = rows.count()
-    parts = max(1, -(-n // RANGE_ROWS))
-    ranges = rows.select("doc_id").where(F.col("doc_id").isNotNull())
-    bounds: list = []
-    if parts > 1:
-        grid = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(ranges.agg(F.percentile_approx("doc_id", grid, 10_000)).first()[0] or []))
-    edges = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
-    placed = rows.withColumn("ord", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(F.col("doc_id"), edges, len(bounds))))
+    """Rows in ascending doc_id order with ord (the range) and start, by sums of ranges and then inside each range.
+
+    Spark draws the bounds of ranges, by doc_id and then root, so that rows of one id can be in several; what falls where is written once.
+    """
+    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "root").withColumn("ord", F.spark_partition_id())
+    placed = stage(ranged, "recipe-ranges")
     sums = placed.groupBy("ord").agg(F.sum("n_tokens").alias("sum"))
     # One row for each range of about RANGE_ROWS documents: small at any size of the table.
     before = sums.select("ord", F.coalesce(F.sum("sum").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     order = Window.partitionBy("ord").orderBy(F.col("doc_id").asc_nulls_first(), "root")
     inside = placed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = inside.join(before, "ord").withColumn("start", F.col("before") + F.col("inside"))
+    last = placed.agg(F.max("ord")).first()[0] or 0
     return (
         joined.select("doc_id", "ord", "start", "n_tokens", "addresses", "root")
-        .repartitionById(len(bounds) + 1, F.col("ord").cast("int"))
+        .repartitionById(last + 1, F.col("ord"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     )
 
 
-def _bucket(value, edges, n: int):
-    """How many edges are at most ``value``: the range of an id."""
-    return F.size(F.filter(edges, lambda e: e <= value)) if n else F.lit(0)
-
-
 def _manifest(spark: SparkSession, store: str) -> DataFrame:
-    recipes = spark.read.parquet(f"{store}/recipes")
-    ranges = recipes.groupBy("ord").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.sum("n_tokens").alias("ids"),
-        F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"),
+    """(documents, ids, root, ranges): a Merkle tree over the roots of each range's recipes in order, and one over the ranges' roots."""
+    recipes = spark.read.parquet(f"{store}/recipes").select("ord", "start", "n_tokens", "root")
+    listed = recipes.groupBy("ord").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "n_tokens", "root"))).alias("leaves")
     )
-    return ranges.agg(
-        F.sum("documents").alias("documents"),
-        F.sum("ids").alias("ids"),
-        F.array_sort(F.collect_list(F.struct("ord", "documents", "ids", "root"))).alias("ranges"),
+    ranges = listed.select("ord", "documents", "ids", _tree_root(F.col("leaves.root")).alias("root"))
+    whole = ranges.agg(
+        F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("ord", "documents", "ids", "root"))).alias("ranges")
     )
+    return whole.select("documents", "ids", _tree_root(F.col("ranges.root")).alias("root"), "ranges")
+
+
+@F.pandas_udf(BinaryType())
+def _tree_root(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda leaves: merkle([bytes(x) for x in leaves]))
 
 
 def verify_manifest(spark: SparkSession, store: str) -> bool:
@@ -323,6 +322,13 @@ def verify_manifest(spark: SparkSession, store: str) -> bool:
     return spark.read.parquet(f"{store}/manifest").exceptAll(_manifest(spark, store)).isEmpty()
 
 
+def _recipes(spark: SparkSession, store: str) -> DataFrame:
+    """The recipes, after they have been held against the manifest."""
+    if not verify_manifest(spark, store):
+        raise ValueError(f"the recipes at {store} are not those of its manifest")
+    return spark.read.parquet(f"{store}/recipes")
+
+
 @lru_cache(maxsize=64)
 def _zeros(k: int) -> np.ndarray:
     """What 2**k zero bytes do to a CRC-32 register, as tables for each of its four bytes (linear over GF(2))."""
@@ -380,7 +386,7 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
             )
 
     chunks = _chunks(spark, store).mapInArrow(sums, "address binary, size int, crc long")
-    recipes = spark.read.parquet(f"{store}/recipes")
+    recipes = _recipes(spark, store)
     parts = (
         recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("addresses").alias("pos", "address"))
         .join(chunks, "address", "left")
@@ -416,7 +422,7 @@ def read_documents(spark: SparkSession, store: str) -> DataFrame:
             yield batch
 
     chunks = _chunks(spark, store).mapInArrow(check, "address binary, ids binary")
-    recipes = spark.read.parquet(f"{store}/recipes")
+    recipes = _recipes(spark, store)
     parts = (
         recipes.select("doc_id", "start", "root", F.posexplode("addresses").alias("pos", "address"))
         .join(chunks, "address", "left")

@@ -131,3 +131,21 @@ def test_chunks_move_with_their_content():
     assert len(cut[0] & cut[1]) >= len(cut[0]) - 2
     apart = token_store.cuts(np.concatenate([body, moved]), np.array([0, len(body), len(body) + len(moved)]))
     assert apart == [token_store.cuts(x, np.array([0, len(x)]))[0] for x in (body, moved)]
+
+
+def test_reading_checks_the_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "RANGE_ROWS", 40)
+    rows = [(i % 150, f"text number {i} of this table") for i in range(300)] + [(7, "")] * 60
+    path = str(tmp_path / "store")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, BPE)
+    got = sorted(token_store.read_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    manifest = spark.read.parquet(path + "/manifest").first()
+    assert manifest.documents == 360 and manifest.ids == sum(r.n_tokens for r in got) and len(manifest.ranges) > 1
+    assert bytes(manifest.root) == token_store.merkle([bytes(r.root) for r in manifest.ranges])
+    lost = sorted(f for f in (tmp_path / "store" / "recipes").glob("part-*") if f.stat().st_size)[0]
+    lost.unlink()
+    for read in (token_store.read_digests, token_store.read_documents):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, path)
