@@ -38,6 +38,25 @@ class Conflict(RuntimeError):
     """Another writer took the commit number again and again."""
 
 
+def latest_state(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last event of each key; the window keeps one row of a key before the shuffle."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(*map(F.desc, order))) == 1
+    return events.withColumn("_last", last).where("_last").drop("_last")
+
+
+def nest_versions(versions: DataFrame) -> DataFrame:
+    """(guideline_id, versions): each guideline's versions (id, version_label, status) in order of creation; a guideline has few."""
+    rows = F.array_sort(F.collect_list(F.struct("created_at", "id", "version_label", "status")))
+    fields = lambda v: F.struct(v["id"].alias("id"), v["version_label"].alias("version_label"), v["status"].alias("status"))
+    return versions.groupBy("guideline_id").agg(F.transform(rows, fields).alias("versions"))
+
+
+def chunks_of_version(files: DataFrame, chunks: DataFrame, version_id: object) -> DataFrame:
+    """The chunks of a version's source files; Spark broadcasts the files where their size allows."""
+    own = files.where(F.col("document_version_id") == version_id).select(F.col("id").alias("source_file_id"))
+    return chunks.join(own, "source_file_id", "left_semi")
+
+
 class Registry:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -104,9 +123,7 @@ class Registry:
 
     def versions(self) -> DataFrame:
         """Versions with the state of their latest event."""
-        events = self.table("version_event")
-        last = F.row_number().over(Window.partitionBy("version_id").orderBy(F.desc("seq"))) == 1
-        state = events.withColumn("last", last).where("last").select(F.col("version_id").alias("id"), "status", "snapshot_path", "snapshot_manifest_sha256", "approved_at")
+        state = latest_state(self.table("version_event"), "version_id", "seq").select(F.col("version_id").alias("id"), "status", "snapshot_path", "snapshot_manifest_sha256", "approved_at")
         return self.table("version").join(state, "id").select(*schema.VERSION.names)
 
     def get(self, table: str, key: str) -> Row:
@@ -128,15 +145,12 @@ class Registry:
 
     def guideline_listing(self) -> DataFrame:
         """Guidelines with their versions nested, in order of creation."""
-        nested = self.versions().groupBy("guideline_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "version_label", "status"))), lambda v: F.struct(v["id"].alias("id"), v["version_label"].alias("version_label"), v["status"].alias("status"))).alias("versions")
-        )
+        nested = nest_versions(self.versions())
         return self.table("guideline").join(nested.withColumnRenamed("guideline_id", "id"), "id", "left").orderBy("id")
 
     def version_chunks(self, version_id: str) -> DataFrame:
         """A version's chunks in source order: the registry's one relational join."""
-        files = self.table("source_file").where(F.col("document_version_id") == version_id).select(F.col("id").alias("source_file_id"))
-        return self.table("raw_chunk").join(F.broadcast(files), "source_file_id", "left_semi").orderBy("source_ordinal", "id")
+        return chunks_of_version(self.table("source_file"), self.table("raw_chunk"), version_id).orderBy("source_ordinal", "id")
 
     def count_nodes(self, version_id: str) -> int:
         return self.table("node").where(F.col("document_version_id") == version_id).count()

@@ -21,6 +21,7 @@ from . import terminology
 
 # They decide scores, and must stay as they are.
 BM25_K1, BM25_B, RRF_K = 1.5, 0.75, 60
+BROADCAST_ROWS = 1_000_000
 MOST_RESULTS, WIDENED_BY, WIDENED_LEAST = 100, 10, 50
 
 
@@ -82,7 +83,8 @@ def bm25_scores(nodes: DataFrame, query_tokens: Sequence[str], text: str = "text
         ),
         F.lit(0.0),
     )
-    return positive(counted.where(some).join(F.broadcast(stats) if by == "version_id" else stats, by).select(by, key, score.alias("score")))
+    # One row for each version: Spark broadcasts them where their size allows.
+    return positive(counted.where(some).join(stats, by).select(by, key, score.alias("score")))
 
 
 def positive(scored: DataFrame, score: str = "score") -> DataFrame:
@@ -105,6 +107,11 @@ def build_inverted_index(nodes: DataFrame, text: str = "text") -> tuple[DataFram
     return postings, bags.groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def token_stats(postings: DataFrame) -> DataFrame:
+    """(token, tf, df) over all versions of an index."""
+    return postings.groupBy("token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
 def bm25_batch(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, version_id, node_id, score, rank) for a table of (query_id, token), repeated tokens repeated."""
     asked = queries.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
@@ -167,6 +174,15 @@ class SearchResponse:
     retrieval_modes: list[str] = field(default_factory=lambda: ["vector"])
 
 
+def wanted_versions(versions: DataFrame, guidelines: DataFrame, request: SearchRequest) -> DataFrame:
+    """(id, guideline_id, status, language): the versions that a request names, or the active ones of its guidelines."""
+    wanted = versions.where(F.col("id").isin(list(request.version_ids))) if request.version_ids else versions.where("status = 'active'")
+    if not request.version_ids and request.guideline_ids:
+        wanted = wanted.where(F.col("guideline_id").isin(list(request.guideline_ids)))
+    languages = guidelines.select(F.col("id").alias("guideline_id"), "language")
+    return wanted.select("id", "guideline_id", "status").join(languages, "guideline_id", "left")
+
+
 def resolve_versions(versions: DataFrame, guidelines: DataFrame, request: SearchRequest) -> list[tuple[str, str]]:
     """(version id, guideline id) of the versions to search, by version id; the request is checked first.
 
@@ -180,11 +196,7 @@ def resolve_versions(versions: DataFrame, guidelines: DataFrame, request: Search
     for name, ids in (("guideline_ids", request.guideline_ids), ("version_ids", request.version_ids)):
         if len(set(ids)) != len(ids):
             raise ValueError(f"{name} must be unique")
-    wanted = versions.where(F.col("id").isin(list(request.version_ids))) if request.version_ids else versions.where("status = 'active'")
-    if not request.version_ids and request.guideline_ids:
-        wanted = wanted.where(F.col("guideline_id").isin(list(request.guideline_ids)))
-    languages = guidelines.select(F.col("id").alias("guideline_id"), "language")
-    found = {r["id"]: r for r in wanted.select("id", "guideline_id", "status").join(languages, "guideline_id", "left").collect()}
+    found = {r["id"]: r for r in wanted_versions(versions, guidelines, request).collect()}
     for v in request.version_ids:
         if v not in found:
             raise KeyError(f"unknown version {v}")
@@ -218,8 +230,9 @@ def search(
     searched = searched.where(flag)
     vector = vector_ranking(searched, encoder.encode([expanded])[0], k)
     merged = rrf([vector, bm25_ranking(searched, expanded, k)]) if request.use_bm25 else vector.select("version_id", "node_id", "score")
-    # At most 2 k rows of each version: small beside the nodes that they are joined with.
-    rows = searched.join(F.broadcast(merged), ["version_id", "node_id"])
+    # At most 2 k rows of each version; broadcast only where that is small for the versions searched.
+    few = len(resolved) * 2 * k <= BROADCAST_ROWS
+    rows = searched.join(F.broadcast(merged) if few else merged, ["version_id", "node_id"])
     if len(groups) > 1:
         rows = rows.where(T.matches_concepts(F.col("text"), groups))
     final = with_coverage(rows, [g for _, g in resolved], request.top_k)

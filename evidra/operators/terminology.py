@@ -199,6 +199,11 @@ def candidates(chunks: DataFrame) -> DataFrame:
     return a.unionByName(b).select("chunk_id", clean_term(F.col("en")).alias("english"), clean_term(F.col("zh")).alias("chinese")).where("english <> ''")
 
 
+def ambiguous_terms(pairs: DataFrame) -> DataFrame:
+    """(english, targets) of case-folded English terms that have several Chinese ones."""
+    return pairs.groupBy(fold(F.col("english")).alias("english")).agg(F.count_distinct("chinese").alias("targets")).where("targets > 1")
+
+
 def judge(found: DataFrame, reviewed: DataFrame) -> DataFrame:
     """``found`` with the reason of rejection: by shape, then unreviewed, then ambiguous; null for accepted pairs.
 
@@ -210,8 +215,7 @@ def judge(found: DataFrame, reviewed: DataFrame) -> DataFrame:
     known = shaped.join(allow, key, "left").withColumn(
         "reason", F.when(F.col("shape").isNotNull(), F.col("shape")).when(F.col("_e").isNull(), "unreviewed_candidate")
     )
-    accepted = known.where("reason is null").select(fold(F.col("english")).alias("_k"), "chinese")
-    many = accepted.groupBy("_k").agg(F.count_distinct("chinese").alias("n")).where("n > 1").select("_k")
+    many = ambiguous_terms(known.where("reason is null")).select(F.col("english").alias("_k"))
     return (
         known.join(many, fold(F.col("english")) == F.col("_k"), "left")
         .withColumn("reason", F.coalesce("reason", F.when(F.col("_k").isNotNull(), "ambiguous_alias")))

@@ -90,23 +90,23 @@ def locator_json(present: F.Column, record: F.Column) -> F.Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def line_report(records: DataFrame, required: list[str] = REQUIRED_FIELDS) -> DataFrame:
+    """(path, record_count, missing_fields, ids_unique) of validated lines: the fields that some record of a file lacks."""
+    missing = F.explode_outer(F.array_except(F.array(*map(F.lit, required)), F.col("present")))
+    counts = records.groupBy("path").agg(F.count(F.lit(1)).alias("record_count"), (F.count_distinct("chunk_id") == F.count("chunk_id")).alias("ids_unique"))
+    gaps = records.select("path", missing.alias("field")).groupBy("path").agg(F.array_sort(F.collect_set("field")).alias("missing_fields"))
+    return counts.join(gaps, "path").select("path", "record_count", "missing_fields", "ids_unique")
+
+
 def contract_report(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, dict[str, object]]:
     """For each file: digest, size, records, missing fields, whether ids are unique; and the totals over all files."""
     files = spark.read.format("binaryFile").load(paths).select(
         F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size")
     )
     records = validate_lines(read_lines(spark, paths)).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    missing = F.explode_outer(F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), F.col("present")))
-    counts = records.groupBy("path").agg(F.count(F.lit(1)).alias("record_count"), F.count_distinct("chunk_id").alias("ids"), F.count("chunk_id").alias("with_id"))
-    gaps = records.select("path", missing.alias("field")).groupBy("path").agg(F.array_sort(F.collect_set("field")).alias("missing_fields"))
-    per_file = (
-        files.join(counts, "path", "left")
-        .join(gaps, "path", "left")
-        .select(
-            "path", "sha256", "byte_size", F.coalesce("record_count", F.lit(0)).alias("record_count"),
-            F.coalesce("missing_fields", F.array().cast("array<string>")).alias("missing_fields"),
-            (F.coalesce("ids", F.lit(0)) == F.coalesce("with_id", F.lit(0))).alias("ids_unique"),
-        )
+    per_file = files.join(line_report(records), "path", "left").select(
+        "path", "sha256", "byte_size", F.coalesce("record_count", F.lit(0)).alias("record_count"),
+        F.coalesce("missing_fields", F.array().cast("array<string>")).alias("missing_fields"), F.coalesce("ids_unique", F.lit(True)).alias("ids_unique"),
     )
     total = records.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("ids"), F.count("chunk_id").alias("with_id")).first()
     return per_file.orderBy("path"), {"total_records": total["n"], "ids_globally_unique": total["ids"] == total["with_id"]}
