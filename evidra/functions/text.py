@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache, reduce
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,11 +89,20 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 def fold(text: Column) -> Column:
-    """Unicode case folding, which lower() alone is not (ß, final sigma). Texts without the signs that differ are only lower-cased."""
+    """Unicode case folding, which lower() alone is not (ß, final sigma), for terms: sign by sign where a term is not ASCII."""
     one, to, many = _folds()
     low = F.lower(text)
-    spelled = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(many[c])), many, F.translate(low, one, to))
-    return F.when(low.rlike("[" + one + "".join(many) + "]"), spelled).otherwise(low)
+    spelled = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
+    signs = F.transform(F.split(F.translate(low, one, to), ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.array_join(signs, "")).otherwise(low)
+
+
+def _folded_for(text: Column, term: str, more: str = "") -> Column:
+    """A text, folded as far as it matters for finding a folded term: signs that fold to one of its signs, or to one of ``more``."""
+    one, to, many = _folds()
+    wanted = set(term) | set(more)
+    odd = {c: f for c, f in (dict(zip(one, to, strict=True)) | many).items() if wanted & set(f)}
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(odd[c])), odd, F.lower(text))
 
 
 def normalize_text(text: Column) -> Column:
@@ -125,8 +135,8 @@ def contains_variant(text: Column, variant: str) -> Column:
     if not term:
         return F.lit(False)
     if any("㐀" <= c <= "鿿" for c in term):
-        return fold(text).contains(term)
-    return fold(text).rlike(f"(?<![A-Za-z0-9]){quote(term)}(?![A-Za-z0-9])")
+        return _folded_for(text, term).contains(term)
+    return _folded_for(text, term, ascii_lowercase).rlike(f"(?<![A-Za-z0-9]){quote(term)}(?![A-Za-z0-9])")
 
 
 def matches_concepts(text: Column, groups: list[list[str]]) -> Column:

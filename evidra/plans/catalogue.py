@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import nodes as N
 from ..functions import text as T
-from ..operators import constraints, diff, markdown, retrieval, tables, terminology
+from ..operators import constraints, diff, markdown, registry, retrieval, tables, terminology
 from ..streaming import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import evidence  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import evidence  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -109,18 +113,17 @@ def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH t AS (SELECT doc_id, unnest(list_transform({_TOKENS}, lambda t: lower(t))) AS token FROM documents)
 SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY token""")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bags = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    per_doc = bags.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    postings, _ = retrieval.build_inverted_index(_nodes(spark, sf_dir))
+    return retrieval.token_stats(postings)
 
 
 @query("""WITH g AS (
   SELECT unnest(list_transform(range(1, length(text) - n + 2), lambda i: substring(text, i, n))) AS gram, n
-  FROM benchmark, (VALUES (2), (3)) s(n) WHERE length(text) >= n)
+  FROM documents, (VALUES (2), (3)) s(n) WHERE length(text) >= n)
 SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def character_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    grams = _read(spark, sf_dir, "benchmark").select(F.explode(F.concat(T.ngrams(text, 2), T.ngrams(text, 3))).alias("gram"))
+    grams = _read(spark, sf_dir, "documents").select(F.explode(F.concat(T.ngrams(text, 2), T.ngrams(text, 3))).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -178,27 +181,6 @@ def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.with_coverage(scores.join(docs, "node_id"), names, 25).select("position", "node_id", "guideline_id", "score")
 
 
-@query(f"""WITH {_bm25_sql("source")}, {_COSINE},
-br AS (SELECT b.version_id, b.node_id, row_number() OVER (PARTITION BY b.version_id ORDER BY b.score DESC, b.node_id) AS rank FROM bm b JOIN embeddings e ON e.vec_id = b.node_id QUALIFY rank <= 10),
-vr AS (SELECT d.source AS version_id, v.node_id, row_number() OVER (PARTITION BY d.source ORDER BY v.score DESC, v.node_id) AS rank FROM vs v JOIN documents d ON d.doc_id = v.node_id QUALIFY rank <= 10),
-fused AS (SELECT version_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM br UNION ALL SELECT * FROM vr) GROUP BY version_id, node_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY score DESC, node_id) AS own FROM fused),
-p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN own = 1 THEN 0 ELSE 1 END, CASE WHEN own = 1 THEN version_id END, score DESC, node_id) AS position FROM r)
-SELECT CAST(position AS INTEGER) AS position, p.node_id, version_id AS guideline_id, score, d.lang AS language, sha256(d.text) AS text_sha256
-FROM p JOIN documents d ON d.doc_id = p.node_id WHERE position <= 25""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole retrieval plan: both rankings of each version, fusion, coverage, evidence."""
-    docs = _nodes(spark, sf_dir, "source")
-    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
-    near = docs.join(e, "node_id").select("version_id", "node_id", F.round(retrieval.cosine(F.col("embedding"), _probe(spark, sf_dir)), 6).alias("score"))
-    words = retrieval.bm25_scores(docs, terminology.tokenize(ASKED)).join(e.select("node_id"), "node_id", "left_semi").withColumn("score", F.round("score", 6))
-    fused = retrieval.rrf([_ranked(x, ["version_id"], 10) for x in (near, words)]).withColumn("score", F.round("score", 8))
-    names = sorted(r[0] for r in docs.select("version_id").distinct().collect())
-    final = retrieval.with_coverage(fused.withColumn("guideline_id", F.col("version_id")), names, 25)
-    text = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("language"), F.sha2("text", 256).alias("text_sha256"))
-    return final.join(text, "node_id").select("position", "node_id", "guideline_id", "score", "language", "text_sha256")
-
-
 @query(r"""SELECT doc_id FROM documents WHERE
   (regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])une([^a-z0-9]|$)'))
   AND (regexp_matches(lower(text), '(^|[^a-z0-9])ering([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])est([^a-z0-9]|$)'))""")
@@ -321,20 +303,9 @@ def text_digest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").groupBy("source").agg(T.text_digest(F.col("doc_id"), F.col("text")).alias("digest"))
 
 
-@query("""SELECT source AS path, count(*) AS record_count, count(DISTINCT doc_id) = count(doc_id) AS ids_unique, count(*) FILTER (WHERE lang IS NULL) AS missing_lang,
-  sum(length(text))::BIGINT AS chars FROM documents GROUP BY source""")
-def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("source").alias("path")).agg(
-        F.count(F.lit(1)).alias("record_count"), (F.count_distinct("doc_id") == F.count("doc_id")).alias("ids_unique"),
-        F.count_if(F.col("lang").isNull()).alias("missing_lang"), F.sum(F.char_length("text")).alias("chars"),
-    )
-
-
 @query("SELECT user_id, event_type, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def lifecycle_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
-    return _read(spark, sf_dir, "events").withColumn("latest", latest).where("latest").select("user_id", "event_type", "ts", "event_id")
+    return registry.latest_state(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_type", "ts", "event_id")
 
 
 @query("""SELECT event_type AS action, count(*) AS n, count(DISTINCT user_id) AS entities, min(event_id) AS first_id, max(event_id) AS last_id,
@@ -352,29 +323,35 @@ def audit_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.activity(events).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("""SELECT source AS guideline_id, count(*) AS n_versions, min(doc_id) AS first_version, string_agg(doc_id::VARCHAR, ',' ORDER BY n_chars, doc_id) AS versions
-FROM documents GROUP BY source""")
+@query("""SELECT o_custkey AS guideline_id, count(*) AS n_versions,
+  string_agg(o_orderkey || ' ' || o_orderpriority || ' ' || o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS versions FROM orders GROUP BY o_custkey""")
 def guideline_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = _read(spark, sf_dir, "documents").groupBy(F.col("source").alias("guideline_id")).agg(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))).alias("v"))
-    return nested.select(
-        "guideline_id", F.size("v").cast("long").alias("n_versions"), F.array_min(F.transform("v", lambda x: x["doc_id"])).alias("first_version"),
-        F.array_join(F.transform("v", lambda x: x["doc_id"].cast("string")), ",").alias("versions"),
-    )
+    """Orders as versions of their customers."""
+    versions = _read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("guideline_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("version_label"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at")
+    )
+    shown = F.transform("versions", lambda v: F.concat_ws(" ", v["id"].cast("string"), v["version_label"], v["status"]))
+    return registry.nest_versions(versions).select("guideline_id", F.size("versions").cast("long").alias("n_versions"), F.array_join(shown, ",").alias("versions"))
 
 
-_GAP = r"[ \t\x{2003}\x{a0}]+"
+def _spacing_sql() -> str:
+    """All rules one after the other, each with the number of its matches."""
+    steps, last = [], "s"
+    for i, (name, spaced, right) in enumerate(T.SPACING_RULES):
+        pattern = r"[ \t\x{2003}\x{a0}]+".join(rf"\Q{part}\E" if part else "" for part in spaced.split(" "))
+        steps.append(f"r{i} AS (SELECT * REPLACE (regexp_replace(t, '{pattern}', '{right}', 'g') AS t), len(regexp_extract_all(t, '{pattern}')) AS {name} FROM {last})")
+        last = f"r{i}"
+    names = ", ".join(name for name, _, _ in T.SPACING_RULES)
+    tails = " ".join(f"WHEN {i} THEN ' {spaced} and {spaced}'" for i, (_, spaced, _) in enumerate(T.SPACING_RULES))
+    return f"WITH s AS (SELECT doc_id, text || CASE doc_id % 19 {tails} ELSE '' END AS t FROM documents), {', '.join(steps)} SELECT doc_id, sha256(t) AS text_sha256, {names} FROM {last}"
 
 
-@query(rf"""WITH s AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' t u m o r' WHEN 1 THEN ' H E R 2 m g / k g' WHEN 2 THEN ' c a n c' ELSE '' END AS t FROM documents),
-n AS (SELECT doc_id,
-  len(regexp_extract_all(t, 't{_GAP}u{_GAP}m{_GAP}o{_GAP}r')) AS tumor, len(regexp_extract_all(t, 'H{_GAP}E{_GAP}R{_GAP}2')) AS her2,
-  regexp_replace(regexp_replace(regexp_replace(t, 't{_GAP}u{_GAP}m{_GAP}o{_GAP}r', 'tumor', 'g'), 'H{_GAP}E{_GAP}R{_GAP}2', 'HER2', 'g'), 'm{_GAP}g{_GAP}/{_GAP}k{_GAP}g', 'mg/kg', 'g') AS t FROM s)
-SELECT doc_id, sha256(t) AS text_sha256, tumor, her2 FROM n""")
+@query(_spacing_sql())
 def spacing_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    tail = F.when(d % 4 == 0, " t u m o r").when(d % 4 == 1, " H E R 2 m g / k g").when(d % 4 == 2, " c a n c").otherwise("")
-    text, counts = T.normalize_spacing(F.concat(F.col("text"), tail))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha256"), counts["split_tumor"].cast("long").alias("tumor"), counts["split_her2"].cast("long").alias("her2"))
+    """Texts with the spaced spellings of one rule each, under all rules."""
+    tails = F.array(*(F.lit(f" {spaced} and {spaced}") for _, spaced, _ in T.SPACING_RULES))
+    text, counts = T.normalize_spacing(F.concat(F.col("text"), F.coalesce(F.get(tails, (F.col("doc_id") % 19).cast("int")), F.lit(""))))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha256"), *(c.cast("long").alias(n) for n, c in counts.items()))
 
 
 _PAIRS = [("HER2", "人表皮生长因子受体2"), ("ADC", "抗体药物偶联物"), ("ADC", "表观扩散系数"), ("therapy", "治疗"), ("Therapy", "治疗"), ("risk", "风险"), ("docetaxel", "多西他赛")]
@@ -392,28 +369,34 @@ def glossary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminology.group_aliases(_pairs(spark)).select("term", F.array_join("aliases", "|").alias("aliases"))
 
 
-_CHUNKS = [
-    ("c1", "使用多西他赛（docetaxel）与曲妥珠单抗（trastuzumab，H）。"), ("c2", "剂量（mmol/L）高危；Docetaxel（多西他赛）"), ("c3", "抗体药物偶联物（ADC）与表观扩散系数（ADC）"),
-    ("c4", "建议采用化疗（chemotherapy）"),
+#: Bracketed pairs, and what their shape is rejected for.
+_CANDIDATES = [
+    ("c1", "使用多西他赛（docetaxel）与曲妥珠单抗（trastuzumab，H）。", [("docetaxel", "使用多西他赛", None), ("trastuzumab", "与曲妥珠单抗", None), ("H", "与曲妥珠单抗", "invalid_term_shape")]),
+    ("c2", "剂量（mmol/L）高危；Docetaxel（多西他赛）", [("mmol/L", "剂量", "measurement_or_threshold"), ("Docetaxel", "多西他赛", None)]),
+    ("c3", "抗体药物偶联物（ADC）", [("ADC", "抗体药物偶联物", None)]),
+    ("c4", "建议采用化疗（chemotherapy）", [("chemotherapy", "建议采用化疗", "sentence_fragment")]),
+    ("c5", "表观扩散系数（ADC；ADC map）", [("ADC", "表观扩散系数", None), ("ADC map", "表观扩散系数", None)]),
 ]
-_REVIEWED = [("docetaxel", "多西他赛"), ("ADC", "抗体药物偶联物"), ("ADC", "表观扩散系数")]
+_REVIEWED = [("docetaxel", "多西他赛"), ("adc", "抗体药物偶联物"), ("ADC", "表观扩散系数")]
+_CANDIDATE_SQL = ", ".join(f"({n}, '{e}', '{c}', {repr(r) if r else 'NULL'})" for n, (_, _, pairs) in enumerate(_CANDIDATES) for e, c, r in pairs)
 
 
-@query("""SELECT * FROM (VALUES
-  ('c1', 'docetaxel', '使用多西他赛', 'unreviewed_candidate'), ('c1', 'trastuzumab', '与曲妥珠单抗', 'unreviewed_candidate'), ('c1', 'H', '与曲妥珠单抗', 'invalid_term_shape'),
-  ('c2', 'mmol/L', '剂量', 'measurement_or_threshold'), ('c2', 'Docetaxel', '多西他赛', NULL), ('c3', 'ADC', '抗体药物偶联物', 'ambiguous_alias'),
-  ('c3', 'ADC', '与表观扩散系数', 'unreviewed_candidate'), ('c4', 'chemotherapy', '建议采用化疗', 'sentence_fragment')
-) t(chunk_id, english, chinese, reason)""".replace("'ambiguous_alias'", "NULL"))
+@query(f"""WITH shaped AS (SELECT d.doc_id::VARCHAR AS chunk_id, english, chinese, shape FROM documents d JOIN (VALUES {_CANDIDATE_SQL}) s(n, english, chinese, shape) ON d.doc_id % {len(_CANDIDATES)} = n),
+known(english, chinese) AS (VALUES {", ".join(f"('{e}', '{c}')" for e, c in _REVIEWED)}),
+judged AS (SELECT s.*, CASE WHEN shape IS NOT NULL THEN shape WHEN k.english IS NULL THEN 'unreviewed_candidate' END AS own FROM shaped s LEFT JOIN known k ON lower(k.english) = lower(s.english) AND k.chinese = s.chinese),
+many AS (SELECT lower(english) AS term FROM judged WHERE own IS NULL GROUP BY 1 HAVING count(DISTINCT chinese) > 1)
+SELECT chunk_id, english, chinese, coalesce(own, CASE WHEN term IS NOT NULL THEN 'ambiguous_alias' END) AS reason FROM judged LEFT JOIN many ON lower(english) = term""")
 def glossary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(a).alias("chunk_id"), F.lit(b).alias("text")) for a, b in _CHUNKS))
+    """Candidates of a chunk for each document, with one of five passages of bracketed terms."""
+    passages = F.array(*(F.lit(text) for _, text, _ in _CANDIDATES))
+    chunks = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.get(passages, (F.col("doc_id") % len(_CANDIDATES)).cast("int")).alias("text"))
     known = F.array(*(F.struct(F.lit(a).alias("english"), F.lit(b).alias("chinese")) for a, b in _REVIEWED))
-    chunks = spark.range(1).select(F.explode(rows).alias("c")).select("c.*")
     return terminology.judge(terminology.candidates(chunks), spark.range(1).select(F.explode(known).alias("k")).select("k.*"))
 
 
-@query(f"WITH {_PAIR_SQL} SELECT lower(english) AS english, count(DISTINCT chinese) AS targets FROM p GROUP BY 1 HAVING count(DISTINCT chinese) > 1")
+@query("SELECT lower(p_brand) AS english, count(DISTINCT p_type) AS targets FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def ambiguous_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark).groupBy(F.lower("english").alias("english")).agg(F.count_distinct("chinese").alias("targets")).where("targets > 1")
+    return terminology.ambiguous_terms(_read(spark, sf_dir, "part").select(F.col("p_brand").alias("english"), F.col("p_type").alias("chinese")))
 
 
 @query("SELECT 'non-reciprocal' AS error, '风险' AS term, 'risk' AS alias UNION ALL SELECT 'non-reciprocal', 'peril', '风险' UNION ALL SELECT 'language-shape', 'peril', 'risk' UNION ALL SELECT 'non-reciprocal', 'peril', 'risk'")
@@ -440,7 +423,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def cell(r: object, c: int, text: F.Column) -> F.Column:
         r = r if isinstance(r, F.Column) else F.lit(r)
-        return F.struct(r.alias("RowTl"), F.lit(c).alias("ColTl"), (r + 1).alias("RowBr"), F.lit(c + 1).alias("ColBr"), text.alias("Text"), F.lit(99.0).alias("Confidence"))
+        return F.struct(r.alias("RowTl"), F.lit(c).alias("ColTl"), (r + 1).alias("RowBr"), F.lit(c + 1).alias("ColBr"), text.alias("Text"), F.lit(99.0 - c).alias("Confidence"))
 
     head = F.array(*(cell(0, c, F.lit(h)) for c, h in enumerate(("Part", "Quantity", "Flag", "Flag"))))
     body = F.flatten(F.transform("lines", lambda x, i: F.array(*(cell(i + 1, c, x[f]) for c, f in enumerate("abcd")))))
@@ -467,14 +450,47 @@ def grid_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("table_id", tables.grid_error(cells).alias("error"), tables.rows_of(F.col("Cells")).alias("n_rows"), tables.columns_of(F.col("Cells")).alias("n_columns"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), k AS (SELECT 'table' AS block_type, 0 AS i UNION ALL SELECT 'table_row', 1)
-SELECT block_type, CAST(sum(CASE WHEN i = 0 THEN 1 ELSE n + 1 END) AS BIGINT) AS n FROM t, k GROUP BY block_type""")
-def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records_sql(paged: bool) -> str:
+    labels = "CASE c WHEN 0 THEN 'Part' WHEN 1 THEN 'Quantity' WHEN 2 THEN 'Flag" + ("（第3列）" if paged else "") + "' ELSE 'Flag（第4列）' END"
+    between, digits = ("chr(10) || chr(10)", "2") if paged else ("chr(10)", "6")
+    return f"""WITH {_CELLS},
+body AS (SELECT table_id, r, '表格：T' || chr(10) || CASE r WHEN 0 THEN '表头：第1列=Part；第2列=Quantity；第3列=Flag；第4列=Flag' ELSE '第' || (r + 1) || '行：' || string_agg({labels} || '=' || text, '；' ORDER BY c) END AS text FROM cells GROUP BY table_id, r),
+conf AS (SELECT table_id, min(99.0 - c) AS low, round(avg(99.0 - c), {digits}) AS mean, count(*) AS n FROM cells GROUP BY table_id),
+named AS (SELECT table_id, 'doc_p' || lpad((table_id % 100 + 1)::VARCHAR, 3, '0') || '_t' || CASE WHEN table_id < 10 THEN '0' ELSE '' END || table_id AS name FROM conf)
+SELECT name AS chunk_id, 'table' AS block_type, NULL AS parent, sha256(string_agg(text, {between} ORDER BY r)) AS text_sha256, any_value(low)::DOUBLE AS low, any_value(mean)::DOUBLE AS mean, any_value(n)::INTEGER AS cells
+FROM body JOIN named USING (table_id) JOIN conf USING (table_id) GROUP BY name
+UNION ALL SELECT name || '_r' || CASE WHEN r < 9 THEN '0' ELSE '' END || (r + 1), 'table_row', name, sha256(text), low::DOUBLE, mean::DOUBLE, n::INTEGER FROM body JOIN named USING (table_id) JOIN conf USING (table_id)"""
+
+
+def _records(spark: SparkSession, sf_dir: str, paged: bool = False) -> DataFrame:
     t = _tables(spark, sf_dir).select(
         F.lit("doc").alias("doc_id"), F.lit("Doc").alias("doc_title"), (F.col("table_id") % 100).cast("int").alias("page_index"), F.lit(None).cast("string").alias("page_code"), F.lit("S").alias("section_path"),
         F.col("table_id").cast("int").alias("table_index"), F.lit("T").alias("table_title"), F.lit("p.png").alias("source_image"), "Cells",
     )
-    return tables.block_counts(tables.table_records(t))
+    return tables.table_records(t, paged)
+
+
+def _shown(records: DataFrame) -> DataFrame:
+    return records.select(
+        "chunk_id", "block_type", F.col("parent_table_chunk_id").alias("parent"), F.sha2("text", 256).alias("text_sha256"), F.col("ocr_confidence_min").alias("low"),
+        F.round("ocr_confidence_mean", 6).alias("mean"), F.col("table_cell_count").alias("cells"),
+    )
+
+
+@query(_records_sql(False))
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_records(spark, sf_dir))
+
+
+@query(_records_sql(True))
+def table_records_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_records(spark, sf_dir, True))
+
+
+@query("""WITH t AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), k AS (SELECT 'table' AS block_type, 0 AS i UNION ALL SELECT 'table_row', 1)
+SELECT block_type, CAST(sum(CASE WHEN i = 0 THEN 1 ELSE n + 1 END) AS BIGINT) AS n FROM t, k GROUP BY block_type""")
+def table_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.block_counts(_records(spark, sf_dir))
 
 
 _BOXES = """b AS (SELECT s_nationkey AS page, s_suppkey AS box_id, ((s_suppkey * 137) % 900)::DOUBLE AS x0, ((s_suppkey * 71) % 700)::DOUBLE AS y0, (((s_suppkey * 137) % 900) + 120)::DOUBLE AS x1, (((s_suppkey * 71) % 700) + 80)::DOUBLE AS y1 FROM supplier),
@@ -517,15 +533,20 @@ def image_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.match_images(images, found).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("""WITH a AS (SELECT item_id, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) || list_filter(string_split(t, ','), lambda v: false)) AS g
-  FROM (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM benchmark)),
-d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM documents))
-SELECT item_id, round(len(list_intersect(d.g, a.g))::DOUBLE / len(a.g), 9) AS containment FROM a JOIN d ON d.doc_id = a.item_id""".replace("\\\\", "\\"))
+_BARE = r"regexp_replace(lower(text), '\s+', '', 'g')"
+_MATCH = "list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) || list_filter(regexp_split_to_array(t, '[，、]'), lambda v: v <> ''))"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), a AS (SELECT item_id, {_MATCH} AS g FROM (SELECT item_id, {_BARE} AS t FROM benchmark)),
+d AS (SELECT doc_id, {_MATCH} AS g FROM (SELECT doc_id, {_BARE} AS t FROM documents))
+SELECT doc_id, item_id, round(len(list_intersect(d.g, a.g))::DOUBLE / len(a.g), 9) AS containment FROM d, n JOIN a ON a.item_id = d.doc_id % n.n""")
 def token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.regexp_replace(F.lower("text"), r"\s+", "")
-    a = _read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.ngrams(bare, 2)).alias("a"))
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.ngrams(bare, 2).alias("d"))
-    return a.join(d, "item_id").select("item_id", F.round(T.containment(F.col("d"), F.col("a")), 9).alias("containment"))
+    """How much of a benchmark item each document has, items dealt to documents in turn."""
+    items = _read(spark, sf_dir, "benchmark")
+    n = items.count()
+    a = items.select("item_id", T.match_tokens(F.col("text")).alias("a"))
+    d = _read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("item_id"), "text")
+    return d.join(a, "item_id").select("doc_id", "item_id", F.round(T.containment(T.match_tokens(F.col("text")), F.col("a")), 9).alias("containment"))
 
 
 @query("""WITH base AS (SELECT source AS doc, doc_id AS ord, doc_id // 40 AS page, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'table_row' ELSE 'paragraph' END AS block FROM documents),
@@ -569,13 +590,20 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"SELECT doc_id, sha256(v) AS normalized_sha256, CAST(length(v) AS INTEGER) AS n_chars FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS v FROM documents)")
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' signs have no compatibility forms, so that NFC, which the SQL has, gives the same."""
     form = T.normalize_text(F.col("text"))
     return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(form, 256).alias("normalized_sha256"), F.char_length(form).alias("n_chars"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (
+  SELECT doc_id, -1 AS piece, '' AS text, text AS rest FROM documents
+  UNION ALL SELECT doc_id, piece + 1, left(rest, cut), substring(rest, cut + 1) FROM (
+    SELECT *, CASE WHEN length(rest) <= 900 THEN length(rest) WHEN last > 0 THEN last ELSE 900 END AS cut FROM (
+      SELECT *, greatest(0, (SELECT max(901 - strpos(reverse(left(rest, 900)), m)) FILTER (WHERE strpos(left(rest, 900), m) > 0) FROM (VALUES ('。'), ('！'), ('？'), ('；'), (chr(10))) v(m))) AS last
+      FROM p WHERE rest <> '')))
+SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256 FROM p WHERE piece >= 0""")
 def long_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_long(F.col("text"))).alias("piece", "text"))
     return pieces.select("doc_id", "piece", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
