@@ -190,7 +190,11 @@ def mix_sources(
     block = F.floor(at / block_rows).cast("long")
     slot = F.floor(block / share).cast("long") * F.col("__mx_plan_period") + F.get(F.col("__mx_plan_offsets"), (block % share).cast("int"))
     index = (at % block_rows).cast("int").alias("mix_index")
-    placed = _numbered(hashed.join(F.broadcast(plan), F.col(_KEY) == F.col("__mx_plan_key")))
+    # The slots are joined after the shuffle, so that rows do not carry them through it.
+    bits = plan.select("__mx_plan_key", "__mx_plan_bits")
+    slots = plan.select(F.col("__mx_plan_key").alias("__mx_slots_key"), "__mx_plan_period", "__mx_plan_offsets")
+    numbered = _numbered(hashed.join(F.broadcast(bits), F.col(_KEY) == F.col("__mx_plan_key")))
+    placed = numbered.join(F.broadcast(slots), F.col(_KEY) == F.col("__mx_slots_key"))
     if n_all == len(counts):
         return placed.select(*others, slot.cast("long").alias("mix_slot"), index)
     rest = sizes.join(F.broadcast(plan.select(F.col("__mx_plan_key").alias("key"))), "key", "left_anti")
