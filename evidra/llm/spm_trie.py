@@ -32,10 +32,10 @@ from .staging import small_batches
 MARK = "▁"
 PLAIN = "\x01"
 #: Words kept with their ids by each Python worker, between batches.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 #: Checked pairs of pieces kept likewise.
-MEMO_PAIRS = 600_000
-SLICE_CHARS = 3_000_000
+MEMO_PAIRS = 200_000
+SLICE_CHARS = 1_000_000
 _UNIGRAM, _BPE = 1, 2
 #: Score of a character outside the vocabulary, for unigram models.
 OUTSIDE = -1e4
