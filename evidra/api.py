@@ -7,17 +7,20 @@ an ``ingest_failed`` audit row, and is raised.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import shutil
-from collections.abc import Sequence
-from dataclasses import dataclass
+import warnings
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
 from .functions.nodes import build_nodes, indexable, metadata_json
-from .operators import diff, retrieval
+from .operators import diff, retrieval, terminology
 from .operators.registry import Registry
 from .operators.snapshot import SnapshotStore, safe_name
 from .sources.connectors import encode_column
@@ -29,6 +32,7 @@ class SourceInput:
     id: str
     path: str
     kind: str
+    provenance: Mapping[str, object] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -41,11 +45,25 @@ class IngestRequest:
     version_label: str
     chunks: SourceInput
     citation: SourceInput
+    published_at: str | None = None
+    title_zh: str | None = None
+    publisher: str | None = None
+
+
+@dataclass(frozen=True)
+class GlossarySource:
+    """Where a base's glossary comes from: the active versions of some guidelines, with seeds and reviewed pairs (english, chinese)."""
+
+    path: str
+    guideline_ids: tuple[str, ...]
+    seeds: DataFrame
+    reviewed: DataFrame
 
 
 class EvidenceBase:
-    def __init__(self, spark: SparkSession, registry_root: str, snapshot_root: str, managed_root: str, encoder: object, profile: dict, glossary: dict[str, Sequence[str]] | None = None) -> None:
+    def __init__(self, spark: SparkSession, registry_root: str, snapshot_root: str, managed_root: str, encoder: object, profile: dict, glossary: Mapping[str, Sequence[str]] | GlossarySource | None = None) -> None:
         self.spark, self.encoder, self.glossary = spark, encoder, glossary or {}
+        self._mined: tuple[tuple[str, ...], Mapping[str, Sequence[str]]] | None = None
         self.registry = Registry(spark, registry_root)
         self.snapshots = SnapshotStore(spark, snapshot_root, profile)
         self.managed_root = managed_root.rstrip("/")
@@ -67,6 +85,8 @@ class EvidenceBase:
         known = self.registry.table("guideline").where(F.col("id") == r.guideline_id).limit(1).collect()
         if known and (known[0]["language"], known[0]["authority_level"]) != (r.language, r.authority_level):
             raise ValueError("the guideline is registered with another language or authority level")
+        if not known and not r.title.strip():
+            raise ValueError("a new guideline needs a title")
 
     def _copy(self, r: IngestRequest, s: SourceInput, actor: str) -> str:
         folder = os.path.join(self.managed_root, r.guideline_id, r.version_id)
@@ -81,7 +101,7 @@ class EvidenceBase:
             raise OSError(f"managed file {target} differs from its source")
         self.registry.add_source_file(
             actor, id=s.id, document_version_id=r.version_id, source_kind=s.kind, original_path=s.path, managed_path=target, sha256=digest,
-            byte_size=os.path.getsize(target), provenance_json="{}",
+            byte_size=os.path.getsize(target), provenance_json=json.dumps(s.provenance, ensure_ascii=False, sort_keys=True),
         )
         return target
 
@@ -90,9 +110,9 @@ class EvidenceBase:
         self._check(r)
         reg = self.registry
         if reg.table("guideline").where(F.col("id") == r.guideline_id).isEmpty():
-            reg.create_guideline(actor, id=r.guideline_id, title=r.title, language=r.language, authority_level=r.authority_level)
+            reg.create_guideline(actor, id=r.guideline_id, title=r.title, language=r.language, authority_level=r.authority_level, title_zh=r.title_zh, publisher=r.publisher)
         active = reg.versions().where((F.col("guideline_id") == r.guideline_id) & (F.col("status") == "active")).select("id").limit(1).collect()
-        reg.create_draft_version(actor, id=r.version_id, guideline_id=r.guideline_id, version_label=r.version_label)
+        reg.create_draft_version(actor, id=r.version_id, guideline_id=r.guideline_id, version_label=r.version_label, published_at=r.published_at)
         try:
             path = self._copy(r, r.chunks, actor)
             self._copy(r, r.citation, actor)
@@ -153,7 +173,27 @@ class EvidenceBase:
             nodes = one if nodes is None else nodes.unionByName(one)
         if nodes is None:
             raise ValueError("no version to search")
-        return retrieval.search(nodes, resolved, request, self.encoder, self.glossary)
+        return retrieval.search(nodes, resolved, request, self.encoder, self.terms())
+
+    def terms(self) -> Mapping[str, Sequence[str]]:
+        """The glossary that searches use. A mined one is kept while its active versions stay the same; if it can't be read or mined, the seeds are used."""
+        source = self.glossary
+        if not isinstance(source, GlossarySource):
+            return source
+        active = self.registry.versions().where((F.col("status") == "active") & F.col("guideline_id").isin(list(source.guideline_ids)))
+        ids = tuple(sorted(r["id"] for r in active.select("id").collect()))
+        if self._mined and self._mined[0] == ids and self._mined[1]:
+            return self._mined[1]
+        chunks = self.registry.table("raw_chunk").limit(0)
+        for v in ids:
+            chunks = chunks.unionByName(self.registry.version_chunks(v).select(*schema.RAW_CHUNK.names))
+        try:
+            found = terminology.load_or_mine(self.spark, source.path, chunks, ids, source.seeds, source.reviewed)
+        except (OSError, ValueError, TypeError, PySparkException) as e:
+            warnings.warn(f"the glossary can't be built, seeds are used: {e}", stacklevel=2)
+            found = terminology.seed_terms(source.seeds)
+        self._mined = ids, found
+        return found
 
     def guidelines(self) -> DataFrame:
         return self.registry.guideline_listing()

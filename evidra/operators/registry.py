@@ -8,6 +8,7 @@ the folders of all commits, so table size never meets the driver; the number of
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Callable, Sequence
@@ -304,8 +305,11 @@ class Registry:
 
         self.commit(make)
 
-    def rebase_paths(self, actor: str, old_root: str) -> int:
-        """Absolute paths under ``old_root`` become relative to it, all in one commit; a second call changes nothing."""
+    def rebase_paths(self, actor: str, old_root: str, new_root: str | None = None) -> int:
+        """Absolute paths under ``old_root`` become relative to it, all in one commit; a second call changes nothing.
+
+        With ``new_root``, where relative paths are looked up from now on, each path must exist there, else nothing changes.
+        """
         prefix = old_root.rstrip("/") + "/"
         files = self.table("source_file")
         moved = files.where(F.col("managed_path").startswith(prefix))
@@ -313,6 +317,14 @@ class Registry:
         versions = [v for v in self.versions().where(F.col("snapshot_path").startswith(prefix)).collect()]
         if not n and not versions:
             return 0
+        if new_root is not None:
+            paths = itertools.chain((r["managed_path"] for r in moved.select("managed_path").toLocalIterator()), (v["snapshot_path"] for v in versions))
+            jvm = self.spark.sparkContext._jvm
+            top = jvm.org.apache.hadoop.fs.Path(new_root)
+            fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for path in paths:
+                if not fs.exists(jvm.org.apache.hadoop.fs.Path(top, path[len(prefix) :])):
+                    raise FileNotFoundError(f"{path} does not exist below {new_root}")
 
         def make(seq: int):
             out: dict[str, DataFrame] = {"audit_event": self._audit(actor, "paths_rebased", "registry", ["registry"], {"path_count": n + len(versions)})}

@@ -193,6 +193,11 @@ def rectangle(points: Column) -> Column:
     return F.when((F.size(points) >= 2) & (F.array_max(xs) > F.array_min(xs)) & (F.array_max(ys) > F.array_min(ys)), box)
 
 
+def detection_error(detection: Column) -> Column:
+    """What is wrong with a detection: its grid, or corners that make no box; null if it is a table."""
+    return F.coalesce(grid_error(detection["Cells"]), F.when(rectangle(detection["TableCoordPoint"]).isNull(), "table has no bounds"))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Common area as a share of the smaller box; null if one is."""
     w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))

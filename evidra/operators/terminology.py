@@ -8,6 +8,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,7 +316,7 @@ def load_or_mine(
         cached = None
     if cached and cached["schema"] == CACHE_VERSION and cached["fingerprint"] == mark and cached["terms"]:
         terms = {k: list(v) for k, v in cached["terms"].items()}
-        if len(terms) == cached["term_count"] and payload_digest(terms) == cached["digest"]:
+        if len(terms) == cached["term_count"] and payload_digest(terms) == cached["digest"] and _audited(spark, path, mark, terms, reviewed.unionByName(seeds)):
             return terms
     glossary, rejected = mine_glossary(chunks, seeds, reviewed)
     if faults := audit(glossary, reviewed.unionByName(seeds)).limit(5).collect():
@@ -324,4 +325,34 @@ def load_or_mine(
     row = [(CACHE_VERSION, mark, len(terms), payload_digest(terms), terms)]
     spark.createDataFrame(row, "schema int, fingerprint string, term_count int, digest string, terms map<string,array<string>>").coalesce(1).write.mode("overwrite").json(path + "/cache")
     rejected.write.mode("overwrite").json(path + "/rejected")
+    told = {"fingerprint": mark, "accepted": _unique_pairs(terms), "rejected": spark.read.text(path + "/rejected").count()}
+    spark.createDataFrame([(*told.values(), payload_digest(told))], AUDIT_FILE).coalesce(1).write.mode("overwrite").json(path + "/audit")
     return terms
+
+
+AUDIT_FILE = "fingerprint string, accepted int, rejected int, digest string"
+
+
+def seed_terms(seeds: DataFrame) -> dict[str, list[str]]:
+    """Seeds as a glossary of both directions."""
+    return {r["term"]: list(r["aliases"]) for r in group_aliases(seeds.select("english", "chinese")).collect()}  # written by hand, so small
+
+
+def _unique_pairs(terms: Mapping[str, Sequence[str]]) -> int:
+    """Unordered pairs of a glossary, case folded."""
+    return len({frozenset((k.casefold(), a.casefold())) for k, v in terms.items() for a in v})
+
+
+def _audited(spark: SparkSession, path: str, mark: str, terms: Mapping[str, Sequence[str]], trusted: DataFrame) -> bool:
+    """Whether the audit beside a cached glossary is that of this glossary, its rejected candidates are all there, and the glossary still passes."""
+    try:
+        rows = spark.read.json(path + "/audit", schema=AUDIT_FILE).collect()
+        rejected = spark.read.text(path + "/rejected").count()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+    told = {"fingerprint": mark, "accepted": _unique_pairs(terms), "rejected": rejected}
+    if [tuple(r) for r in rows] != [(*told.values(), payload_digest(told))]:
+        return False
+    return audit(spark.createDataFrame(list(terms.items()), "term string, aliases array<string>"), trusted).isEmpty()

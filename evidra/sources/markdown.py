@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..schema import OCR_PAYLOAD
 
 PAGE_MARK = r"(?m)^## PDF page (\d+)\s*$"
@@ -44,3 +45,14 @@ def parse_payload(json: Column) -> Column:
 def valid_detections(payload: Column) -> Column:
     """Detections of the types 1 and 2, which are the ones with a table grid."""
     return F.filter(F.coalesce(payload["TableDetections"], F.array()), lambda d: d["Type"].isin("1", "2"))
+
+
+def strict_detections(json: Column) -> Column:
+    """Detections whose type is the number 1 or 2, of an answer that is not wrapped; null without a list of detections.
+
+    A type that is a text doesn't count here. ``operators.tables.detection_error`` tells what else is wrong with one.
+    """
+    listed = F.try_variant_get(F.try_parse_json(json), "$.TableDetections", "array<variant>")
+    kinds = F.transform(listed, lambda d: F.schema_of_variant(F.try_variant_get(d, "$.Type", "variant")))
+    whole = F.from_json(json, OCR_PAYLOAD)["TableDetections"]
+    return F.when(listed.isNotNull(), let(kinds, lambda known: F.filter(whole, lambda d, i: (F.get(known, i) == "BIGINT") & d["Type"].isin("1", "2"))))
