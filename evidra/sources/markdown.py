@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from ..schema import OCR_PAYLOAD
 
-PAGE_MARK = r"(?m)^## PDF page (\d+)\s*$"
+#: The mark's own line only: blank lines after it belong to the page. Lines end with \\n alone, as in Python.
+PAGE_MARK = r"(?md)^## PDF page (\d+)[^\S\n]*$"
 
 
 def split_pages(text: Column) -> Column:
