@@ -228,8 +228,8 @@ def boxes_without_table(boxes: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def reading_order(tables: DataFrame) -> DataFrame:
-    """``tables`` with its place among those of its page and box, from the top and then from the left."""
-    order = Window.partitionBy("page", "box_id").orderBy(F.col("rect.y0"), F.col("rect.x0"))
+    """``tables`` with its place among those of its page and box, from the top and then from the left; at one place the smaller id comes first."""
+    order = Window.partitionBy("page", "box_id").orderBy(F.col("rect.y0"), F.col("rect.x0"), "table_id")
     return tables.withColumn("ord", F.row_number().over(order))
 
 
