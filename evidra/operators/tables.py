@@ -210,16 +210,22 @@ def match_boxes(boxes: DataFrame, tables: DataFrame, least: float = MATCH_BOX) -
     """Tables with the box of their page that they lie in: (page, table_id, box_id, ratio, status).
 
     ``boxes`` has (page, box_id, box), ``tables`` (page, table_id, rect). The status is matched, unmatched (no box overlaps
-    enough) or ambiguous (several are as good). Pages are joined by equality; a page has a handful of boxes.
+    enough) or ambiguous (several are as good). Pages are joined by equality. Boxes and tables at one place count once in the
+    join, with the number of boxes there, and only pairs that overlap enough go on from it.
     """
-    scored = tables.join(boxes, "page", "left").withColumn("ratio", overlap(F.col("box"), F.col("rect")))
-    of_table = Window.partitionBy("page", "table_id")
-    ranked = scored.withColumn("best", F.max("ratio").over(of_table)).withColumn("n", F.count_if(F.abs(F.col("ratio") - F.col("best")) <= TIE).over(of_table))
-    first = F.row_number().over(of_table.orderBy(F.desc_nulls_last("ratio"), "box_id")) == 1
+    places = boxes.groupBy("page", "box").agg(F.count(F.lit(1)).alias("n"), F.min("box_id").alias("box_id"))
+    pairs = tables.select("page", "rect").distinct().join(places, "page").withColumn("ratio", overlap(F.col("box"), F.col("rect"))).where(F.col("ratio") >= least - 2 * TIE)
+    of_place, of_table = Window.partitionBy("page", "rect"), Window.partitionBy("page", "table_id")
+    near = pairs.withColumn("best", F.max("ratio").over(of_place)).where(F.col("best") - F.col("ratio") <= TIE)
+    found = near.groupBy("page", "rect").agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.min_by("box_id", F.struct(-F.col("ratio"), "box_id")).alias("box_id"))
+    whole = tables.select("page", "table_id", "rect").join(found, ["page", "rect"], "left").withColumn("top", F.max("best").over(of_table))
     good = F.coalesce(F.col("best") >= least, F.lit(False))
+    each = whole.groupBy("page", "table_id").agg(
+        F.max("best").alias("best"), F.sum(F.when(F.col("top") - F.col("best") <= TIE, F.col("n"))).alias("n"), F.min_by("box_id", F.struct(-F.col("best"), "box_id")).alias("box_id")
+    )
     status = F.when(~good, "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched")
-    return ranked.withColumn("first", first).where("first").select(
-        "page", "table_id", F.when(good & (F.col("n") == 1), F.col("box_id")).alias("box_id"), F.when(good, F.col("ratio")).alias("ratio"), status.alias("status")
+    return each.select(
+        "page", "table_id", F.when(good & (F.col("n") == 1), F.col("box_id")).alias("box_id"), F.when(good, F.col("best")).alias("ratio"), status.alias("status")
     )
 
 
