@@ -243,16 +243,21 @@ def match_images(images: DataFrame, tables: DataFrame, least: float = MATCH_IMAG
     """Tables with the image of their page that covers most of their height: (page, table_index, image_id, ratio, matched).
 
     ``images`` has (page, image_id, top, bottom), ``tables`` (page, table_id, top, bottom). The ratio divides by the smaller height, so a
-    table larger than its image still matches. Of images as good the upper one is taken; tables are numbered from the top.
+    table larger than its image still matches. Of images as good the upper one is taken; tables are numbered from the top. Images and
+    tables at one height count once in the join.
     """
     number = F.row_number().over(Window.partitionBy("page").orderBy("top", "table_id"))
     t = tables.select("page", "table_id", number.alias("table_index"), F.col("top").alias("t0"), F.col("bottom").alias("t1"))
+    places = images.groupBy("page", "top", "bottom").agg(F.min("image_id").alias("image_id"))
     height = F.greatest(F.lit(0), F.least("t1", "bottom") - F.greatest("t0", "top"))
-    scored = t.join(images, "page", "left").withColumn("ratio", height / F.least(F.col("t1") - F.col("t0"), F.col("bottom") - F.col("top")))
-    first = F.row_number().over(Window.partitionBy("page", "table_id").orderBy(F.desc_nulls_last("ratio"), "top", "image_id")) == 1
-    return scored.withColumn("first", first).where("first").select(
-        "page", "table_id", "table_index", "image_id", "ratio", F.coalesce(F.col("ratio") >= least, F.lit(False)).alias("matched")
-    )
+    ratio = height / F.least(F.col("t1") - F.col("t0"), F.col("bottom") - F.col("top"))
+    scored = t.select("page", "t0", "t1").distinct().join(places, "page").withColumn("ratio", ratio)
+    rank = F.struct(F.col("ratio").isNull(), -F.col("ratio"), "top", "image_id")
+    found = scored.groupBy("page", "t0", "t1").agg(F.min_by(F.struct("image_id", "ratio", "top"), rank).alias("i")).select("page", "t0", "t1", "i.*")
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("page", "t0", "t1")]
+    whole = t.alias("t").join(found.alias("f"), same, "left").select("t.page", "table_id", "table_index", "image_id", "ratio", "top")
+    each = whole.groupBy("page", "table_id").agg(F.min_by(F.struct("table_index", "image_id", "ratio"), rank).alias("i"))
+    return each.select("page", "table_id", "i.*", F.coalesce(F.col("i.ratio") >= least, F.lit(False)).alias("matched"))
 
 
 def assign_contexts(scores: DataFrame) -> DataFrame:

@@ -38,3 +38,65 @@ def test_query_gives_the_rows_of_its_sql_over_odd_texts(spark, odd, name):
 def test_reading_order_of_tables_at_one_place_is_by_their_id(spark):
     t = spark.range(0, 400, 1, 7).select(F.lit(1).alias("page"), F.lit(1).alias("box_id"), (F.lit(399) - F.col("id")).alias("table_id"), F.struct(F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0")).alias("rect"))
     assert all(r.ord == r.table_id + 1 for r in tables.reading_order(t).collect())
+
+
+def _share(a, b):
+    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return w * h / min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+
+
+def _rows_of_joins(df):
+    """Rows that each join of the executed plan makes."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if "AdaptiveSparkPlan" in p.nodeName():
+            return walk(p.executedPlan())
+        if "QueryStage" in p.nodeName():
+            return walk(p.plan())
+        if "Join" in p.nodeName():
+            out.append(p.metrics().apply("numOutputRows").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return out
+
+
+def _boxes(spark, rng, n, places):
+    at = [(x := rng.randrange(300), y := rng.randrange(300), x + rng.choice([20, 40]), y + rng.choice([20, 30])) for _ in range(places)]
+    own = [(rng.randrange(2), i, tuple(map(float, rng.choice(at)))) for i in range(n)]
+    return own, spark.createDataFrame(own, "page int, id int, b struct<x0:double,y0:double,x1:double,y1:double>").withColumnRenamed("b", "box")
+
+
+def test_boxes_at_few_places_are_matched_place_by_place(spark):
+    rng = random.Random(5)
+    boxes, b = _boxes(spark, rng, 300, 25)
+    found, t = _boxes(spark, rng, 300, 25)
+    extra = boxes[:40]  # tables that lie in a box wholly, and one without a place
+    found += [(p, 1000 + i, r) for p, i, r in extra] + [(0, 5000, None)]
+    t = spark.createDataFrame(found, "page int, table_id int, rect struct<x0:double,y0:double,x1:double,y1:double>")
+    out = tables.match_boxes(b.withColumnRenamed("id", "box_id"), t)
+    want = {}
+    for p, i, r in found:
+        shares = [(_share(q, r), k) for o, k, q in boxes if o == p and r]
+        best = max(shares, default=(0, 0))[0]
+        near = [k for s, k in shares if abs(s - best) <= tables.TIE]
+        want[p, i] = (None, "unmatched") if best < 0.7 else (near[0], "matched") if len(near) == 1 else (None, "ambiguous")
+    assert {(r.page, r.table_id): (r.box_id, r.status) for r in out.collect()} == want
+    assert len(set(s for _, s in want.values())) > 1 and max(_rows_of_joins(out)) < 10_000  # 50,000 pairs
+
+
+def test_images_at_few_heights_are_matched_height_by_height(spark):
+    rng = random.Random(6)
+    images = [(rng.randrange(2), i, t := rng.randrange(0, 300, 15), t + rng.choice([20, 40])) for i in range(300)]
+    found = [(rng.randrange(3), i, t := rng.randrange(0, 400, 15), t + rng.choice([20, 30])) for i in range(300)]
+    out = tables.match_images(spark.createDataFrame(images, "page int, image_id int, top int, bottom int"), spark.createDataFrame(found, "page int, table_id int, top int, bottom int"))
+    want = {}
+    for p, i, t0, t1 in found:
+        scored = [(-max(0, min(t1, b) - max(t0, t)) / min(t1 - t0, b - t), t, k) for o, k, t, b in images if o == p]
+        index = sorted((y, j) for q, j, y, _ in found if q == p).index((t0, i)) + 1
+        want[p, i] = (index, min(scored)[2], -min(scored)[0]) if scored else (index, None, None)
+    assert {(r.page, r.table_id): (r.table_index, r.image_id, r.ratio) for r in out.collect()} == want
+    assert max(_rows_of_joins(out)) < 10_000
