@@ -340,7 +340,10 @@ def block_counts(records: DataFrame) -> DataFrame:
 
 
 def orphan_rows(records: DataFrame) -> DataFrame:
-    """Table rows without their table, and tables without rows."""
-    tables = records.where("block_type = 'table'").select(F.col("chunk_id").alias("t"))
-    rows = records.where("block_type = 'table_row'").select(F.col("parent_table_chunk_id").alias("t")).distinct()
-    return rows.join(tables, "t", "left_anti").withColumn("side", F.lit("row")).unionByName(tables.join(rows, "t", "left_anti").withColumn("side", F.lit("table")))
+    """Table rows without their table, and tables without rows; each id is met once, with how many tables and rows it has."""
+    is_table = F.col("block_type") == "table"
+    some = records.where("block_type in ('table', 'table_row')").select(F.when(is_table, F.col("chunk_id")).otherwise(F.col("parent_table_chunk_id")).alias("t"), is_table.alias("table"))
+    ids = some.groupBy("t").agg(F.count_if("table").alias("tables"), F.count_if(~F.col("table")).alias("rows"))
+    alone = ids.where("t is null or tables = 0 or rows = 0")  # an id that is null meets none
+    sides = F.concat(F.array_repeat(F.lit("row"), F.least("rows", F.lit(1)).cast("int")), F.array_repeat(F.lit("table"), F.col("tables").cast("int")))
+    return alone.select("t", F.explode(sides).alias("side"))
