@@ -241,11 +241,13 @@ def clean_title(text: Column) -> Column:
 
 
 def inline_text(text: Column, joined: bool = True) -> Column:
-    """A cell's text in one line (``joined``), or with its newlines made uniform and its ends trimmed."""
+    """A cell's text in one line (``joined``), or with its newlines made uniform and its ends trimmed. Without white space it stays."""
     if joined:
         lines = F.transform(F.split(text, "\r\n|\n|\r"), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
-        return F.array_join(F.filter(lines, lambda v: v != ""), " ")
-    return F.regexp_replace(F.regexp_replace(text, "\r\n|\r", "\n"), r"(?U)^\s+|\s+$", "")
+        line = F.array_join(F.filter(lines, lambda v: v != ""), " ")
+    else:
+        line = F.regexp_replace(F.regexp_replace(text, "\r\n|\r", "\n"), r"(?U)^\s+|\s+$", "")
+    return F.when(text.rlike(r"(?U)\s"), line).otherwise(text)
 
 
 def text_digest(order: Column, text: Column) -> Column:

@@ -19,25 +19,54 @@ MATCH_BOX, MATCH_IMAGE, TIE = 0.70, 0.8, 1e-9
 
 
 def rows_of(cells: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(cells, lambda c: c["RowBr"])), F.lit(0))
+    return F.coalesce(F.array_max(cells["RowBr"]), F.lit(0))
 
 
 def columns_of(cells: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(cells, lambda c: c["ColBr"])), F.lit(0))
+    return F.coalesce(F.array_max(cells["ColBr"]), F.lit(0))
 
 
 def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def covering(cells: Column, r: Column, c: Column) -> Column:
-    """The cells that cover a grid place."""
-    return F.filter(cells, lambda x: (x["RowTl"] <= r) & (x["RowBr"] > r) & (x["ColTl"] <= c) & (x["ColBr"] > c))
+def _plain(cells: Column, columns: Column) -> Column:
+    """Whether the cells fill a grid row by row, each one place; their order then tells a place's cell."""
+
+    def elsewhere(x: Column, i: Column) -> Column:
+        at = x["RowTl"].cast("long") * columns + x["ColTl"]
+        one = (at == i) & (x["ColTl"] >= 0) & (x["ColTl"] < columns) & (x["RowBr"] == x["RowTl"] + 1) & (x["ColBr"] == x["ColTl"] + 1)
+        return ~F.coalesce(one, F.lit(False))
+
+    return (F.size(cells) == rows_of(cells).cast("long") * columns) & (F.size(F.filter(cells, elsewhere)) == 0)
 
 
 def occupancy(cells: Column) -> Column:
-    """array<array<cell>>: the cell at each place of the grid, null where there is none."""
-    return F.transform(_upto(rows_of(cells)), lambda r: F.transform(_upto(columns_of(cells)), lambda c: F.get(covering(cells, r, c), F.lit(0))))
+    """array<array<cell>>: the cell at each place of the grid, null where there is none; the first of several."""
+
+    def places(of_row: Column, columns: Column) -> Column:
+        covers = lambda c: F.filter(of_row, lambda x: (x["ColTl"] <= c) & (x["ColBr"] > c))
+        return F.transform(_upto(columns), lambda c: F.get(covers(c), F.lit(0)))
+
+    def grid(columns: Column) -> Column:
+        rows = _upto(rows_of(cells))
+        by_row = F.transform(rows, lambda r: let(F.filter(cells, lambda x: (x["RowTl"] <= r) & (x["RowBr"] > r)), lambda own: places(own, columns)))
+        return F.when(_plain(cells, columns), F.transform(rows, lambda r: F.slice(cells, r * columns + 1, columns))).otherwise(by_row)
+
+    return let(columns_of(cells), grid)
+
+
+def _held(cells: Column) -> Column:
+    """How many places of the grid have a cell."""
+
+    def at(columns: Column) -> Column:
+        def places(x: Column) -> Column:
+            across = F.sequence(x["ColTl"], x["ColBr"] - 1)
+            return F.flatten(F.transform(F.sequence(x["RowTl"], x["RowBr"] - 1), lambda r: F.transform(across, lambda c: r.cast("long") * columns + c)))
+
+        return F.when(_plain(cells, columns), F.size(cells)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(cells, places)))))
+
+    return let(columns_of(cells), at)
 
 
 def grid_error(cells: Column) -> Column:
@@ -46,14 +75,13 @@ def grid_error(cells: Column) -> Column:
     low = F.exists(cells, lambda x: (x["RowTl"] < 0) | (x["ColTl"] < 0))
     flat = F.exists(cells, lambda x: (x["RowBr"] <= x["RowTl"]) | (x["ColBr"] <= x["ColTl"]))
     area = F.aggregate(cells, F.lit(0), lambda s, x: s + (x["RowBr"] - x["RowTl"]) * (x["ColBr"] - x["ColTl"]))
-    held = F.size(F.filter(F.flatten(occupancy(cells)), lambda x: x.isNotNull()))
     return (
         F.when(cells.isNull() | (F.size(cells) == 0), "table has no cells")
         .when(bad, "cell coordinates must be integers")
         .when(low, "cell coordinates must not be negative")
         .when(flat, "cell spans must be positive")
         .when(F.exists(cells, lambda x: x["Text"].isNull()), "cell text must be a string")
-        .when(area != held, "table cells overlap")
+        .when(area != _held(cells), "table cells overlap")
     )
 
 
@@ -172,15 +200,15 @@ def table_records(tables: DataFrame, paged: bool = False, prefix: str | None = N
         "source_image", F.array_min(confidences).alias("ocr_confidence_min"), (F.round(mean, 2) if paged else mean).alias("ocr_confidence_mean"),
         row_texts(F.col("Cells"), F.col("table_title"), paged).alias("_rows"),
     )
-    parent = F.struct(F.lit(0).alias("row"), F.array_join("_rows", "\n\n" if paged else "\n").alias("text"))
-    children = F.transform("_rows", lambda t, i: F.struct((i + 1).alias("row"), t.alias("text")))
-    each = base.withColumn("_r", F.explode(F.concat(F.array(parent), children)))
-    row = F.nullif(F.col("_r.row"), F.lit(0))
+    # Numbers are exploded, not texts: whoever doesn't read the texts doesn't make them. Before a plain explode Spark would filter by the array, made anew.
+    each = base.withColumn("_r", F.explode_outer(F.sequence(F.lit(0), F.greatest("table_row_count", F.lit(0)))))
+    row = F.nullif(F.col("_r"), F.lit(0))
+    text = F.when(row.isNull(), F.array_join("_rows", "\n\n" if paged else "\n")).otherwise(F.get("_rows", row - 1))
     return each.select(
         F.when(row.isNull(), F.col("table_id")).otherwise(F.format_string("%s_r%02d", F.col("table_id"), row)).alias("chunk_id"),
         *(c for c in base.columns if c != "_rows"),
         F.when(row.isNull(), "table").otherwise("table_row").alias("block_type"),
-        F.col("_r.text").alias("text"),
+        text.alias("text"),
         row.alias("table_row_index"),
         F.when(row.isNotNull(), F.col("table_id")).alias("parent_table_chunk_id"),
     )

@@ -100,3 +100,31 @@ def test_images_at_few_heights_are_matched_height_by_height(spark):
         want[p, i] = (index, min(scored)[2], -min(scored)[0]) if scored else (index, None, None)
     assert {(r.page, r.table_id): (r.table_index, r.image_id, r.ratio) for r in out.collect()} == want
     assert max(_rows_of_joins(out)) < 10_000
+
+
+def test_grids_of_any_shape_equal_a_plain_search(spark):
+    rng = random.Random(7)
+    made = [[(r, c, r + 1, c + 1, f"{r}.{c}", None) for r in range(3) for c in range(2)], []]
+    made.append(made[0][::-1])  # all places, not in order
+    for _ in range(60):
+        made.append([(r := rng.randrange(4), c := rng.randrange(4), r + rng.randint(1, 2), c + rng.randint(1, 3), str(i), None) for i in range(rng.randint(1, 9))])
+    cells = "array<struct<RowTl:int,ColTl:int,RowBr:int,ColBr:int,Text:string,Confidence:double>>"
+    got = spark.createDataFrame(list(enumerate(made)), f"i int, Cells {cells}").select("i", F.transform(tables.occupancy(F.col("Cells")), lambda r: F.transform(r, lambda x: x["Text"])).alias("g"), tables.grid_error(F.col("Cells")).alias("e"))
+    for x in got.collect():
+        own = made[x.i]
+        rows_, columns = max((v[2] for v in own), default=0), max((v[3] for v in own), default=0)
+        want = [[next((v[4] for v in own if v[0] <= r < v[2] and v[1] <= c < v[3]), None) for c in range(columns)] for r in range(rows_)]
+        assert x.g == want
+        over = sum((v[2] - v[0]) * (v[3] - v[1]) for v in own) != sum(t is not None for r in want for t in r)
+        assert x.e == ("table has no cells" if not own else "table cells overlap" if over else None)
+
+
+def test_counting_records_makes_no_texts_and_orphans_meet_once(spark):
+    df = spark.createDataFrame([(1, [(0, 0, 1, 1, "a", 1.0)])], "k int, Cells array<struct<RowTl:int,ColTl:int,RowBr:int,ColBr:int,Text:string,Confidence:double>>")
+    made = df.select(*(F.lit("d").alias(c) for c in ("doc_id", "doc_title", "page_code", "section_path", "table_title", "source_image")), F.lit(0).alias("page_index"), F.lit(1).alias("table_index"), "Cells")
+    counts = tables.block_counts(tables.table_records(made))
+    assert "表头" not in counts._jdf.queryExecution().optimizedPlan().toString() and {r.block_type: r.n for r in counts.collect()} == {"table": 1, "table_row": 1}
+    some = spark.createDataFrame([("table", "a", None), ("table", "a", None), ("table_row", "b1", "b"), ("table_row", "b2", "b"), ("table", "c", None), ("table_row", "c1", "c"), ("table", None, None), ("table_row", "x", None), ("text", "z", None)], "block_type string, chunk_id string, parent_table_chunk_id string")
+    out = tables.orphan_rows(some)
+    assert sorted((r.t or "", r.side) for r in out.collect()) == [("", "row"), ("", "table"), ("a", "table"), ("a", "table"), ("b", "row")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
