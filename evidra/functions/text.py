@@ -10,7 +10,7 @@ from functools import lru_cache, reduce
 from string import ascii_lowercase
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -62,6 +62,27 @@ def ngrams(run: Column, n: int) -> Column:
     return let(F.filter(F.split(run, ""), lambda c: c != ""), cut)
 
 
+#: A word with the blank behind it, of at most 31 code points, and the two code points that follow (group 1).
+_WITH_NEXT = r"(?s)(?=(([^ ]{0,30} |[^ ]{1,31})..))\2"
+
+
+def ngram_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(gram, n): how often each run of two and of three code points stands in the texts.
+
+    Texts are cut to words, each with the two code points after it, so that every run of three lies in one of them; equal words are
+    counted first, their inside and the four code points around their end again, and these are cut to runs once. The runs of two are the heads of the runs of three and the end of each text.
+    """
+    whole = F.regexp_extract_all(text, F.lit(_WITH_NEXT), 1)
+    ends = F.when(F.char_length(text) >= 2, F.array(F.right(F.col(text), F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    parts = df.select(F.explode_outer(F.concat(whole, ends)).alias("part")).where("part is not null").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    size, part = F.char_length("part"), F.col("part")
+    inside = F.when(size >= 5, F.array(F.left(part, size - 2), F.right(part, F.lit(4)))).otherwise(F.array(F.right(part, F.lit(4))))
+    parts = parts.select("n", F.explode_outer(inside).alias("part")).groupBy("part").agg(F.sum("n").alias("n"))
+    heads = ngrams(F.col("part"), 2)
+    runs = F.when(F.char_length("part") == 2, F.array("part")).otherwise(F.concat(F.slice(heads, F.lit(1), F.greatest(F.size(heads) - 1, F.lit(0))), ngrams(F.col("part"), 3)))
+    return parts.select("n", F.explode_outer(runs).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def tokens(text: Column) -> Column:
     """Tokens of bilingual text as a bag: bigrams and trigrams of CJK runs (a single sign stays), ASCII terms lower-cased.
 

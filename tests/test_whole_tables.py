@@ -128,3 +128,17 @@ def test_counting_records_makes_no_texts_and_orphans_meet_once(spark):
     out = tables.orphan_rows(some)
     assert sorted((r.t or "", r.side) for r in out.collect()) == [("", "row"), ("", "table"), ("a", "table"), ("a", "table"), ("b", "row")]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ngrams_are_counted_by_words(spark):
+    from collections import Counter
+
+    from evidra.functions import text as T
+
+    texts = ["", "a", "ab", "abc", "ab ab ab", "  x  yz  ", "long" * 40 + " end", "药 药物\n乳腺癌 𝒳y z", None, "a b", "ab ab ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter(t[i : i + n] for t in texts if t for n in (2, 3) for i in range(len(t) - n + 1))
+    out = T.ngram_counts(df)
+    assert {r.gram: r.n for r in out.collect()} == want
+    many = spark.range(500).select(F.lit("the same words again and again").alias("text"))
+    assert T.ngram_counts(many)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
