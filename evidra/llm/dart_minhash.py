@@ -11,7 +11,8 @@ coordinates are thrown again with twice the rank.
 ``BANDS`` bands of ``ROWS`` coordinates make buckets. In a bucket each document is paired with the least id (never with
 all), pairs are checked exactly on their sets of shingles, and links make components. A bucket that still has several
 components is compared by signature, in blocks of bounded size, each document outside the hub's component with
-all of the bucket, so that no link is lost that a bucket could give. Texts alike but for case and punctuation
+all of the bucket, so that no link is lost that a bucket could give. Small buckets give their pairs as rows, so that a
+pair that meets in many of them is compared once; the hub's own pairs are not compared again. Texts alike but for case and punctuation
 are one class from the start, and only one of them goes on.
 
 The similarity is Jaccard on distinct shingles, ``threshold`` and more being a link: the weight of each shingle is 1. With ``weighted`` the weight is
@@ -45,6 +46,10 @@ K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 #: Documents compared by signature in one group, of either side of a pair of blocks.
 BLOCK = 512
+#: Documents of an open bucket up to which its pairs are listed, once over all buckets; larger buckets are compared in blocks.
+FEW = 32
+#: Shingles whose signatures are made together: short documents need as many rounds as long ones.
+TOGETHER = 1 << 20
 #: Signature agreement from which a pair is checked exactly: 6 standard deviations below 0.8, where the loss is small beside the bands'.
 MAYBE = 0.6
 #: Ids of documents whose texts are looked up are broadcast up to this count, and joined by shuffle beyond it.
@@ -123,7 +128,11 @@ def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     hashes = textkit.word_hashes(data, starts, ends)
     runs, bounds = textkit.shingles(hashes, firsts)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    order = np.lexsort((runs, doc))
+    order = np.argsort(runs)
+    place = doc[order]
+    if len(offsets) <= 1 << 16:  # 16-bit numbers are sorted by counting
+        place = place.astype(np.uint16)
+    order = order[np.argsort(place, kind="stable")]
     runs, doc = runs[order], doc[order]
     new = np.ones(len(runs), bool)
     new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
@@ -163,25 +172,34 @@ def _content(doc: str, text: str) -> Column:
 def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """(doc, content, sig, bands): content names the words in order; bands is null where there are no words."""
 
+    def signed(parts: list[tuple]) -> pa.RecordBatch:
+        ids, contents, some, runs, times, counts = zip(*parts, strict=True)
+        times, bounds = np.concatenate(times), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        names = signatures(np.concatenate(runs), times.astype(np.float64) if weighted else np.ones(len(times)), bounds)
+        h = np.zeros((len(names), BANDS), np.uint64)
+        for r in range(ROWS):
+            h = textkit.mix64(h * np.uint64(31) + names[:, r::ROWS].astype(np.uint64) + np.uint64(1))
+        h = textkit.mix64(h + np.arange(BANDS, dtype=np.uint64)[None]).view(np.int64)
+        bands = pa.array([r if ok else None for r, ok in zip(h, np.concatenate(some), strict=True)], pa.list_(pa.int64()))
+        sig = names.astype(np.uint16)
+        content = pa.array([c for part in contents for c in part], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), content, pa.array([r.tobytes() for r in sig], pa.binary()), bands], ["doc", "content", "sig", "bands"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             null = batch.column(text).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(id_col).cast(pa.int64())
             for a, b, data, offsets in textkit.slices(batch, text):
                 runs, bounds, hashes, firsts, times = _elements(data, offsets)
-                names = signatures(runs, times.astype(np.float64) if weighted else np.ones(len(runs)), bounds)
                 content = _contents(ids.slice(a, b - a), null[a:b], data, offsets, hashes, firsts)
-                h = np.zeros((b - a, BANDS), np.uint64)
-                for r in range(ROWS):
-                    h = textkit.mix64(h * np.uint64(31) + names[:, r::ROWS].astype(np.uint64) + np.uint64(1))
-                h = textkit.mix64(h + np.arange(BANDS, dtype=np.uint64)[None]).view(np.int64)
-                some = np.diff(firsts) > 0
-                bands = pa.array([r if ok else None for r, ok in zip(h, some, strict=True)], pa.list_(pa.int64()))
-                sig = names.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(content, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), bands],
-                    ["doc", "content", "sig", "bands"],
-                )
+                parts.append((ids.slice(a, b - a), content, np.diff(firsts) > 0, runs, times, np.diff(bounds)))
+                held += len(runs) + b - a
+                if held >= TOGETHER:
+                    yield signed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield signed(parts)
 
     small_batches(docs.sparkSession)
     return docs.select(id_col, text).mapInArrow(run, "doc long, content binary, sig binary, bands array<long>")
@@ -194,6 +212,15 @@ def _repeated(runs: np.ndarray, bounds: np.ndarray, times: np.ndarray) -> tuple[
     return textkit.mix64(np.repeat(runs, times) + textkit.mix64(copy.astype(np.uint64))), total[bounds]
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of documents, in any order and repeated as they are, or with ``weighted`` the set that stands for the multiset."""
+    if weighted:
+        runs, bounds, _, _, times = _elements(data, offsets)
+        return _repeated(runs, bounds, times)
+    starts, ends, firsts = textkit.words(data, offsets)
+    return textkit.shingles(textkit.word_hashes(data, starts, ends), firsts)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool = False) -> DataFrame:
     """The pairs (a, b) of at least ``threshold`` Jaccard similarity."""
     joined = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
@@ -205,19 +232,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 n, keys = part.num_rows, []
-                sizes = []
                 for c in ("ta", "tb"):
-                    runs, bounds, _, _, times = _elements(*textkit.utf8(part.column(c)))
-                    if weighted:
-                        runs, bounds = _repeated(runs, bounds, times)
-                    sizes.append(np.diff(bounds))
-                    pair = np.repeat(np.arange(n, dtype=np.uint64), sizes[-1])
-                    keys.append(textkit.mix64(runs ^ textkit.mix64(pair + np.uint64(1))))  # equal only in the same pair
+                    runs, bounds = _runs(*textkit.utf8(part.column(c)), weighted)
+                    pair = np.repeat(np.arange(n, dtype=np.uint64), np.diff(bounds))
+                    key = np.sort((runs >> np.uint64(7)) | (pair << np.uint64(57)))  # equal only in the same pair
+                    keys.append(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)
                 both = np.sort(np.concatenate(keys))
                 shared = both[1:][both[1:] == both[:-1]]
-                which = np.searchsorted(order := np.sort(keys[0]), shared)
-                source = np.repeat(np.arange(n), sizes[0])[np.argsort(keys[0], kind="stable")]
-                inter = np.bincount(source[which], minlength=n) if len(order) else np.zeros(n)
+                *sizes, inter = (np.bincount((k >> np.uint64(57)).astype(np.int64), minlength=n) for k in (*keys, shared))
                 ok = inter >= threshold * (sizes[0] + sizes[1] - inter) - 1e-9
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], ["a", "b"])
 
@@ -285,11 +307,22 @@ def _members(band_rows: DataFrame, buckets: DataFrame, comps: DataFrame) -> Data
         "band", "hub", "doc", F.coalesce("comp", "doc").alias("comp")
     )
     mains = joined.where("doc = hub").select("band", F.col("comp").alias("main"))
-    with_main = joined.drop("hub").join(mains, "band")
+    with_main = joined.join(mains, "band")
     open_ = with_main.where("comp <> main").select("band").distinct()
     return with_main.join(open_, "band", "left_semi")
 
 
+def _few(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that small open buckets leave to compare, each once; and the rows of the larger ones."""
+    small = inside.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= FEW).select("band")
+    # The hub has been compared with all of its bucket. A pair outside its component is met from one side.
+    others = inside.where("doc <> hub").join(small, "band", "left_semi")
+    minors = others.where("comp <> main").select("band", F.col("doc").alias("x"), F.col("comp").alias("xc"))
+    met = minors.join(others, "band").where("comp <> xc and (comp = main or x < doc)")
+    pairs = met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
+    return pairs, inside.join(small, "band", "left_anti")
+
+
 def _left_over(inside: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     """Links inside the buckets that have several components after the hubs' pairs."""
     docs = _needed(texts, inside.select("doc").distinct()).dropDuplicates(["doc"]).join(sigs, "doc")
@@ -361,7 +394,10 @@ def _resolve(docs: DataFrame, threshold: float, id_col: str, text: str, weighted
     comps = stage(components(linked(pairs)), "components")
     inside = stage(_members(in_buckets, buckets, comps), "open-buckets")
     if not inside.isEmpty():
-        more = stage(_left_over(inside, sigs, texts, threshold, weighted), "more-links")
+        pairs, large = _few(inside)
+        more = linked(pairs)
+        if not (large := stage(large, "large-buckets")).isEmpty():
+            more = stage(more.union(_left_over(large, sigs, texts, threshold, weighted)), "more-links")
         if not more.isEmpty():
             comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = contents.join(comps.select("node", "comp"), "node", "left").select("content", "rep", F.coalesce("comp", "node").alias("class_id"))

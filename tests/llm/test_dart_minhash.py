@@ -136,3 +136,31 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     edges = [(1, i) for i in range(2, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(500, i) for i in range(40, 45)] + [(700, 700)]
     got = {r.node: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in [*range(1, 60), 500]} | {i: 100 for i in range(100, 131)} | {700: 700}
+
+
+def test_small_open_buckets_are_compared_pair_by_pair(spark, prose, monkeypatch):
+    """Texts too far apart for a link share buckets: their pairs are listed once, the hub's are not compared again, and no link is lost."""
+    base = prose(200, 8).split()
+    rows = []
+    for i in range(8):
+        copy = list(base)
+        for k in range(2 + i // 2):  # copies in pairs, pairs apart from each other
+            copy[10 * k + (i // 2) * 3] = f"edited{i // 2}"
+        rows.append((i, " ".join([*copy, f"end{i}"])))
+    seen = []
+    left_over, few = dm._left_over, dm._few
+
+    def looked(inside):
+        pairs, large = few(inside)
+        seen.append((inside.count(), [tuple(r) for r in pairs.collect()], inside.where("doc = hub").count()))
+        return pairs, large
+
+    monkeypatch.setattr(dm, "_left_over", lambda *a: pytest.fail("a small bucket was compared in blocks"))
+    monkeypatch.setattr(dm, "_few", looked)
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in dm.classes(spark.createDataFrame(rows, SCHEMA)).collect()} == want and len(set(want.values())) > 1
+    (n, pairs, hubs), = seen
+    assert n and hubs and len(pairs) == len(set(pairs)) and not any(want[a] == want[b] == 0 for a, b in pairs)
+    monkeypatch.setattr(dm, "FEW", 0)
+    monkeypatch.setattr(dm, "_left_over", left_over)
+    assert {r.doc_id: r.class_id for r in dm.classes(spark.createDataFrame(rows, SCHEMA)).collect()} == want
