@@ -9,10 +9,10 @@ from collections.abc import Callable
 from functools import lru_cache, reduce
 from string import ascii_lowercase
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DataType, StringType
 
 # They decide results, and must stay as they are.
 CJK_RUN = "[㐀-鿿]+"
@@ -45,6 +45,37 @@ MAX_CHUNK_CHARS = 900
 UNICODE_SPACE = r"(?U)[\s\x1c-\x1f\x85]+"
 
 
+#: Most rows and bytes of an Arrow batch of texts, and rows that are Python objects at one time.
+BATCH_ROWS, BATCH_BYTES, PYTHON_ROWS = 2000, 4 << 20, 100
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a Python worker does not grow with the texts; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def in_parts(values: pa.Array, f: Callable[[str], object], kind: pa.DataType) -> pa.Array:
+    """``f`` of each text, of a few rows at a time; null stays null."""
+    parts = (values.slice(at, PYTHON_ROWS).to_pylist() for at in range(0, len(values), PYTHON_ROWS))
+    done = [pa.array([None if v is None else f(v) for v in part], kind) for part in parts]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+def _by_python(text: Column, f: Callable[[str], object], needed: Column, returned: DataType, kind: pa.DataType) -> Column:
+    """``f`` of the texts for which it is ``needed``, null for the others, which Python does not get."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return in_parts(values, f, kind)
+
+    if spark := SparkSession.getActiveSession():
+        small_batches(spark)
+    return F.arrow_udf(run, returned)(F.when(needed, text))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it inside array functions."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -96,9 +127,13 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(CJK_RUN), F.concat(grams, words)).otherwise(words)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def _nfkc_value(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
+
+def _nfkc(text: Column) -> Column:
+    """NFKC; ASCII is its own."""
+    return F.coalesce(_by_python(text, _nfkc_value, text.rlike(r"[^\x00-\x7F]"), StringType(), pa.string()), text)
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +162,7 @@ def _folded_for(text: Column, term: str, more: str = "") -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """NFKC, all white space to single spaces, trimmed. Pure ASCII (most rows) is its own NFKC, but the UDF sees all rows."""
+    """NFKC, all white space to single spaces, trimmed."""
     return F.trim(F.regexp_replace(_nfkc(text), UNICODE_SPACE, " "))
 
 
@@ -208,10 +243,9 @@ def html_to_text_value(markup: str) -> str:
     return html.unescape(_MARKUP.sub(left, markup))
 
 
-@F.pandas_udf(StringType())
-def html_to_text(s: pd.Series) -> pd.Series:
+def html_to_text(text: Column) -> Column:
     """All character data of a fragment, references decoded, a newline for each br."""
-    return s.map(lambda v: None if v is None else html_to_text_value(v))
+    return F.coalesce(_by_python(text, html_to_text_value, text.rlike("[<&]"), StringType(), pa.string()), text)
 
 
 IMAGE_BLOCK = r"(?is)<div\b[^>]*>\s*<img\b[^>]*>\s*</div>"
@@ -235,9 +269,11 @@ def split_long_value(text: str, most: int = MAX_CHUNK_CHARS) -> list[str]:
     return [*out, text[at:]] if at < len(text) else out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def split_long(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else split_long_value(v))
+def split_long(text: Column) -> Column:
+    """The pieces of ``split_long_value``; a short text is its own piece."""
+    long = F.char_length(text) > MAX_CHUNK_CHARS
+    cut = _by_python(text, split_long_value, long, ArrayType(StringType()), pa.list_(pa.string()))
+    return F.when(long, cut).when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.array(text))
 
 
 def match_tokens(text: Column) -> Column:

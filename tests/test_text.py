@@ -110,3 +110,17 @@ def test_html_text_of_odd_markup(spark):
     }
     assert column(spark, list(cases), T.html_to_text) == list(cases.values())
     assert T.html_to_text_value('<a href="' * 200_000) == ""
+
+
+def test_python_gets_small_batches_of_the_texts_that_need_it(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        texts = [None, "", "plain  text", "ﬁne &amp; <b>é</b>", "x" * 899 + "。" + "y" * 5] * 250
+        assert column(spark, texts, T.normalize_text)[2:4] == ["plain text", "fine &amp; <b>é</b>"]
+        assert int(spark.conf.get(name)) <= 2000
+        assert column(spark, texts, T.html_to_text) == [None if t is None else T.html_to_text_value(t) for t in texts]
+        assert column(spark, texts, T.split_long) == [None if t is None else T.split_long_value(t) for t in texts]
+    finally:
+        spark.conf.set(name, before)
