@@ -1,13 +1,15 @@
 """Page-delimited OCR Markdown to chunk records, as one plan over lines.
 
 A page's body is cut at its table images into stretches, a stretch into blocks at blank lines, and a block into lines. Headings are counted through
-a document, so that each line knows the last one before it; only the heading lines themselves meet in a group, for the stack of open headings that
-stands after each. Paragraphs are normalised and cut to pieces, and pieces of one run (a stretch between headings, of one kind) are packed by a fold.
+a document, so that each line knows the last one before it; only the heading lines themselves meet in order, read in small batches, for the stack of open
+headings that stands after each. Paragraphs are normalised and cut to pieces, and pieces of one run (a stretch between headings, of one kind) are packed by a fold.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,18 +71,23 @@ def _lines(pages: DataFrame) -> DataFrame:
 def _open_headings(lines: DataFrame) -> DataFrame:
     """(doc_id, heads, section, first, depth, last): the headings that are open after each heading line."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, stack, states = pdf.sort_values("heads"), [], []
-        for level, title in zip(pdf["level"], pdf["title"], strict=True):
-            if title and not title.startswith(PAGE_TITLE):  # a skipped level moves up: place in the stack is not level
-                stack = [*stack[: level - 1], title]
-            states.append((" > ".join(stack), stack[0], len(stack), stack[-1]) if stack else (None,) * 4)
-        out = pd.DataFrame(states, columns=["section", "first", "depth", "last"]).astype({"depth": "Int64"})
-        return pd.concat([pdf[["doc_id", "heads"]].reset_index(drop=True), out], axis=1)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = object(), []
+        for batch in batches:
+            states = []
+            for doc, level, title in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "level", "title")), strict=True):
+                if doc != now:
+                    now, stack = doc, []
+                if title and not title.startswith(PAGE_TITLE):  # a skipped level moves up: place in the stack is not level
+                    stack = [*stack[: level - 1], title]
+                states.append((" > ".join(stack), stack[0], len(stack), stack[-1]) if stack else (None,) * 4)
+            of = (pa.array([x[k] for x in states], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("heads"), *of], ["doc_id", "heads", "section", "first", "depth", "last"])
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    headings = lines.where("level is not null").select("doc_id", "heads", "level", "title")
-    return headings.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, heads long, section string, first string, depth int, last string")
+    headings = lines.where("level is not null").select("doc_id", "heads", "level", "title").repartition("doc_id").sortWithinPartitions("doc_id", "heads")
+    T.small_batches(lines.sparkSession)
+    return headings.mapInArrow(fold, f"doc_id {kind}, heads long, section string, first string, depth int, last string")
 
 
 def _chunks(lines: DataFrame) -> DataFrame:

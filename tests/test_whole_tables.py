@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import tables
+from evidra.operators import markdown, tables
 from evidra.plans import catalogue
 from test_catalogue import SMALL, TABLES, rows
 
@@ -142,3 +142,20 @@ def test_ngrams_are_counted_by_words(spark):
     assert {r.gram: r.n for r in out.collect()} == want
     many = spark.range(500).select(F.lit("the same words again and again").alias("text"))
     assert T.ngram_counts(many)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
+
+
+def test_headings_are_read_in_order_and_not_in_groups(spark):
+    """The open headings of a document are carried from batch to batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3")
+        pages = [(d, p, p + 1, f"# Part {p}\n\na\n\n### Deep {d}\n\nb\n\n## Mid\n\nc" if p % 3 == 0 else "d") for d in ("x", "y") for p in range(7)]
+        none = spark.createDataFrame([], "doc_id string, page int, image_id int, table_index int")
+        got = markdown.convert(spark.createDataFrame(pages, "doc_id string, ord int, page int, body string"), none, "m")
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        rows = sorted((r.doc_id, r.seq, r.section_path) for r in got.collect())
+        want = [(d, s) for d in ("x", "y") for p in range(7) for s in ([f"Part {p}", f"Part {p} > Deep {d}", f"Part {p} > Mid"] if p % 3 == 0 else [f"Part {p // 3 * 3} > Mid"])]
+        assert [(d, s) for d, _, s in rows] == want
+    finally:
+        spark.conf.set(name, before)
