@@ -112,6 +112,31 @@ def token_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
+def node_token_stats(nodes: DataFrame, text: str = "text") -> DataFrame:
+    """(token, tf, df) of nodes, as ``token_stats`` has it of their postings, which are made for repeated nodes only.
+
+    A node that is one row gives its sorted tokens, each marked where it stands first, so that tokens are counted before they move. A token of a
+    node without id counts in tf alone.
+    """
+    key = ["version_id", "node_id"]
+    repeated = nodes.where("node_id is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    some = repeated.limit(BROADCAST_ROWS + 1).count()
+
+    def marked(bag: Column) -> Column:
+        return F.transform(bag, lambda t, i: F.struct(t.alias("token"), ((i == 0) | ~t.eqNullSafe(F.get(bag, i - 1))).cast("int").alias("df")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        each = rows.select("node_id", F.explode(T.let(F.sort_array(T.tokens(F.col(text))), marked)).alias("t")).select("node_id", "t.*")
+        return each.groupBy("token").agg(F.count(F.lit(1)).alias("tf"), F.sum(F.when(F.col("node_id").isNotNull(), F.col("df")).otherwise(0)).alias("df"))
+
+    if not some:
+        return counted(nodes)
+    repeated = F.broadcast(repeated) if some <= BROADCAST_ROWS else repeated
+    postings = nodes.join(repeated, key, "left_semi").select(*key, F.explode(T.tokens(F.col(text))).alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    parts = counted(nodes.join(repeated, key, "left_anti")).unionByName(token_stats(postings))
+    return parts.groupBy("token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def bm25_batch(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, version_id, node_id, score, rank) for a table of (query_id, token), repeated tokens repeated."""
     asked = queries.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))

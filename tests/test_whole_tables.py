@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import markdown, tables
+from evidra.operators import markdown, retrieval, tables
 from evidra.plans import catalogue
 from test_catalogue import SMALL, TABLES, rows
 
@@ -159,3 +159,14 @@ def test_headings_are_read_in_order_and_not_in_groups(spark):
         assert [(d, s) for d, _, s in rows] == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_token_counts_move_instead_of_postings(spark):
+    """Unique nodes are counted where they are; nodes that are several rows meet; a missing id counts in tf alone."""
+    rows = [(1, "a b a"), (2, "b c"), (2, "c c d"), (3, None), (None, "a z"), (4, "")]
+    for some, repeated in ((rows, True), ([r for r in rows if r[0] != 2], False)):
+        nodes = spark.createDataFrame([("v", i, t) for i, t in some], "version_id string, node_id long, text string")
+        got = retrieval.node_token_stats(nodes)
+        want = {t: (sum((x or "").split().count(t) for _, x in some), len({i for i, x in some if i is not None and t in (x or "").split()})) for t in "abcdz"}
+        assert {r.token: (r.tf, r.df) for r in got.collect()} == {t: v for t, v in want.items() if v[0]}
+        assert repeated or "hashpartitioning(version_id" not in got._jdf.queryExecution().executedPlan().toString()
