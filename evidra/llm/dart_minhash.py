@@ -48,8 +48,10 @@ DARTS = K * np.log(K) + 2 * K
 BLOCK = 512
 #: Documents of an open bucket up to which its pairs are listed, once over all buckets; larger buckets are compared in blocks.
 FEW = 32
-#: Shingles whose signatures are made together: short documents need as many rounds as long ones.
-TOGETHER = 1 << 20
+#: Shingles (a document counts as PER_DOC more) whose signatures are made together: the shortest documents need very many rounds, whether few or many.
+TOGETHER, PER_DOC = 1 << 19, 100
+#: Shingles (a document counts as 10 more) whose darts are thrown at one time: that takes some hundred bytes for each.
+THROWN = 1 << 16
 #: Signature agreement from which a pair is checked exactly: 6 standard deviations below 0.8, where the loss is small beside the bands'.
 MAYBE = 0.6
 #: Ids of documents whose texts are looked up are broadcast up to this count, and joined by shuffle beyond it.
@@ -102,6 +104,20 @@ def throw(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, rank_limit:
     return best.reshape(n_docs, K)
 
 
+def _thrown(element: np.ndarray, weight: np.ndarray, starts: np.ndarray, count: np.ndarray, rank_limit: np.ndarray) -> np.ndarray:
+    """``throw`` for documents whose elements begin at ``starts``, THROWN elements at a time."""
+    ends = np.cumsum(count)
+    best = np.full((len(count), K), np.uint64(2**64 - 1))
+    for low in range(0, int(ends[-1]), THROWN):
+        at = np.arange(low, min(low + THROWN, int(ends[-1])))
+        doc = np.searchsorted(ends, at, side="right")
+        at += (starts - ends + count)[doc]
+        first = int(doc[0])
+        mine = best[first : int(doc[-1]) + 1]
+        np.minimum(mine, throw(element[at], weight[at], doc - first, rank_limit[first : first + len(mine)], len(mine)), out=mine)
+    return best
+
+
 def signatures(element: np.ndarray, weight: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """K names of darts (uint32) for each document; documents without elements get zeros."""
     n = len(firsts) - 1
@@ -109,16 +125,18 @@ def signatures(element: np.ndarray, weight: np.ndarray, firsts: np.ndarray) -> n
     total = np.add.reduceat(np.append(weight, 0.0), np.minimum(firsts[:-1], len(weight)))
     total[count == 0] = 0
     out = np.zeros((n, K), np.uint32)
+    # Documents of like sizes are thrown together: the short ones alone take many rounds, and they have few shingles.
     todo, darts = np.flatnonzero(count > 0), DARTS
-    doc = np.repeat(np.arange(n), count)
+    todo = todo[np.argsort(total[todo], kind="stable")]
     while len(todo):
-        at = np.full(n, -1)
-        at[todo] = np.arange(len(todo))
-        mine = at[doc] >= 0
-        best = throw(element[mine], weight[mine], at[doc[mine]], darts / total[todo], len(todo))
-        full = (best != np.uint64(2**64 - 1)).all(1)
-        out[todo[full]] = best[full].astype(np.uint32)
-        todo, darts = todo[~full], darts * 2
+        cost = np.cumsum(count[todo] + 10) // THROWN
+        missed = []
+        for some in np.split(todo, np.flatnonzero(np.diff(cost)) + 1):
+            best = _thrown(element, weight, firsts[some], count[some], darts / total[some])
+            full = (best != np.uint64(2**64 - 1)).all(1)
+            out[some[full]] = best[full].astype(np.uint32)
+            missed.append(some[~full])
+        todo, darts = np.concatenate(missed), darts * 2
     return out
 
 
@@ -187,6 +205,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
+        textkit.forget()
         for batch in batches:
             null = batch.column(text).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(id_col).cast(pa.int64())
@@ -194,10 +213,11 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted:
                 runs, bounds, hashes, firsts, times = _elements(data, offsets)
                 content = _contents(ids.slice(a, b - a), null[a:b], data, offsets, hashes, firsts)
                 parts.append((ids.slice(a, b - a), content, np.diff(firsts) > 0, runs, times, np.diff(bounds)))
-                held += len(runs) + b - a
+                held += len(runs) + PER_DOC * (b - a)
                 if held >= TOGETHER:
-                    yield signed(parts)
+                    out = signed(parts)
                     parts, held = [], 0
+                    yield out
         if parts:
             yield signed(parts)
 

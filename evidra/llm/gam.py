@@ -276,6 +276,7 @@ def score(docs: DataFrame, model: PairwiseGam | Constant, id_col: str = "doc_id"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
         for batch in batches:
             scores = [np.zeros(0)]
             for _, _, data, offsets in textkit.slices(batch, text):

@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
+from . import textkit
 from .staging import small_batches
 
 MARK = "▁"
@@ -306,7 +307,7 @@ def _shared(words: list[str]) -> list[int]:
     return [0, *same.tolist()]
 
 
-@lru_cache(maxsize=2)
+@textkit.worker_cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

@@ -5,7 +5,9 @@ Batches are worked through in slices of bounded text, so memory does not follow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,25 @@ _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
+#: Caches of this Python worker, which outlive the task and the step that filled them.
+_caches: list = []
+
+
+def worker_cache(f: Callable) -> Callable:
+    """``lru_cache`` for what a worker keeps from task to task, until it goes on to a step that calls ``forget``."""
+    _caches.append(cached := lru_cache(maxsize=2)(f))
+    return cached
+
+
+def forget() -> None:
+    """Give back what other steps have kept in this worker: Spark hands its workers on from step to step."""
+    kept = [c for c in _caches if c.cache_info().currsize]
+    for c in kept:
+        c.cache_clear()
+    if kept:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

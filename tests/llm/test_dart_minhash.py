@@ -1,11 +1,15 @@
 import math
 import random
 import re
+import tracemalloc
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidra.llm import dart_minhash as dm
+from evidra.llm import queries, spm_trie
 
 SCHEMA = "doc_id long, text string"
 
@@ -164,3 +168,35 @@ def test_small_open_buckets_are_compared_pair_by_pair(spark, prose, monkeypatch)
     monkeypatch.setattr(dm, "FEW", 0)
     monkeypatch.setattr(dm, "_left_over", left_over)
     assert {r.doc_id: r.class_id for r in dm.classes(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_memory_of_signing_does_not_follow_the_shingles(monkeypatch):
+    def peak(n):
+        runs = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+        tracemalloc.start()
+        dm.signatures(runs, np.ones(n), np.arange(0, n + 1, n // 1000))
+        try:
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert peak(1_000_000) < 50
+
+    count = np.array([3, 0, 1, 700, 40, 41, 5000, 2])
+    runs = np.random.default_rng(5).integers(0, 2**63, count.sum(), dtype=np.uint64)
+    weight, firsts = 1.0 + runs % np.uint64(5), np.concatenate([[0], np.cumsum(count)])
+    whole = dm.signatures(runs, weight, firsts)
+    monkeypatch.setattr(dm, "THROWN", 64)
+    assert (dm.signatures(runs, weight, firsts) == whole).all()
+
+
+def test_signing_gives_back_what_another_step_kept_in_the_worker(spark, prose):
+    encoder = spm_trie.encoder(queries.tokenizer_path("piece_bpe_32k.model"))
+    encoder.encode(["some words"])
+    assert spm_trie.encoder.cache_info().currsize
+    docs = mock.Mock()
+    docs.sparkSession = spark
+    dm.sign(docs)
+    (run, _), _ = docs.select.return_value.mapInArrow.call_args
+    out = list(run([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(50, 1), None]})]))
+    assert [b.num_rows for b in out] == [2] and not spm_trie.encoder.cache_info().currsize
